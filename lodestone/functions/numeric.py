@@ -63,8 +63,8 @@ def age_years(created: Column, as_of: str) -> Column:
     The moment of reference is an argument, so a run can be repeated.
     """
     days = whole_days(as_instant(created), as_instant(F.lit(as_of)))
-    return F.coalesce(F.greatest(days / F.lit(365.25), F.lit(fixed.AGE_FLOOR)),
-                      F.lit(fixed.AGE_UNKNOWN))
+    return F.when(days.isNull(), F.lit(fixed.AGE_UNKNOWN)).otherwise(
+        F.greatest(days / F.lit(365.25), F.lit(fixed.AGE_FLOOR)))
 
 
 def age_adjusted(count: Column, age: Column) -> Column:

@@ -34,10 +34,11 @@ def skewed_join(left: DataFrame, right: DataFrame, key: str, spread: Column,
             .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)))
                         .otherwise(F.lit(0).cast("bigint")))
             .drop("_hot"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0)))
+    one, all_ = F.array(F.lit(0).cast("bigint")), F.array(
+        *[F.lit(i).cast("bigint") for i in range(salts)])
+    copies = F.when(F.col("_hot"), all_).otherwise(one)
     few = (right.join(hot, key, "left")
-           .withColumn("_salt", F.explode(copies).cast("bigint")).drop("_hot"))
+           .withColumn("_salt", F.explode(copies)).drop("_hot"))
     return many.join(few, [key, "_salt"], how).drop("_salt")
 
 

@@ -106,14 +106,14 @@ def age_adjusted(t: Tables) -> DataFrame:
 
 @query("derived_ratios", with_views("projects", f"""SELECT id, coalesce({DAYS.format("created")}, 0) AS age_days,
   coalesce({DAYS.format("pushed")}, 0) AS days_since_push,
-  round(commits_last_year / greatest(stars, 1), 4) AS fork_to_star_ratio,
-  round(dependency_count / greatest(contributor_count, 1), 4) AS deps_per_src_file,
-  round(dependency_count / greatest(total_code_bytes / 1000, 1), 6) AS deps_per_1k_loc,
-  round(contributor_count / greatest(commits_last_year, 1), 4) AS src_to_total_file_ratio,
-  round(commits_last_year / greatest(contributor_count, 1), 2) AS commits_per_contributor,
-  round(stars / greatest(contributor_count, 1), 2) AS stars_per_contributor,
-  round(total_code_bytes / greatest(dependency_count, 1), 2) AS code_bytes_per_dep,
-  round(commits_last_year / greatest(coalesce({DAYS.format("created")}, 0), 1), 4)
+  round(CAST(CAST(commits_last_year / greatest(stars, 1) AS VARCHAR) AS DECIMAL(38,12)), 4)::DOUBLE AS fork_to_star_ratio,
+  round(CAST(CAST(dependency_count / greatest(contributor_count, 1) AS VARCHAR) AS DECIMAL(38,12)), 4)::DOUBLE AS deps_per_src_file,
+  round(CAST(CAST(dependency_count / greatest(total_code_bytes / 1000, 1) AS VARCHAR) AS DECIMAL(38,12)), 6)::DOUBLE AS deps_per_1k_loc,
+  round(CAST(CAST(contributor_count / greatest(commits_last_year, 1) AS VARCHAR) AS DECIMAL(38,12)), 4)::DOUBLE AS src_to_total_file_ratio,
+  round(CAST(CAST(commits_last_year / greatest(contributor_count, 1) AS VARCHAR) AS DECIMAL(38,12)), 2)::DOUBLE AS commits_per_contributor,
+  round(CAST(CAST(stars / greatest(contributor_count, 1) AS VARCHAR) AS DECIMAL(38,12)), 2)::DOUBLE AS stars_per_contributor,
+  round(CAST(CAST(total_code_bytes / greatest(dependency_count, 1) AS VARCHAR) AS DECIMAL(38,12)), 2)::DOUBLE AS code_bytes_per_dep,
+  round(CAST(CAST(commits_last_year / greatest(coalesce({DAYS.format("created")}, 0), 1) AS VARCHAR) AS DECIMAL(38,12)), 4)::DOUBLE
     AS commits_per_age_day FROM projects"""))
 def derived_ratios(t: Tables) -> DataFrame:
     wide = t.projects.withColumns({
@@ -133,14 +133,14 @@ def activity_score(t: Tables) -> DataFrame:
 
 
 @query("soft_cap", """SELECT l_orderkey, l_partkey, l_suppkey, round(greatest(0.32,
-  CASE WHEN x > cap THEN cap + (x - cap) * 0.40 ELSE x END), 6) AS score FROM (SELECT *,
+  CASE WHEN x > cap THEN cap + (x - cap) * 0.40 ELSE x END), 9) AS score FROM (SELECT *,
     l_extendedprice / 80000 AS x, CASE l_returnflag WHEN 'R' THEN 0.5::DOUBLE WHEN 'A' THEN 0.62::DOUBLE
     ELSE 0.78::DOUBLE END AS cap FROM lineitem)""")
 def soft_cap(t: Tables) -> DataFrame:
     flag = F.col("l_returnflag")
     cap = F.when(flag == "R", 0.5).when(flag == "A", 0.62).otherwise(0.78)
     return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", F.round(
-        numeric.soft_cap(F.col("l_extendedprice") / 80000, cap), 6).alias("score"))
+        numeric.soft_cap(F.col("l_extendedprice") / 80000, cap), 9).alias("score"))
 
 
 @query("direct_ratio", with_views("base_features", "SELECT id, round(direct_ratio, 6) AS direct_ratio FROM base_features"))

@@ -81,7 +81,8 @@ NAMES = {
                (f"'github.com/acme/' || {PART}", "false"), (f"'short/' || {SUPP}", "false")],
     "npm": [(PART, "false"), (f"'@s/' || {SUPP}", "false"), (LINE, "true"), ("'jest'", "true")],
     "requirements": [(snake(PART), "false"), (snake(SUPP), "false")],
-    "pyproject": [(snake(PART), "false"), (snake(SUPP), "false")],
+    # A closing quote opens a match too, so the comma after it is read as a name.
+    "pyproject": [(snake(PART), "false"), (snake(SUPP), "false"), ("','", "false")],
     "dotnet": [(f"'Acme.' || {PART}", "false"), (f"'acme.' || {PART}", "false"),
                (f"'acme_' || {snake(PART)}", "false"), (SUPP, "false"), (snake(SUPP), "false")],
 }

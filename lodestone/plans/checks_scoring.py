@@ -120,24 +120,24 @@ def mean_contribution(t: Tables) -> DataFrame:
 
 # ---- ensemble ----------------------------------------------------------------------------
 
-@query("ensemble_vote", """SELECT user_id, event_type, round(avg(value), 4) AS mean_vote,
+@query("ensemble_vote", """SELECT user_id, event_type, round(avg(value), 9) AS mean_vote,
   count(*) FILTER (value >= 50) * 2 > count(value) AS majority FROM events
   GROUP BY user_id, event_type""")
 def ensemble_vote(t: Tables) -> DataFrame:
     return scoring.ensemble_vote(t.events, "user_id", "event_type", "value", 50.0).withColumn(
-        "mean_vote", F.round("mean_vote", 4))
+        "mean_vote", F.round("mean_vote", 9))
 
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
 @query("ensemble_wide", "SELECT user_id, " + ", ".join(
-    f"round(avg(value) FILTER (event_type = '{k}'), 4) AS \"{k}\"" for k in KINDS)
+    f"round(avg(value) FILTER (event_type = '{k}'), 9) AS \"{k}\"" for k in KINDS)
     + " FROM events GROUP BY user_id")
 def ensemble_wide(t: Tables) -> DataFrame:
     votes = scoring.ensemble_vote(t.events, "user_id", "event_type", "value", 50.0)
     wide = scoring.ensemble_wide(votes, "user_id", "event_type", KINDS)
-    return wide.select("user_id", *[F.round(k, 4).alias(k) for k in KINDS])
+    return wide.select("user_id", *[F.round(k, 9).alias(k) for k in KINDS])
 
 
 @query("ensemble_agreement", """SELECT event_type, round(avg(a), 6) AS agreement, count(*) AS items

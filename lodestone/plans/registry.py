@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    fn = CATALOGUE[name][0]
+    fn = load()[name][0]
     return lambda spark, folder: fn(Tables(spark, folder))
 
 

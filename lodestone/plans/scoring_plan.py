@@ -159,8 +159,8 @@ VIEWS["scored"] = f"""SELECT *, {capped_sql("base", "cap")} AS originality
   FROM (SELECT *, {base_score_sql()} AS base, ({CAP_SQL})::DOUBLE AS cap FROM {{features}})"""
 VIEWS["report"] = """SELECT repo_url AS repo, originality, category,
   CAST(unified_dep_count AS BIGINT) AS dep_count, round(repo_age_years, 1) AS age_years,
-  round(age_adj_dep_count, 1) AS age_adj_deps, round(producer_score, 3) AS producer_score,
-  round(consumer_score, 3) AS consumer_score, round(pc_ratio, 3) AS pc_ratio,
+  round(age_adj_dep_count, 1) AS age_adj_deps, round(CAST(CAST(producer_score AS VARCHAR) AS DECIMAL(18,9)), 3)::DOUBLE AS producer_score,
+  round(CAST(CAST(consumer_score AS VARCHAR) AS DECIMAL(18,9)), 3)::DOUBLE AS consumer_score, round(CAST(CAST(pc_ratio AS VARCHAR) AS DECIMAL(18,9)), 3)::DOUBLE AS pc_ratio,
   round(direct_ratio, 3) AS direct_ratio, round(usage_signal, 3) AS usage_signal,
   round(star_score, 3) AS star_score, total_code_bytes // 1000 AS code_kb,
   coalesce(language, '') AS language, stars FROM {scored}"""

@@ -63,8 +63,9 @@ def differences(spark, con, name: str, folder: str) -> str | None:
     b = [tuple(loosely(v) for v in r) for r in theirs]
     a.sort(key=repr), b.sort(key=repr)
     if a != b:
-        left = [r for r in a if r not in set(b)][:3]
-        right = [r for r in b if r not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        left = [r for r in a if r not in in_b][:3]
+        right = [r for r in b if r not in in_a][:3]
         return f"values differ: {sum(x != y for x, y in zip(a, b))} of {len(a)}: {left} | {right}"[:900]
     if mine != theirs:
         kinds = [(type(x).__name__, type(y).__name__) for x, y in zip(mine[0], theirs[0])]
