@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from .fixed import HOST
 
 
+# The characters that count as white space.
+WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+         "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def trim_all(text: Column) -> Column:
     """Trim every kind of white space, where SQL ``trim`` takes blanks only."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def slug(url: Column, host: str = HOST, strip_slash: bool = True) -> Column:

@@ -42,19 +42,26 @@ def sqrt_norm(x: Column, top: Column) -> Column:
     return F.sqrt(x / (top + F.lit(1e-9)))
 
 
-def as_instant(text: Column) -> Column:
-    """ISO-8601 text to an instant: ``T`` or blank, any offset, UTC where none is given."""
-    flat = F.regexp_replace(F.trim(text), " ", "T")
-    dated = F.when(F.length(flat) == 10, F.concat(flat, F.lit("T00:00:00"))).otherwise(flat)
-    zoned = F.when(dated.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), dated).otherwise(
-        F.concat(dated, F.lit("Z")))
-    fitted = F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    return F.when(F.trim(text).rlike(ISO_STAMP), fitted.try_cast("timestamp"))
+def epoch_seconds(text: Column) -> Column:
+    """ISO-8601 text to seconds since 1970: ``T`` or blank, any offset, UTC where none is
+    given. Null where the text is no such time.
+
+    Read without a zone, so the session's zone plays no part.
+    """
+    flat = F.trim(text)
+    wall = F.regexp_replace(flat, r"(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    offset = F.regexp_extract(flat, r":\d{2}(?:\.\d+)?([+-]\d{2}):?\d{2}$", 1)
+    minutes = F.regexp_extract(flat, r":\d{2}(?:\.\d+)?[+-]\d{2}:?(\d{2})$", 1)
+    sign = F.when(F.startswith(offset, F.lit("-")), -60).otherwise(60)
+    ahead = F.when(offset != "", offset.try_cast("int") * 3600
+                   + minutes.try_cast("int") * sign).otherwise(0)
+    return F.when(flat.rlike(ISO_STAMP), F.timestamp_diff("SECOND", start, wall) - ahead)
 
 
 def whole_days(start: Column, end: Column) -> Column:
-    """Elapsed whole days between two instants, not calendar days."""
-    return F.floor((F.unix_seconds(end) - F.unix_seconds(start)) / SECONDS_PER_DAY)
+    """Elapsed whole days between two texts of time, not calendar days."""
+    return F.floor((epoch_seconds(end) - epoch_seconds(start)) / SECONDS_PER_DAY)
 
 
 def age_years(created: Column, as_of: str) -> Column:
@@ -62,9 +69,12 @@ def age_years(created: Column, as_of: str) -> Column:
 
     The moment of reference is an argument, so a run can be repeated.
     """
-    days = whole_days(as_instant(created), as_instant(F.lit(as_of)))
-    return F.when(days.isNull(), F.lit(fixed.AGE_UNKNOWN)).otherwise(
-        F.greatest(days / F.lit(365.25), F.lit(fixed.AGE_FLOOR)))
+    years = whole_days(created, F.lit(as_of)) / F.lit(365.25)
+    above = years - F.lit(fixed.AGE_FLOOR)
+    # Half of x + |x| is x where positive, else 0; unlike greatest() it keeps null, and the
+    # parsed time is used in one unconditional place, so it is computed once.
+    return F.coalesce((above + F.abs(above)) / 2 + F.lit(fixed.AGE_FLOOR),
+                      F.lit(fixed.AGE_UNKNOWN))
 
 
 def age_adjusted(count: Column, age: Column) -> Column:

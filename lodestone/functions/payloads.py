@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import whole_days, share, as_instant
+from .numeric import share, whole_days
 
 METADATA_SCHEMA = """
 full_name string, description string, homepage string, language string,
@@ -127,8 +127,7 @@ def derived_ratios(as_of: str) -> dict[str, Column]:
         return F.coalesce(F.col(name), F.lit(0))
 
     def days_since(name):
-        gap = whole_days(as_instant(F.col(name)), as_instant(F.lit(as_of)))
-        return F.coalesce(gap, F.lit(0))
+        return F.coalesce(whole_days(F.col(name), F.lit(as_of)), F.lit(0))
 
     age = days_since("created_at")
     return {

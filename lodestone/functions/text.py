@@ -22,13 +22,6 @@ def keyword_hits(text: Column, phrases: Sequence[str]) -> Column:
     return total([F.contains(lowered, F.lit(p)).cast("int") for p in phrases])
 
 
-def keywords_found(text: Column, phrases: Sequence[str]) -> Column:
-    """The phrases that occur, as an array."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array(*[F.when(F.contains(lowered, F.lit(p)), F.lit(p)) for p in phrases])
-    return F.array_compact(found)
-
-
 def readme_signal(text: Column, high: Sequence[str] = fixed.README_HIGH,
                   low: Sequence[str] = fixed.README_LOW) -> Column:
     """Depth phrases minus packaging phrases, bounded."""

@@ -39,22 +39,20 @@ def producer_raw(edges: DataFrame, nodes: DataFrame, passes: int = 2) -> DataFra
     Pass 1 takes the square root of the inbound degree against the largest. Each further
     pass adds up, over a node's incoming edges, the score of the edge's source, and takes
     the square root against the largest again. Edges whose source scores 0 add nothing, so
-    only scored nodes travel. Hub sources are spread by the edge's target.
+    only scored nodes travel. Hub sources are spread by the edge's target. The known edges
+    and every pass's node table are written once, as each is read several times.
     """
     if passes < 1:
         raise ValueError("passes must be at least 1")
-    links = known_edges(edges, nodes)
-    if passes > 2:
-        links = cut_lineage(links)
+    links = cut_lineage(known_edges(edges, nodes))
     arriving = links.groupBy("dst").agg(F.sum("n").cast("double").alias("w"))
-    for step in range(1, passes):
-        if step > 1:
-            arriving = cut_lineage(arriving)
+    for _ in range(1, passes):
         best = arriving.agg(F.max("w").alias("top")).scalar()
         scores = arriving.select(F.col("dst").alias("src"),
                                  sqrt_norm(F.col("w"), best).alias("score"))
-        arriving = (skewed_join(links, scores, "src", F.col("dst"))
-                    .groupBy("dst").agg(F.sum(F.col("n") * F.col("score")).alias("w")))
+        arriving = cut_lineage(
+            skewed_join(links, scores, "src", F.col("dst"))
+            .groupBy("dst").agg(F.sum(F.col("n") * F.col("score")).alias("w")))
     best = arriving.agg(F.max("w").alias("top")).scalar()
     scored = arriving.select(F.col("dst").alias("id"),
                              sqrt_norm(F.col("w"), best).alias("producer"))

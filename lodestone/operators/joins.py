@@ -133,6 +133,18 @@ def done_minus_failed(results: DataFrame, key: str, status: str = "file_count")
     return results.select(key).distinct().subtract(failed)
 
 
+def contains_join(df: DataFrame, text: str, phrases: Sequence[str], keep: Sequence[str] = ()
+                  ) -> DataFrame:
+    """One row per text and phrase it contains, case aside; for up to some hundred phrases.
+
+    The text is lower-cased once, and the rows made per phrase are filtered in the same
+    stage, so no text is shuffled.
+    """
+    lowered = df.select(*keep, F.lower(text).alias("_text"))
+    each = lowered.select("*", F.explode(F.array(*[F.lit(p) for p in phrases])).alias("keyword"))
+    return each.filter(F.contains("_text", "keyword")).drop("_text")
+
+
 def normalised(name: Column) -> Column:
     """Spelling in which terms and manifest names are compared."""
     return F.translate(F.lower(name), "-.", "__")

@@ -48,10 +48,8 @@ def every(text: Column, pattern: str, group: int = 1) -> Column:
 
 def with_variant(names: Column, *variants) -> Column:
     """Names plus other spellings of each."""
-    out = names
-    for variant in variants:
-        out = F.array_union(out, F.transform(names, variant))
-    return F.array_distinct(out)
+    spelled = F.transform(names, lambda n: F.array(n, *[v(n) for v in variants]))
+    return F.array_distinct(F.flatten(spelled))
 
 
 def snake(name: Column) -> Column:
@@ -76,23 +74,25 @@ def gomod_names(text: Column) -> tuple[Column, Column]:
 
 
 def godeps_names(text: Column) -> tuple[Column, Column]:
-    """Import paths and their first three segments."""
+    """Import paths and their first three segments; shorter paths have no other form."""
     parsed = F.from_json(text, "Deps array<struct<ImportPath: string>>")
     found = F.filter(F.coalesce(parsed["Deps"]["ImportPath"], empty()),
                      lambda p: p.isNotNull() & (p != ""))
-    long = F.filter(found, lambda p: F.size(F.split(p, "/")) >= 3)
-    stems = F.transform(long, lambda p: F.substring_index(p, "/", 3))
-    return F.array_union(found, stems), empty()
+    return with_variant(found, lambda p: F.substring_index(p, "/", 3)), empty()
 
 
-def json_keys(text: Column, field: str) -> Column:
-    return F.coalesce(F.json_object_keys(F.get_json_object(text, f"$.{field}")), empty())
+NPM_FIELDS = ("dependencies", "peerDependencies", "optionalDependencies", "devDependencies")
+NPM_SCHEMA = ", ".join(f"{f} map<string, string>" for f in NPM_FIELDS)
 
 
 def npm_names(text: Column) -> tuple[Column, Column]:
-    prod = F.array_distinct(F.concat(*[
-        json_keys(text, f) for f in ("dependencies", "peerDependencies", "optionalDependencies")]))
-    return prod, F.array_distinct(json_keys(text, "devDependencies"))
+    parsed = F.from_json(text, NPM_SCHEMA)
+
+    def keys(*fields):
+        listed = F.array(*[F.map_keys(parsed[f]) for f in fields])
+        return F.array_distinct(F.flatten(F.array_compact(listed)))
+
+    return keys(*NPM_FIELDS[:3]), keys(NPM_FIELDS[3])
 
 
 def requirements_names(text: Column) -> tuple[Column, Column]:
@@ -246,12 +246,15 @@ def gradle_counts(content: Column) -> tuple[Column, Column]:
 
 
 def npm_counts(content: Column) -> tuple[Column, Column]:
-    valid = F.try_parse_json(content).isNotNull()
+    """Entries of a package file; 0 where it is no JSON."""
+    parsed = F.from_json(content, NPM_SCHEMA)
 
     def size(field):
-        return F.when(valid, F.size(json_keys(content, field))).otherwise(0)
+        return F.coalesce(F.size(F.map_keys(parsed[field])), F.lit(0))
 
-    return size("dependencies"), size("devDependencies") + size("peerDependencies")
+    return (F.greatest(size("dependencies"), F.lit(0)),
+            F.greatest(size("devDependencies"), F.lit(0))
+            + F.greatest(size("peerDependencies"), F.lit(0)))
 
 
 def manifest_counts(kind: Column, content: Column) -> tuple[Column, Column]:

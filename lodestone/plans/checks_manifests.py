@@ -58,7 +58,7 @@ def render(kind: str) -> Column:
 
 
 def rendered(t: Tables, kind: str) -> DataFrame:
-    return t.lineitem.select(F.col("l_orderkey").alias("repo"), render(kind).alias("content"))
+    return t.spread_lineitem.select(F.col("l_orderkey").alias("repo"), render(kind).alias("content"))
 
 
 def pairs(*named: tuple[str, str]) -> str:
@@ -114,7 +114,7 @@ def mixed(t: Tables) -> DataFrame:
         p, c = put(folder, name), render(kind)
         path = F.when(number == i, p) if path is None else path.when(number == i, p)
         content = F.when(number == i, c) if content is None else content.when(number == i, c)
-    return t.lineitem.select(F.col("l_orderkey").alias("repo"), path.alias("path"),
+    return t.spread_lineitem.select(F.col("l_orderkey").alias("repo"), path.alias("path"),
                              content.alias("content"))
 
 
@@ -138,7 +138,7 @@ def manifest_union(t: Tables) -> DataFrame:
   true AS cargo_lock_found FROM lineitem""")
 def lock_packages(t: Tables) -> DataFrame:
     body = F.repeat(put('[[package]]\nname = "', part(), '"\n\n'), F.col("l_linenumber") - 1)
-    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    rows = t.spread_lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                              put("version = 3\n", body).alias("content"))
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *[
         c.alias(n) for n, c in manifests.lock_packages(F.col("content")).items()])
@@ -152,7 +152,7 @@ def sum_modules(t: Tables) -> DataFrame:
                   F.col("l_partkey"), " v1.0.0/go.mod h1:def=\n\n// note here\nalone\n  example.com/",
                   F.col("l_suppkey"), "\tv2 h1:x=\n")
     return manifests.checksum_modules(
-        t.lineitem.select(F.col("l_orderkey").alias("repo"), content.alias("content")))
+        t.spread_lineitem.select(F.col("l_orderkey").alias("repo"), content.alias("content")))
 
 
 def counted(t: Tables) -> DataFrame:
@@ -183,7 +183,7 @@ def counted(t: Tables) -> DataFrame:
     for i, (name, text) in enumerate(texts.items()):
         kind = F.when(which == i, name) if kind is None else kind.when(which == i, name)
         content = F.when(which == i, text) if content is None else content.when(which == i, text)
-    return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    return t.spread_lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                              kind.alias("kind"), content.alias("content"))
 
 

@@ -41,7 +41,8 @@ def top_producers(t: Tables) -> DataFrame:
 @query("consumer_score", with_views("consumer", """SELECT id, round(consumer, 4) AS consumer_score
   FROM consumer"""))
 def consumer_score(t: Tables) -> DataFrame:
-    return graph.consumer_score(plan.base_features(t))
+    base = plan.base_features(t).select("id", "age_adj_dep_count")
+    return graph.consumer_score(cut_lineage(base))
 
 
 @query("pc_ratio", with_views("producer_consumer", "SELECT * FROM producer_consumer"))

@@ -17,7 +17,7 @@ LOWERED = "lower(text)"
 @query("keyword_hits", f"""SELECT doc_id, {hits_sql(LOWERED, HIGH)} AS high,
   {hits_sql(LOWERED, LOW)} AS low FROM documents""")
 def keyword_hits(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.keyword_hits(F.col("text"), HIGH).alias("high"),
+    return t.spread_documents.select("doc_id", text.keyword_hits(F.col("text"), HIGH).alias("high"),
                               text.keyword_hits(F.col("text"), LOW).alias("low"))
 
 
@@ -35,7 +35,7 @@ def description_signals(t: Tables) -> DataFrame:
   {hits_sql(LOWERED, fixed.README_HIGH)} - {hits_sql(LOWERED, fixed.README_LOW)})) AS published
   FROM documents""")
 def readme_signal(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return t.spread_documents.select(
         "doc_id", text.readme_signal(F.col("text"), HIGH, LOW).alias("signal"),
         text.readme_signal(F.col("text")).alias("published"))
 
@@ -55,7 +55,7 @@ def classify(t: Tables) -> DataFrame:
         .when(F.col("lang") == "fr", "C++").when(F.col("lang") == "de", "Python").otherwise("C#"))
     name = F.concat("source", F.lit("-"), doc % 50)
     found = text.classify(name, F.col("text"), F.lit(None).cast("string"), language, RULES, NAMED)
-    return t.documents.select("doc_id", found.alias("c")).select("doc_id", "c.*")
+    return t.spread_documents.select("doc_id", found.alias("c")).select("doc_id", "c.*")
 
 
 def markdown_sql(column: str) -> str:
@@ -79,7 +79,7 @@ def marked_up(t: Tables) -> DataFrame:
         F.lit("# Title "), F.col("doc_id"), F.lit(
             "\n![b](x.png) [link](http://a.b/c) **bold** `code`\n| a | b |\n|---|:--|\n- item\n---"
             "\n\n\n```"), F.col("lang"), F.lit("```"))
-    return t.documents.select("doc_id", F.concat(head, "text", F.lit("\n")).alias("text"))
+    return t.spread_documents.select("doc_id", F.concat(head, "text", F.lit("\n")).alias("text"))
 
 
 @query("markdown_strip", f"""SELECT 'd' || doc_id AS id, {markdown_sql("text")} AS text
@@ -96,7 +96,7 @@ def markdown_strip(t: Tables) -> DataFrame:
   THEN regexp_replace(substr(text, 1, 800), '^\s+|\s+$', '', 'g') ELSE '' END AS readme_excerpt
   FROM (SELECT doc_id, {markdown_sql("text")} AS text FROM documents)""")
 def excerpt(t: Tables) -> DataFrame:
-    clean = t.documents.select("doc_id", text.strip_markdown(F.col("text")).alias("clean"))
+    clean = t.spread_documents.select("doc_id", text.strip_markdown(F.col("text")).alias("clean"))
     return clean.select("doc_id", *[c.alias(n) for n, c in text.excerpt(F.col("clean")).items()])
 
 
@@ -128,7 +128,7 @@ def language_key(t: Tables) -> DataFrame:
         F.array(F.lit("Rust"), F.lit("TypeScript"), F.lit("Go")),
         (F.col("doc_id") % 3 + 1).cast("int")))
         .when(F.col("lang") == "fr", "C++").when(F.col("lang") == "de", "Python").otherwise("C#"))
-    return t.documents.select("doc_id", text.language_key(F.concat(label, F.lit(" ")))
+    return t.spread_documents.select("doc_id", text.language_key(F.concat(label, F.lit(" ")))
                               .alias("language"))
 
 
@@ -224,7 +224,7 @@ def map_share(t: Tables) -> DataFrame:
     parsed = F.from_json(raw, "map<string, bigint>")
     shares = payloads.language_shares(parsed)
     shares.pop("languages_detail")
-    return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    return t.spread_lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                              *[c.alias(n) for n, c in shares.items()])
 
 
@@ -238,7 +238,7 @@ def graph_counts(t: Tables) -> DataFrame:
                         lambda i: F.struct((i % 3).alias("fromNode")))
     raw = F.when(F.col("l_tax") != 0, F.to_json(F.struct(nodes.alias("nodes"), edges.alias("edges"))))
     parsed = F.from_json(raw, "nodes array<struct<n: int>>, edges array<struct<fromNode: int>>")
-    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    rows = t.spread_lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                              parsed.alias("g"))
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                        *[c.alias(n) for n, c in payloads.graph_counts(F.col("g")).items()])

@@ -96,6 +96,20 @@ class Tables:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         raise AttributeError(name)
 
+    def spread(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows of few files over all cores, for heavy work per row. Large inputs come in
+        many files and are left as they are."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+    @cached_property
+    def spread_lineitem(self) -> DataFrame:
+        return self.spread(self.lineitem, "l_orderkey")
+
+    @cached_property
+    def spread_documents(self) -> DataFrame:
+        return self.spread(self.documents, "doc_id")
+
     @cached_property
     def lines(self) -> DataFrame:
         """Order lines with their customer."""
@@ -129,7 +143,7 @@ class Tables:
         placed = self.orders.groupBy("o_custkey").agg(
             F.min("o_orderdate").alias("created"), F.max("o_orderdate").alias("pushed"),
             F.count(F.lit(1)).alias("stars"))
-        docs = self.documents.select(
+        docs = self.spread_documents.select(
             F.col("doc_id").alias("c_custkey"), F.col("text").alias("description"), "lang",
             F.concat(F.col("source"), F.lit("-"), F.col("doc_id") % 50).alias("doc_name"))
         base = (self.customer
@@ -206,7 +220,7 @@ class Tables:
 
         path = F.concat(pick(DIRS, doc), F.lit("/"), F.col("lang"), F.lit("/"),
                         doc.cast("string"), pick(EXTS, F.floor(doc / 8)))
-        return self.documents.select("doc_id", F.col("source").alias("repo"), path.alias("path"),
+        return self.spread_documents.select("doc_id", F.col("source").alias("repo"), path.alias("path"),
                                      F.col("text").alias("content"), "n_chars")
 
     @cached_property
