@@ -119,6 +119,12 @@ def lookup(key: Column, table: dict, default) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body names
+    it; inside conditions Spark would compute it anew at each mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def axis(start: float, step: float, count: int) -> list[float]:
     """Points of a grid axis by count, which no rounding can lengthen or shorten."""
     return [start + i * step for i in range(count)]

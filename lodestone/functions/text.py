@@ -10,22 +10,29 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from .keys import trim_all
-from .numeric import clip, lookup, total
+from .numeric import bound, lookup, total
 
 
-def keyword_hits(text: Column, phrases: Sequence[str]) -> Column:
-    """How many of the phrases occur, each counted once.
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def hits(text: Column, phrases: Sequence[str]) -> Column:
+    """Phrases found in text that is lower-cased already, each counted once."""
+    return total([F.contains(text, F.lit(p)).cast("int") for p in phrases])
 
-    A plain sum of ``contains`` stays inside generated code and lower-cases the text once.
-    """
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return total([F.contains(lowered, F.lit(p)).cast("int") for p in phrases])
+
+def keyword_hits(text: Column, phrases: Sequence[str]) -> Column:
+    """How many of the phrases occur, each counted once, case aside."""
+    return bound(lowered(text), lambda t: hits(t, phrases))
 
 
 def readme_signal(text: Column, high: Sequence[str] = fixed.README_HIGH,
                   low: Sequence[str] = fixed.README_LOW) -> Column:
     """Depth phrases minus packaging phrases, bounded."""
-    return clip(keyword_hits(text, high) - keyword_hits(text, low), *fixed.README_RANGE)
+    balance = bound(lowered(text), lambda t: hits(t, high) - hits(t, low))
+    least, most = fixed.README_RANGE
+    return F.greatest(F.lit(least), F.least(F.lit(most), balance))
 
 
 def description_signals(description: Column, topics: Column) -> dict[str, Column]:
@@ -48,20 +55,21 @@ def classify(name: Column, description: Column, topics: Column, language: Column
     """
     by_name = fixed.CATEGORY_BY_NAME if by_name is None else by_name
     known = {n: category for category, names in by_name.items() for n in names}
-    text = F.lower(F.concat_ws(" ", F.coalesce(description, F.lit("")),
-                               F.coalesce(topics, F.lit(""))))
+    text = F.concat_ws(" ", F.coalesce(description, F.lit("")), F.coalesce(topics, F.lit("")))
 
     def outcome(category, bonus):
         return F.struct(F.lit(category).alias("category"), F.lit(float(bonus)).alias("bonus"))
 
-    ruled = None
-    for category, bonus, phrases, languages in rules:
-        hit = reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases])
-        if languages:
-            hit = F.coalesce(language.isin(list(languages)), F.lit(False)) & hit
-        ruled = (F.when(hit, outcome(category, bonus)) if ruled is None
-                 else ruled.when(hit, outcome(category, bonus)))
-    ruled = ruled.otherwise(outcome(fixed.DEFAULT_CATEGORY, 0.0))
+    def first_rule(t):
+        ruled = F.when(F.lit(False), outcome(fixed.DEFAULT_CATEGORY, 0.0))
+        for category, bonus, phrases, languages in rules:
+            hit = reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in phrases])
+            if languages:
+                hit = F.coalesce(language.isin(list(languages)), F.lit(False)) & hit
+            ruled = ruled.when(hit, outcome(category, bonus))
+        return ruled.otherwise(outcome(fixed.DEFAULT_CATEGORY, 0.0))
+
+    ruled = bound(F.lower(text), first_rule)
     if not known:
         return ruled
     named = lookup(name, known, None)

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.numeric import axis
-from .scoring import base_score, capped, category_cap
+from ..functions.numeric import axis, clip, total
+from ..session import cut_lineage
+from .scoring import SIGNAL_WEIGHTS, capped, category_cap, score_terms, weight
 
 MICRO = 1_000_000
 BLOCKS = 16
@@ -48,13 +49,25 @@ def size(axes) -> int:
 GRID = [fixed.GRID_DEP, fixed.GRID_WRAPPER, fixed.GRID_CAP, fixed.GRID_USAGE]
 
 
-def needed(anchors: DataFrame) -> DataFrame:
-    """Only what a prediction reads, so the grid multiplies narrow rows."""
-    columns = ["dep_score", "code_score", "contrib_score", "cat_bonus", "readme_tech_signal",
-               "has_benchmarks", "ai_scratch", "ai_protocol", "ai_novel", "ai_found",
-               "ai_wrapper", "ai_template", "star_score", "activity_score", "usage_signal",
-               "producer_score", "consumer_score", "pc_ratio", "category", "target"]
-    return anchors.select(*[c for c in anchors.columns if c in columns + ["id"]])
+def needed(anchors: DataFrame, weights: dict = fixed.WEIGHTS) -> DataFrame:
+    """Per anchor only what varies between models, and the sum of all that does not."""
+    varying = ("dep_score", "signals", "usage_signal")
+    rest = total([c for n, c in score_terms(weights).items() if n not in varying])
+    other = total([F.lit(float(weights[w])) * F.coalesce(F.col(c), F.lit(0.0))
+                   for c, w in SIGNAL_WEIGHTS.items() if c != "ai_wrapper"])
+    return anchors.select("category", "target", "dep_score",
+                          F.coalesce("usage_signal", F.lit(0.0)).alias("usage"),
+                          F.coalesce("ai_wrapper", F.lit(0.0)).alias("wrapper"),
+                          rest.alias("rest"), other.alias("other_signals"))
+
+
+def model_base(dep, wrapper, usage) -> Column:
+    """Score before any cap of a ``needed`` row under a model."""
+    signals = clip(F.col("other_signals") + weight(wrapper) * F.col("wrapper"),
+                   -fixed.SIGNAL_LIMIT, fixed.SIGNAL_LIMIT)
+    raw = (F.col("rest") + weight(dep) * F.col("dep_score")
+           + weight(usage) * F.col("usage") + signals)
+    return F.lit(fixed.SCORE_BASE) + raw / F.lit(fixed.SCORE_DIVISOR) * F.lit(fixed.SCORE_SPAN)
 
 
 def grid_errors(anchors: DataFrame, faithful: bool = True) -> DataFrame:
@@ -68,13 +81,12 @@ def grid_errors(anchors: DataFrame, faithful: bool = True) -> DataFrame:
     combos = needed(anchors).withColumn(
         "model", F.explode(F.sequence(F.lit(0), F.lit(size(axes) - 1))))
     values = grid_axes(F.col("model"), axes)
-    weights = dict(fixed.WEIGHTS, dep_weight=values[0], ai_wrapper_coef=values[1])
-    if not faithful:
-        weights["usage_weight"] = values[3]
+    usage = fixed.WEIGHTS["usage_weight"] if faithful else values[3]
+    base = model_base(values[0], values[1], usage)
     cap = F.when(F.col("category").isin(fixed.GRID_CAP_CATEGORIES), values[2]) \
         .otherwise(category_cap())
     sums = combos.groupBy("model").agg(
-        F.sum(error(capped(base_score(weights), cap))).alias("error"),
+        F.sum(error(capped(base, cap))).alias("error"),
         F.count(F.lit(1)).alias("n"))
     if not faithful:
         return sums.select(F.col("model").alias("combo_id"), "error", "n")
@@ -111,8 +123,8 @@ def cap_errors(anchors: DataFrame, weights: dict, caps: dict) -> DataFrame:
 
     Errors of different categories add up, so 34 sums stand for all 5,184 combinations.
     """
-    base = base_score(weights)
-    rows = needed(anchors).select("category", "target", base.alias("base"))
+    base = model_base(weights["dep_weight"], weights["ai_wrapper_coef"], weights["usage_weight"])
+    rows = needed(anchors, weights).select("category", "target", base.alias("base"))
     sums = []
     fixed_error = F.when(~F.col("category").isin(list(fixed.CAP_AXES)),
                          error(capped(F.col("base"), category_cap(caps))))
@@ -178,9 +190,10 @@ def cv_error_vectors(anchors: DataFrame, weights: dict, caps: dict) -> DataFrame
     vector = []
     for dep in axis(*CV[0]):
         for wrapper in axis(*CV[1]):
-            w = dict(weights, dep_weight=dep, ai_wrapper_coef=wrapper)
-            vector.append(error(capped(base_score(w), category_cap(caps))))
-    return anchors.select(F.array(*vector).alias("e"))
+            base = model_base(dep, wrapper, weights["usage_weight"])
+            vector.append(error(capped(base, F.col("cap"))))
+    rows = needed(anchors, weights).withColumn("cap", category_cap(caps))
+    return rows.select(F.array(*vector).alias("e"))
 
 
 def leave_two_out(anchors: DataFrame, weights: dict, caps: dict) -> DataFrame:
@@ -202,8 +215,8 @@ def leave_two_out(anchors: DataFrame, weights: dict, caps: dict) -> DataFrame:
         return F.get(array, F.lit(g))
 
     e = F.col("e")
-    # Distinct error vectors with their number: the only table that is used twice.
-    vectors = errors.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    # Distinct error vectors with their number, written once as several sums read them.
+    vectors = cut_lineage(errors.groupBy("e").agg(F.count(F.lit(1)).alias("n")))
     sums = vectors.agg(F.sum("n").alias("anchors"),
                        F.array(*[F.sum(F.col("n") * at(e, g)) for g in range(models)])
                        .alias("total"))

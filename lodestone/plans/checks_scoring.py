@@ -170,7 +170,7 @@ def grid_search(t: Tables) -> DataFrame:
 
 def fitted(t: Tables) -> tuple[DataFrame, dict, dict]:
     """Anchors and the grid's best weights and caps."""
-    anchors = cut_lineage(tuning.needed(plan.anchor_features(t)))
+    anchors = cut_lineage(plan.anchor_features(t))
     best = tuning.grid_search(anchors).first()
     weights = dict(scoring.fixed.WEIGHTS, dep_weight=best["dep_weight"],
                    ai_wrapper_coef=best["wrapper_coef"])
@@ -185,7 +185,7 @@ def cap_search(t: Tables) -> DataFrame:
 
 @query("leave_two_out", with_views("cv", "SELECT pairs, round(cv_mae, 6) AS cv_mae FROM cv"))
 def leave_two_out(t: Tables) -> DataFrame:
-    anchors = cut_lineage(tuning.needed(plan.anchor_features(t)))
+    anchors = cut_lineage(plan.anchor_features(t))
     weights, caps = tuning.tune(anchors)
     return tuning.leave_two_out(anchors, weights, caps).withColumn("cv_mae", F.round("cv_mae", 6))
 
