@@ -201,12 +201,12 @@ def leave_two_out(anchors: DataFrame, weights: dict, caps: dict) -> DataFrame:
     other anchors. Exact, one row.
 
     The training error of a pair is the column total less the pair's own errors, so nothing
-    is refitted. Let the reference model be the one best on all anchors. A pair moves the
-    choice only if its gain under another model reaches that model's distance in total
-    error. Anchors that cannot reach it with any partner are settled by one sum. The rest
-    are merged where their vectors agree, and only those merged rows are paired, over a grid of
-    blocks, each row meeting each block once. With more anchors the distances grow and the
-    gains do not, so fewer rows are left.
+    is refitted. Let the reference model be the one best on all anchors. Leaving a pair out
+    turns the choice to another model only where the pair's extra error under that model
+    reaches the model's distance in total error. Anchors that cannot reach it with any
+    partner are settled by one sum. The rest are merged where their vectors agree, and only
+    those merged rows are paired, over a grid of blocks, each row meeting each block once.
+    With more anchors the distances grow and the extra errors do not, so fewer are left.
     """
     models = size(CV)
     errors = cv_error_vectors(anchors, weights, caps)
@@ -224,40 +224,43 @@ def leave_two_out(anchors: DataFrame, weights: dict, caps: dict) -> DataFrame:
     sums = sums.select("anchors", "total", best.alias("best"),
                        F.transform("total", lambda t: t - F.array_min("total")).alias("gap"))
     known = sums.select(F.struct("anchors", "best", "gap", "total").alias("s")).scalar()
-    gained = F.transform(e, lambda x: F.get(e, F.col("s.best")) - x)
-    rows = vectors.withColumn("s", known).select(
-        "n", "s", F.get(e, F.col("s.best")).alias("own"), gained.alias("gain"))
-    most = rows.agg(F.array(*[F.max(at(F.col("gain"), g)) for g in range(models)]).alias("m")
+    extra = F.transform(e, lambda x: x - F.get(e, F.col("s.best")))
+    rows = vectors.withColumn("s", known).select("n", "s", extra.alias("extra"))
+    most = rows.agg(F.array(*[F.max(at(F.col("extra"), g)) for g in range(models)]).alias("m")
                     ).scalar()
-    # A pair turns to model g if gain_i + gain_j exceeds gap_g, or equals it and g is earlier.
     rows = rows.withColumn("m", most)
-    turns = F.exists(F.sequence(F.lit(0), F.lit(models - 1)), lambda g: (
-        (g != F.col("s.best"))
-        & (F.get(F.col("gain"), g) + F.get(F.col("m"), g) >= F.get(F.col("s.gap"), g))
-        & ((F.get(F.col("gain"), g) + F.get(F.col("m"), g) > F.get(F.col("s.gap"), g))
-           | (g < F.col("s.best")))))
+
+    def reaches(g):
+        # A pair turns to g if its extra error exceeds the gap, or equals it and g is earlier.
+        highest = F.get(F.col("extra"), g) + F.get(F.col("m"), g)
+        gap = F.get(F.col("s.gap"), g)
+        return (g != F.col("s.best")) & (
+            (highest > gap) | ((highest == gap) & (g < F.col("s.best"))))
+
+    turns = F.exists(F.sequence(F.lit(0), F.lit(models - 1)), reaches)
     movable = (rows.filter(turns)
-               .groupBy("gain").agg(F.sum("n").alias("n"), F.any_value("s").alias("s"))
-               .withColumn("block", F.pmod(F.xxhash64("gain"), F.lit(BLOCKS))))
+               .groupBy("extra").agg(F.sum("n").alias("n"), F.any_value("s").alias("s"))
+               .withColumn("block", F.pmod(F.xxhash64("extra"), F.lit(BLOCKS))))
     others = F.sequence(F.lit(0).cast("bigint"), F.lit(BLOCKS - 1).cast("bigint"))
-    left = movable.select("gain", "n", "s", F.col("block").alias("b1"), F.explode(others).alias("b2"))
-    right = movable.select(F.col("gain").alias("gain2"), F.col("n").alias("n2"),
+    left = movable.select("extra", "n", "s", F.col("block").alias("b1"),
+                          F.explode(others).alias("b2"))
+    right = movable.select(F.col("extra").alias("extra2"), F.col("n").alias("n2"),
                            F.explode(others).alias("b1"), F.col("block").alias("b2"))
-    pairs = left.join(right, ["b1", "b2"]).filter(F.col("gain") <= F.col("gain2"))
-    both = F.zip_with("gain", "gain2", lambda a, b: a + b)
-    rest = F.zip_with(both, F.col("s.gap"), lambda g, d: d - g)
+    pairs = left.join(right, ["b1", "b2"]).filter(F.col("extra") <= F.col("extra2"))
+    both = F.zip_with("extra", "extra2", lambda a, b: a + b)
+    rest = F.zip_with(both, F.col("s.gap"), lambda x, gap: gap - x)
     chosen = F.array_position(rest, F.array_min(rest)).cast("int") - 1
-    same = F.col("gain") == F.col("gain2")
+    same = F.col("extra") == F.col("extra2")
     number = F.when(same, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("n2"))
-    moved = pairs.select((F.get(both, chosen) * number).alias("saved")) \
-        .agg(F.coalesce(F.sum("saved"), F.lit(0.0)).alias("saved")).scalar()
+    moved = pairs.select((F.get(both, chosen) * number).alias("x")) \
+        .agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("x")).scalar()
     held = sums.select(
         F.col("anchors").alias("n"),
         (F.get(F.col("total"), F.col("best")) * (F.col("anchors") - 1)).alias("settled"))
     pair_count = F.col("n") * (F.col("n") - 1) / 2
     return held.select(
         pair_count.cast("bigint").alias("pairs"),
-        (F.try_divide(F.col("settled") - moved, pair_count * 2) / MICRO).alias("cv_mae"))
+        (F.try_divide(F.col("settled") + moved, pair_count * 2) / MICRO).alias("cv_mae"))
 
 
 def overfit_gap(cv_mae: Column, train_mae: Column) -> dict[str, Column]:

@@ -113,7 +113,7 @@ class Tables:
     @cached_property
     def lines(self) -> DataFrame:
         """Order lines with their customer."""
-        return self.lineitem.join(self.orders.select("o_orderkey", "o_custkey"),
+        return self.spread_lineitem.join(self.orders.select("o_orderkey", "o_custkey"),
                                   F.col("l_orderkey") == F.col("o_orderkey"))
 
     @cached_property
