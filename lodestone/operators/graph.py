@@ -96,7 +96,7 @@ def out_degree(edges: DataFrame) -> DataFrame:
 def neighbour_quality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Log-scaled mean dependency count of a node's own dependencies; a dependency that
     declares none counts 0."""
-    links = collapsed(edges)
+    links = cut_lineage(collapsed(edges))
     degree = links.groupBy("src").agg(F.sum("n").alias("out_degree"))
     seen = skewed_join(links.withColumnRenamed("dst", "dep"),
                        degree.withColumnRenamed("src", "dep"), "dep", F.col("src"), "left")

@@ -222,12 +222,13 @@ def packed_deps(deps: DataFrame, extra: list[str] | None = None) -> DataFrame:
             .groupBy("repo", "_slot").agg(F.collect_list("_d").alias("deps")).drop("_slot"))
 
 
-def usage_per_file(files: DataFrame, deps: DataFrame, cap: int | None = fixed.FILE_CAP,
-                   unicode: bool = True, broadcast_deps: int = BROADCAST_DEPS) -> DataFrame:
-    """Counts per file and dependency, where any is above 0.
+def candidates(files: DataFrame, deps: DataFrame, cap: int | None = None,
+               broadcast_deps: int = BROADCAST_DEPS) -> DataFrame:
+    """Every scanned text beside each dependency that may occur in it.
 
-    Texts meet the dependency lists by broadcast while those are few (checked), and by a
-    join spread over hot projects beyond that. One shuffle of text at most, none usually.
+    Texts meet the dependency lists by broadcast while those are few (checked; the lists
+    have no more rows than ``deps``), and by a join spread over hot projects beyond that. One
+    shuffle of text at most, none usually; each text is lower-cased once.
     """
     side = packed_deps(deps)
     texts = source_files(files).filter(F.col("content").rlike(r"(?U)\S"))
@@ -241,9 +242,16 @@ def usage_per_file(files: DataFrame, deps: DataFrame, cap: int | None = fixed.FI
         met = met.filter(F.col("last").isNull() | (F.struct("rank", "path") <= F.col("last")))
     each = met.select("repo", "path", "language", "content",
                       F.lower("content").alias("lowered"), F.explode("deps").alias("d"))
-    hit = each.filter(may_occur(F.col("lowered"), F.col("d.terms"), F.col("language")))
-    counted = hit.select("repo", "path", F.col("d.dep").alias("dep"), usage_in_text(
-        F.col("content"), F.col("d.terms"), F.col("language"), unicode).alias("u"))
+    return each.filter(may_occur(F.col("lowered"), F.col("d.terms"), F.col("language"))).select(
+        "repo", "path", "language", "content", "d.dep", "d.terms")
+
+
+def usage_per_file(files: DataFrame, deps: DataFrame, cap: int | None = fixed.FILE_CAP,
+                   unicode: bool = True, broadcast_deps: int = BROADCAST_DEPS) -> DataFrame:
+    """Counts per file and dependency, where any is above 0."""
+    found = usage_in_text(F.col("content"), F.col("terms"), F.col("language"), unicode)
+    counted = candidates(files, deps, cap, broadcast_deps).select(
+        "repo", "path", "dep", found.alias("u"))
     return (counted.select("repo", "path", "dep", "u.*")
             .filter(F.col("imports") + F.col("aliases") + F.col("calls") > 0))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, payloads
 from ..operators import features
+from ..session import cut_lineage
 from . import scoring_plan  # noqa: F401  (defines views used below)
 from .registry import query
 from .views import AS_OF, Tables, with_views
@@ -43,7 +44,7 @@ def ecosystem_scale(t: Tables) -> DataFrame:
   AS count FROM (SELECT s_suppkey, n_name, CASE WHEN s_acctbal < 4000 THEN 0.0::DOUBLE
   ELSE floor(s_acctbal / 1000) END AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey)""")
 def proxy_override(t: Tables) -> DataFrame:
-    named = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    named = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     count = F.when(F.col("s_acctbal") < 4000, 0.0).otherwise(
         F.floor(F.col("s_acctbal") / 1000).cast("double"))
     return named.select("s_suppkey", features.proxy_override(
@@ -127,7 +128,9 @@ def derived_ratios(t: Tables) -> DataFrame:
   AS activity_score, round(ln(1 + stars) / ln(1 + max(stars) OVER ()), 5) AS star_score
   FROM base_features"""))
 def activity_score(t: Tables) -> DataFrame:
-    df = features.with_norms(features.with_age(t.projects, AS_OF))
+    aged = features.with_age(t.projects, AS_OF).select(
+        "id", "stars", "commits_last_year", "repo_age_years")
+    df = features.with_norms(cut_lineage(aged))
     return df.select("id", F.round("activity_score", 5).alias("activity_score"),
                      F.round("star_score", 5).alias("star_score"))
 

@@ -85,12 +85,7 @@ VIEWS["declared"] = """SELECT d.repo, d.dep, d.terms,
 
 @query("term_prefilter", with_views("pairs", "SELECT repo, path, dep FROM pairs"))
 def term_prefilter(t: Tables) -> DataFrame:
-    files = usage.source_files(t.code)
-    lists = usage.packed_deps(t.deps)
-    each = files.join(lists, "repo").select(
-        "repo", "path", "language", F.lower("content").alias("lowered"), F.explode("deps").alias("d"))
-    return each.filter(usage.may_occur(F.col("lowered"), F.col("d.terms"), F.col("language"))) \
-        .select("repo", "path", "d.dep")
+    return usage.candidates(t.code, t.deps).select("repo", "path", "dep")
 
 
 @query("capped_files", with_views("scanned", f"""SELECT repo, path, bucket, rn FROM (SELECT *,
@@ -114,13 +109,11 @@ def usage_counts(t: Tables) -> DataFrame:
 
 @query("alias_calls", with_views("alias_counts", "SELECT repo, path, dep, n FROM alias_counts"))
 def alias_calls(t: Tables) -> DataFrame:
-    files = usage.source_files(t.code).filter(F.col("language").isin(usage.UNGATED))
-    each = files.join(usage.packed_deps(t.deps), "repo").select(
-        "repo", "path", "language", "content", F.explode("deps").alias("d"))
-    terms, content = F.col("d.terms"), F.col("content")
+    each = usage.candidates(t.code, t.deps).filter(F.col("language").isin(usage.UNGATED))
+    terms, content = F.col("terms"), F.col("content")
     bound = F.when(F.col("language") == "python", usage.aliases_of(content, terms, "python")) \
         .otherwise(usage.aliases_of(content, terms, "javascript"))
-    found = each.select("repo", "path", "d.dep", "content", bound.alias("a")).filter(F.size("a") > 0)
+    found = each.select("repo", "path", "dep", "content", bound.alias("a")).filter(F.size("a") > 0)
     return found.select("repo", "path", "dep", usage.alias_calls(content, F.col("a"))
                         .cast("bigint").alias("n"))
 

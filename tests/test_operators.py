@@ -410,3 +410,34 @@ def test_resume_equals_one_shot(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+# ---- plans -------------------------------------------------------------------------------
+
+def test_texts_are_not_shuffled(spark):
+    """With few dependencies the only exchanges carry names and counts."""
+    from plans import hazards, plan_of
+
+    files = spark.createDataFrame([("r", "a.py", "import lib")], "repo string, path string, content string")
+    deps = spark.createDataFrame([("r", "o/lib", ["lib"])], "repo string, dep string, terms array<string>")
+    path, path2 = fresh_path(spark, "files"), fresh_path(spark, "deps")
+    files.write.parquet(path), deps.write.parquet(path2)
+    found = usage.usage_per_file(spark.read.parquet(path), spark.read.parquet(path2))
+    plan = plan_of(found.groupBy("repo", "dep").agg(F.sum("calls")))
+    assert hazards(plan) == []
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "content" not in line
+    scans = [x for x in plan.splitlines() if "ReadSchema" in x and "content" in x]
+    assert len(scans) == 1
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    from plans import plan_of
+
+    path = fresh_path(spark, "usage")
+    spark.range(5).selectExpr("id AS repo", "id AS dependency", "1.0 AS weighted_score",
+                              "id AS file_count", "'x' AS extra").write.parquet(path)
+    plan = plan_of(aggregates.top_dependencies(spark.read.parquet(path)))
+    assert "PushedFilters: [IsNotNull(file_count), GreaterThanOrEqual(file_count,0)]" in plan
+    assert "extra" not in plan and "TakeOrderedAndProject" in plan
