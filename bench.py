@@ -16,10 +16,10 @@ from lodestone.plans.registry import load, runner
 from lodestone.session import build_session
 
 HEADLINE = [
-    "producer_score", "originality_pipeline", "tuned_pipeline", "usage_scores", "usage_counts",
-    "capped_files", "manifest_union", "manifest_match", "manifest_counts", "classify",
-    "markdown_strip", "tree_stats", "feature_assembly", "package_rollup", "grid_search",
-    "leave_two_out", "ensemble_vote", "quality_profile", "stream_resume",
+    "ensemble_vote", "tree_stats", "capped_files", "feature_assembly", "classify",
+    "quality_profile", "stream_resume", "package_rollup", "markdown_strip", "manifest_counts",
+    "manifest_union", "manifest_match", "usage_scores", "producer_score",
+    "originality_pipeline", "tuned_pipeline", "leave_two_out",
 ]
 
 
