@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, paths
 from ..functions.numeric import total
+from ..functions.text import search_terms
 from ..session import within
-from .joins import skewed_join
+from .joins import one_row_per_key, skewed_join
 from .manifests import match_declared, with_bonus
 from .ranking import first_per_group
 
@@ -160,6 +161,19 @@ def usage_in_text(content: Column, terms: Column, language: Column, unicode: boo
     return chosen.otherwise(family_counts("other"))
 
 
+def with_search_terms(deps: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Adds ``terms`` to ``dep, language``: those listed for a known slug (``slug`` in lower
+    case, ``terms``; 2 characters at least), else those made from the name."""
+    made = search_terms(F.col("dep"), F.col("language"))
+    if overrides is None:
+        return deps.withColumn("terms", made)
+    listed = one_row_per_key(overrides.select(
+        F.col("slug").alias("_slug"), F.filter("terms", lambda t: F.length(t) >= 2)
+        .alias("_listed")), "_slug")
+    return (deps.withColumn("_slug", F.lower("dep")).join(listed, "_slug", "left")
+            .withColumn("terms", F.coalesce("_listed", made)).drop("_slug", "_listed"))
+
+
 def may_occur(lowered: Column, terms: Column, language: Column) -> Column:
     """Cheap test ahead of the patterns: some term occurs, case aside. Python, JavaScript
     and TypeScript pass untested."""

@@ -88,6 +88,20 @@ def term_prefilter(t: Tables) -> DataFrame:
     return usage.candidates(t.code, t.deps).select("repo", "path", "dep")
 
 
+@query("known_search_terms", """SELECT p_partkey, CASE WHEN p_size % 7 = 0
+  THEN array_to_string(list_filter([lower(p_brand), 'x', 'io'], lambda t: length(t) >= 2), ',')
+  ELSE array_to_string(list_filter([p_type || 'Tool-' || p_partkey], lambda t: length(t) >= 3), ',') END AS terms
+  FROM part""")
+def known_search_terms(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("Acme/"), "p_type", F.lit("Tool-"), F.col("p_partkey"))
+    deps = t.part.select("p_partkey", name.alias("dep"), F.lit("Go").alias("language"))
+    known = t.part.filter("p_size % 7 = 0").select(
+        F.lower(name).alias("slug"),
+        F.array(F.lower("p_brand"), F.lit("x"), F.lit("io")).alias("terms"))
+    return usage.with_search_terms(deps, known).select(
+        "p_partkey", F.array_join("terms", ",").alias("terms"))
+
+
 @query("capped_files", with_views("scanned", f"""SELECT repo, path, bucket, rn FROM (SELECT *,
   row_number() OVER (PARTITION BY repo ORDER BY rank, path) AS rn FROM scanned) WHERE rn <= {FILE_CAP}"""))
 def capped_files(t: Tables) -> DataFrame:
