@@ -153,8 +153,8 @@ def ensemble_agreement(t: Tables) -> DataFrame:
 # ---- tuning ------------------------------------------------------------------------------
 
 @query("param_grid", with_views("model_errors models", """SELECT m * 4 + u AS combo_id,
-  round(dep_w, 2) AS dep_weight, round(wrap_w, 2) AS wrapper_coef, round(cap_w, 2) AS cap,
-  round(-0.06 + u * 0.02, 2) AS usage_weight, round(error / n / 1000000, 6) AS mae
+  round(dep_w, 2)::DOUBLE AS dep_weight, round(wrap_w, 2)::DOUBLE AS wrapper_coef, round(cap_w, 2)::DOUBLE AS cap,
+  round(-0.06 + u * 0.02, 2)::DOUBLE AS usage_weight, round(error / n / 1000000, 6) AS mae
   FROM model_errors JOIN models USING (m), (SELECT unnest([0, 1, 2, 3]) AS u)"""))
 def param_grid(t: Tables) -> DataFrame:
     errors = tuning.grid_errors(plan.anchor_features(t))
@@ -162,7 +162,7 @@ def param_grid(t: Tables) -> DataFrame:
 
 
 @query("grid_search", with_views("grid_best", """SELECT m * 4 AS combo_id,
-  round(dep_w, 2) AS dep_weight, round(wrap_w, 2) AS wrapper_coef, round(cap_w, 2) AS cap,
+  round(dep_w, 2)::DOUBLE AS dep_weight, round(wrap_w, 2)::DOUBLE AS wrapper_coef, round(cap_w, 2)::DOUBLE AS cap,
   -0.06::DOUBLE AS usage_weight, round(error / n / 1000000, 6) AS mae FROM grid_best"""))
 def grid_search(t: Tables) -> DataFrame:
     return tuning.grid_search(plan.anchor_features(t)).withColumn("mae", F.round("mae", 6))

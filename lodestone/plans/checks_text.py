@@ -46,7 +46,7 @@ DOC_LANGUAGE = """CASE lang WHEN 'en' THEN ['Rust','TypeScript','Go'][doc_id % 3
 
 
 @query("classify", f"""SELECT doc_id, {rule_sql(LOWERED, "language", "name", 0)} AS category,
-  {rule_sql(LOWERED, "language", "name", 1)} AS bonus
+  ({rule_sql(LOWERED, "language", "name", 1)})::DOUBLE AS bonus
   FROM (SELECT *, {DOC_NAME} AS name, {DOC_LANGUAGE} AS language FROM documents)""")
 def classify(t: Tables) -> DataFrame:
     doc = F.col("doc_id")

@@ -147,7 +147,7 @@ def file_score(t: Tables) -> DataFrame:
 
 @query("manifest_match", with_views("declared", """SELECT repo, dep, in_prod, in_dev,
   in_prod OR in_dev AS manifest_match, in_dev AND NOT in_prod AS dev_only,
-  CASE WHEN in_prod THEN 3.0 WHEN in_dev THEN 0.9 ELSE 0.0 END AS bonus FROM declared"""))
+  (CASE WHEN in_prod THEN 3.0 WHEN in_dev THEN 0.9 ELSE 0.0 END)::DOUBLE AS bonus FROM declared"""))
 def manifest_match(t: Tables) -> DataFrame:
     names = manifests.extract_all(t.code_manifests)
     return manifests.with_bonus(manifests.match_declared(t.deps, names)).drop("terms")

@@ -390,5 +390,5 @@ VIEWS["tree"] = f"""SELECT source AS repo,
   || {sql_case("CAST(doc_id % 5 AS VARCHAR)", TREE_EXT, "'.rs'")} AS path,
   CASE WHEN doc_id % 9 = 0 THEN 'tree' ELSE 'blob' END AS type, n_chars AS size, doc_id AS ord
   FROM documents"""
-VIEWS["anchors"] = """SELECT doc_id AS id, round(0.35 + quality * 0.40 + (1 - toxic) * 0.10, 2) AS target
+VIEWS["anchors"] = """SELECT doc_id AS id, round(0.35 + quality * 0.40 + (1 - toxic) * 0.10, 2)::DOUBLE AS target
   FROM labels"""
