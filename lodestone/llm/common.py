@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,37 @@ def chunks_of(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, list
         yield first, held
 
 
+def remainder(key: Column, n: int) -> Column:
+    """CRC-32 of a key as text, modulo n."""
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
+                    per_label: int) -> list[tuple]:
+    """(label, whole text) of about ``per_label`` documents of each label, all if there are
+    fewer: those whose key's hash falls below the share wanted. One row of a repeated key.
+
+    Classes are few and the sample is bounded, so it goes to the driver, where models are
+    fitted. Texts are read for the chosen keys only. Null keys, labels and texts are left out.
+    """
+    marks = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).filter(
+        "key is not null and label is not null")
+    sizes = marks.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    share = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = marks.join(F.broadcast(sizes), "label").filter(share < per_label / F.col("n")).select(
+        "key", "label").distinct()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null").join(
+        F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text")).collect()
+    return [(r.label, r.text) for r in sorted(rows, key=lambda r: (r.key, r.label))]
+
+
+def text_beside(docs: DataFrame, text: str, keep: Sequence[str]) -> tuple[DataFrame, int]:
+    """(the kept columns and the text, the text's place); a kept text is not sent twice."""
+    if text in keep:
+        return docs.select(*keep), list(keep).index(text)
+    return docs.select(*keep, F.col(text).alias("_text")), len(keep)
+
+
 def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Joins the trees of ``a[i]`` and ``b[i]``; every node then points at its smallest."""
     while True:

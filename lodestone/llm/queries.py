@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, mixing, packing, rotation_codes, sharding, simhash
-from .common import table
+from . import (
+    extraction, language, maxscore, mixing, packing, quality, rotation_codes, sharding, simhash, toxicity,
+)
+from .common import labelled_sample, remainder, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -140,3 +142,55 @@ def anchor_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"))
+
+
+@query("op5_tree_extraction")
+def tree_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = extraction.extract(table(spark, folder, "pages"), "html", ["page_id", "url"])
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    """Learned from documents whose CRC-32 of the id is not divisible by 5."""
+    learned = docs.filter(remainder(F.col("doc_id"), 5) != 0)
+    return language.train(labelled_sample(
+        learned, learned, "doc_id", "text", "lang", language.DOCS_PER_LANGUAGE))
+
+
+def held_out(modulus: int, rest: int):
+    return F.coalesce(remainder(F.col("doc_id"), modulus) == rest, F.lit(False)).alias("held_out")
+
+
+@query("op7_crf_language")
+def crf_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, "text", language_model(docs), keep=["doc_id"])
+    return found.select("doc_id", held_out(5, 0), "lang_pred", "score")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Learned from labels whose CRC-32 of the id is not divisible by 5."""
+    learned = labels.filter(remainder(F.col("doc_id"), 5) != 0)
+    return quality.train(labelled_sample(
+        docs, learned, "doc_id", "text", "quality", quality.DOCS_PER_LABEL))
+
+
+@query("op8_crf_quality")
+def crf_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = quality.score(docs, "text", quality_model(docs, labels), keep=["doc_id"])
+    return found.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from labels whose CRC-32 of the id leaves a remainder other than 2 by 4."""
+    learned = labels.filter(remainder(F.col("doc_id"), 4) != 2)
+    return toxicity.train(labelled_sample(
+        docs, learned, "doc_id", "text", "toxic", toxicity.DOCS_PER_LABEL))
+
+
+@query("op9_counterfactual_toxicity")
+def counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = toxicity.score(docs, "text", toxicity_model(docs, labels), keep=["doc_id"])
+    return found.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

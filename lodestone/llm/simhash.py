@@ -1,30 +1,49 @@
 """Near-duplicates by SimHash, compared at the anchors of a covering code.
 
-The 64 bits are cut in three parts of 21 or 22 bits. Fingerprints at most 5 bits apart are at
-most 1 apart in some part. Each part has its own anchors: words whose first 15 bits form the
-perfect Hamming code, the others free. That code covers every word within radius 1, so a
-fingerprint has a home anchor in each part, and two words 1 apart are both within 1 + 1 of the
-home of either. A fingerprint is therefore sent to its home and to every anchor within 2, and
-compared with the residents there: no link is lost and no anchor holds more than those near it.
+The first 64 bits of a fingerprint are cut in parts. Each part has its own anchors: words whose
+first 15 bits form the perfect Hamming code, the others free. That code covers every word
+within radius 1, so a fingerprint has a home anchor in each part, and two words at most t apart
+are both within 1 + t of the home of either. A fingerprint is therefore sent to its home and to
+every anchor within 1 + t, and compared with the residents there. With n parts, fingerprints at
+most n (t + 1) - 1 bits apart are at most t apart in some part: no such link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import components, unite
 
 SEED = 42
-PARTS = ((0, 21), (21, 21), (42, 22))
 CODE = 15
-MOST = 3 * 1 + 2
 PAIRS = 1 << 22
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass(frozen=True)
+class Cover:
+    """Parts of the first 64 bits (first bit, width), and how far apart in one part links are."""
+
+    parts: tuple[tuple[int, int], ...]
+    apart: int
+
+    @property
+    def most(self) -> int:
+        return len(self.parts) * (self.apart + 1) - 1
+
+
+#: For strict links: up to 5 bits, about 46 rows a fingerprint.
+NARROW = Cover(((0, 21), (21, 21), (42, 22)), 1)
+#: For similar texts: up to 11 bits, about 180 rows a fingerprint.
+WIDE = Cover(((0, 16), (16, 16), (32, 16), (48, 16)), 2)
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -52,63 +71,64 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``key, fp``; null text counts as empty."""
+def fingerprints(docs: DataFrame, key: str, text: str, width: int, wide: bool = False) -> DataFrame:
+    """``key, fp``, and if ``wide`` 64 bits ``more`` from the same hashes mixed once again.
+    Null text counts as empty."""
+    names = ["key", "fp", "more"] if wide else ["key", "fp"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(shingle_hashes(t.as_py() or "", width)) for t in batch.column(1)]
+            made: list[list[int]] = [[] for _ in names[1:]]
+            for value in batch.column(1):
+                hashes = shingle_hashes(value.as_py() or "", width)
+                for out in made:
+                    out.append(fingerprint(hashes))
+                    hashes = (hashes ^ hashes >> np.uint64(31)) * MIX
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made, pa.int64())], names=["key", "fp"])
+                [batch.column(0), *[pa.array(x, pa.int64()) for x in made]], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        run, f"key {kind}, fp long")
-
-
-def anchors_near() -> list[list[np.ndarray]]:
-    """Per part and syndrome: the differences that lead to all anchors within 2, home first."""
-    out = []
-    for _, width in PARTS:
-        free = [1 << (CODE + i) for i in range(width - CODE)]
-        two = [a | b for i, a in enumerate(free) for b in free[:i]]
-        by_syndrome = []
-        for s in range(CODE + 1):
-            if s == 0:
-                steps = [0, *free, *two]
-            else:
-                home = 1 << (s - 1)
-                pairs = [(1 << (i - 1)) | (1 << ((i ^ s) - 1))
-                         for i in range(1, CODE + 1) if i < i ^ s]
-                steps = [home, *[home | f for f in free], *pairs]
-            by_syndrome.append(np.array(steps, np.int64))
-        out.append(by_syndrome)
-    return out
-
-
-def at_anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        run, ", ".join([f"key {kind}", *[f"{n} long" for n in names[1:]]]))
+
+
+def steps_to_anchors(width: int, radius: int) -> list[np.ndarray]:
+    """Per syndrome of a word: the differences of at most ``radius`` bits that lead to an
+    anchor, the home first."""
+    found: list[list[int]] = [[] for _ in range(CODE + 1)]
+    for size in range(radius + 1):
+        for bits in combinations(range(width), size):
+            syndrome = 0
+            for i in bits:
+                syndrome ^= i + 1 if i < CODE else 0
+            found[syndrome].append(sum(1 << i for i in bits))
+    return [np.array(x, np.int64) for x in found]
+
+
+def at_anchors(fps: np.ndarray, cover: Cover) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the fingerprint, anchor, is it home there) for all anchors of all parts."""
-    near, index, anchor, home = anchors_near(), [], [], []
-    for part, (low, width) in enumerate(PARTS):
+    index, anchor, home = [], [], []
+    for part, (low, width) in enumerate(cover.parts):
         word = ((fps.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
         syndrome = np.zeros(len(word), np.int64)
         for i in range(CODE):
             syndrome ^= np.where(word >> i & 1, i + 1, 0)
-        for s, steps in enumerate(near[part]):
+        for s, steps in enumerate(steps_to_anchors(width, 1 + cover.apart)):
             own = np.flatnonzero(syndrome == s)
             index.append(np.repeat(own, len(steps)))
-            anchor.append((word[own][:, None] ^ steps | part << 22).ravel())
+            anchor.append((word[own][:, None] ^ steps | part << 24).ravel())
             home.append(np.tile(np.arange(len(steps)) == 0, len(own)))
     return np.concatenate(index), np.concatenate(anchor), np.concatenate(home)
 
 
-def links_at_anchors(fps: np.ndarray, anchor: np.ndarray, home: np.ndarray,
+def links_at_anchors(anchor: np.ndarray, home: np.ndarray, prints: list[np.ndarray], ids: np.ndarray,
                      bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as two arrays of fingerprints, of the links found in rows sorted by
-    anchor. Pairs are formed a bounded number at a time and united at once, never kept."""
+    """A spanning forest, as two arrays of ids, of the links found in rows sorted by anchor.
+    Pairs are formed a bounded number at a time and united at once, never kept."""
     first = np.flatnonzero(np.r_[True, np.diff(anchor) != 0]) if len(anchor) else np.zeros(0, int)
     size = np.diff(np.r_[first, len(anchor)])
     run = np.repeat(np.arange(len(first)), size)
-    parent = np.arange(len(fps))
+    parent = np.arange(len(ids))
     residents = np.flatnonzero(home)
     residents = residents[size[run[residents]] > 1]
     count, at = size[run[residents]], 0
@@ -120,38 +140,42 @@ def links_at_anchors(fps: np.ndarray, anchor: np.ndarray, home: np.ndarray,
         a = np.repeat(some, each)
         within = np.arange(len(a)) - np.repeat(np.cumsum(each) - each, each)
         b = np.repeat(first[run[some]], each) + within
-        close = np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)) <= bits
-        close &= fps[a] != fps[b]
+        differ = sum(np.bitwise_count((x[a] ^ x[b]).view(np.uint64)).astype(np.int16) for x in prints)
+        close = (differ <= bits) & (ids[a] != ids[b])
         parent = unite(parent, a[close], b[close])
         at = upto
-    child = np.flatnonzero(parent != np.arange(len(fps)))
-    return fps[child], fps[parent[child]]
+    child = np.flatnonzero(parent != np.arange(len(ids)))
+    return ids[child], ids[parent[child]]
 
 
-def fingerprint_links(distinct: DataFrame, bits: int) -> DataFrame:
-    """Links ``u, v`` that connect all fingerprints ``fp`` at most ``bits`` apart.
+def fingerprint_links(nodes: DataFrame, bits: int, cover: Cover = NARROW) -> DataFrame:
+    """Links ``u, v`` of ids that connect all fingerprints at most ``bits`` apart.
 
-    Fingerprints must be distinct, so copies cost nothing here. One shuffle: about 46 rows of
-    two numbers for each. A task works through its anchors in order and holds one anchor's
+    ``nodes`` has distinct fingerprints ``fp``, which are their own ids, or ``fp, more, id``
+    for those of 128 bits: then the bits are counted over both, and links further apart in
+    ``fp`` than the cover reaches may be missed. Copies cost nothing here. One shuffle of
+    narrow rows. A task works through its anchors in order and holds one anchor's
     fingerprints, which are distinct and near each other, plus one batch.
     """
-    if bits > MOST:
-        raise ValueError(f"these anchors find links of at most {MOST} bits")
+    wide = "more" in nodes.columns
+    if bits > cover.most and not wide:
+        raise ValueError(f"these anchors find links of at most {cover.most} bits")
+    names = ["fp", "more", "id"] if wide else ["fp"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 14):
-                fps = batch.column(0).slice(at, 1 << 14).to_numpy(zero_copy_only=False)
-                index, anchor, home = at_anchors(fps)
+            for at in range(0, batch.num_rows, 1 << 13):
+                part = [c.slice(at, 1 << 13).to_numpy(zero_copy_only=False) for c in batch.columns]
+                index, anchor, home = at_anchors(part[0], cover)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.astype(np.int32)), pa.array(fps[index]), pa.array(home)],
-                    names=["anchor", "fp", "home"])
+                    [pa.array(anchor.astype(np.int32)), pa.array(home), *[pa.array(x[index]) for x in part]],
+                    names=["anchor", "home", *names])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def found(rows):
-            u, v = links_at_anchors(rows[1], rows[0], rows[2], bits)
+            u, v = links_at_anchors(rows[0], rows[1], rows[2:4] if wide else rows[2:], rows[-1], bits)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
@@ -166,24 +190,54 @@ def fingerprint_links(distinct: DataFrame, bits: int) -> DataFrame:
         if held is not None:
             yield found(held)
 
-    dealt = distinct.select("fp").mapInArrow(deal, "anchor int, fp long, home boolean")
-    return (dealt.repartition("anchor").sortWithinPartitions("anchor")
+    schema = ", ".join(["anchor int, home boolean", *[f"{n} long" for n in names]])
+    return (nodes.select(*names).mapInArrow(deal, schema)
+            .repartition("anchor").sortWithinPartitions("anchor")
             .mapInArrow(compare, "u long, v long").distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5,
-                    bits: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str, text: str, width: int, bits: int,
+                    wide: bool = False) -> DataFrame:
     """``key, fp, component``: documents whose fingerprints are linked, directly or through
     others, share the smallest key reachable.
 
+    Plain: links of at most ``bits`` of 64, at most 5, none lost. ``wide``: at most ``bits`` of
+    128, none lost that differ in at most 11 of the first 64.
+
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows and equal
     fingerprints are one node. Null keys are never a component's name unless all are null.
     """
-    prints = cut_lineage(fingerprints(docs, key, text, width))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = components(fingerprint_links(nodes, bits))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    both = ["fp", "more"] if wide else ["fp"]
+    prints = cut_lineage(fingerprints(docs, key, text, width, wide))
+    nodes = prints.groupBy(*both).agg(F.min("key").alias("least"))
+    nodes = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id() if wide else F.col("fp")))
+    links = fingerprint_links(nodes if wide else nodes.select("fp"), bits, WIDE if wide else NARROW)
+    roots = components(links).withColumnRenamed("node", "id")
+    rooted = nodes.join(roots, "id", "left").select(
+        *both, "least", F.coalesce("root", "id").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(names, "root").select("fp", "component")
-    return prints.join(named, "fp").select("key", "fp", "component")
+    named = rooted.join(names, "root").select(*both, "component")
+    return prints.join(named, both).select("key", "fp", "component")
+
+
+def similar_bits(similarity: float, spread: float = 0.65, bits: int = 128) -> int:
+    """Differing bits at which texts of a Jaccard similarity of shingles count as near.
+
+    Sets of one size with Jaccard similarity J have a cosine of 2J / (1 + J); bits differ with
+    probability angle / pi. ``spread`` standard deviations are added, so that most pairs at the
+    similarity itself, and nearly all above it, are caught.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(round(bits * p + spread * np.sqrt(bits * p * (1 - p))))
+
+
+def one_of_each(docs: DataFrame, key: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near-duplicates: of each group the document with the smallest key stays,
+    one row of it. Rows without a key cannot be told apart and stay."""
+    found = near_duplicates(docs, key, text, width, similar_bits(similarity), wide=True)
+    stays = found.filter(F.col("key") == F.col("component")).select(F.col("key").alias("_simhash_key")).distinct()
+    met = docs.join(stays, docs[key] == F.col("_simhash_key"), "left").filter(
+        F.col("_simhash_key").isNotNull() | docs[key].isNull())
+    turn = Window.partitionBy("_simhash_key").orderBy(F.xxhash64(text))
+    once = met.filter("_simhash_key is not null").withColumn("_simhash_turn", F.row_number().over(turn)).filter("_simhash_turn = 1")
+    return once.select(*docs.columns).union(met.filter("_simhash_key is null").select(*docs.columns))

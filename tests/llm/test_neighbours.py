@@ -72,9 +72,9 @@ def test_anchors_lose_no_link(spark, bits):
 def test_simhash_odd_rows(spark):
     rows = [(5, None, "a"), (3, "", "b"), (None, "  ", "c"), (7, "Same Words here now", "d"),
             (7, "same words HERE now", "e"), (9, "x " * 50_000, "f")]
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string"), "doc_id", "text")
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string"), "doc_id", "text", 5, 4)
     assert sorted((r.key or -1, r.component) for r in got.collect()) == [(-1, 3), (3, 3), (5, 3), (7, 7), (7, 7), (9, 9)]
-    assert simhash.near_duplicates(spark.createDataFrame([], "a long, t string"), "a", "t").count() == 0
+    assert simhash.near_duplicates(spark.createDataFrame([], "a long, t string"), "a", "t", 5, 4).count() == 0
     with pytest.raises(ValueError):
         simhash.fingerprint_links(spark.range(1), 6)
 
@@ -158,3 +158,38 @@ def test_top_k_odd_rows(spark):
     got = maxscore.top_k(frame, frame.filter("vec_id in (0, 1, 2)"), "vec_id", "t")
     assert sorted(map(tuple, got.collect())) == [(0, 1, 2, 0), (0, 2, 4, -2), (2, 1, 0, 0), (2, 2, 4, 0)]
     assert maxscore.top_k(frame.filter("false"), frame, "vec_id", "t").count() == 0
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*[t.split()[i:] for i in range(5)])) for t in (a, b))
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_one_of_each_group_stays(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(vocabulary, 200)) for _ in range(60)]
+    rows, near = [(i, t, "x") for i, t in enumerate(texts)], []
+    for i in range(30):
+        words = texts[i].split()
+        for at in rng.choice(200, 2, replace=False):
+            words[at] = "changed"
+        rows.append((100 + i, " ".join(words), "y"))
+        assert jaccard(texts[i], rows[-1][1]) >= 0.8
+    rows += [(200, texts[3], "z"), (5, texts[5], "again"), (None, texts[7], "n"), (None, None, "n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    left = [r.doc_id for r in simhash.one_of_each(frame.withColumnRenamed("_key", "fp"), "doc_id", "text").collect()]
+    assert sorted(x for x in left if x is not None and x < 100) == list(range(60))
+    assert left.count(None) == 2 and 200 not in left
+    assert sum(x is not None and x >= 100 for x in left) <= 2
+
+
+def test_covers_find_all_close_pairs():
+    rng = np.random.default_rng(9)
+    for cover in (simhash.NARROW, simhash.WIDE):
+        fps = rng.integers(-2 ** 63, 2 ** 63 - 1, 200)
+        flips = [np.bitwise_xor.reduce(np.int64(1) << rng.choice(64, cover.most, replace=False).astype(np.int64)) for _ in fps]
+        other = fps ^ np.array(flips)
+        (i, a, home), (j, b, _) = simhash.at_anchors(fps, cover), simhash.at_anchors(other, cover)
+        homes, near = set(zip(i[home].tolist(), a[home].tolist())), set(zip(j.tolist(), b.tolist()))
+        assert {x for x, _ in homes & near} == set(range(200))
