@@ -40,6 +40,7 @@ CHROME = set("ad ads adv advert adverts advertisement advertising adsense banner
              "copyright legal disclaimer paywall".split())
 CONTENT = set("article body content entry main post story text".split())
 ALWAYS = set("comment comments disqus sidebar ad ads advert advertisement newsletter related".split())
+PARTS = set("a b i em strong span p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd tr tbody thead tfoot table".split())
 PAGE = {"html", "body", "main", "article"}
 
 
@@ -68,7 +69,7 @@ def is_chrome(name: str, attrs: str, inside_article: bool) -> bool:
             for words in class_words(value):
                 if not words or words[0] in ("no", "has", "with", "without", "is"):
                     continue
-                ends = {words[0], words[-1]}
+                ends = {words[0], words[-1], "".join(words)}
                 if ends & ALWAYS or ends & CHROME and not set(words) & CONTENT:
                     return True
     return False
@@ -158,7 +159,7 @@ def main_blocks(source: str) -> list[str]:
     score, chars, links = [0.0] * n, [0] * n, [0] * n
     for at, text, linked in page.blocks:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
-        level, e = 0, at if page.name[at] in WALLS | {"main", "body", "#root"} else page.parent[at]
+        level, e = 0, at if page.name[at] in WALLS - {"td", "th"} | {"main", "body", "#root"} else page.parent[at]
         while e >= 0:
             score[e] += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             level, e = level + 1, page.parent[e]
@@ -169,6 +170,8 @@ def main_blocks(source: str) -> list[str]:
             e = page.parent[e]
     final = [score[e] * (1 - links[e] / max(1, chars[e])) for e in range(n)]
     best = max(range(n), key=lambda e: (final[e], e))
+    while best > 0 and page.name[best] in PARTS:
+        best = page.parent[best]
     e = best
     while e > 0:
         if page.name[e] in ("article", "main"):
