@@ -98,11 +98,16 @@ def direct_ratio(total: Column, direct: Column, registry_direct: Column) -> Colu
 
 
 def with_signals(df: DataFrame, signals: DataFrame | None, key: str) -> DataFrame:
-    """Model signals under short names, unreadable or missing ones 0."""
+    """Model signals under short names, unreadable or missing ones 0. Of a repeated key the
+    row read last holds."""
     if signals is None:
         return with_defaults(df, {dest: 0.0 for dest in fixed.SIGNALS})
     present = {d: s for d, s in fixed.SIGNALS.items() if s in signals.columns}
-    picked = signals.select(key, *[to_number(F.col(s)).alias(d) for d, s in present.items()])
+    values = F.struct(*[to_number(F.col(s)).alias(d) for d, s in present.items()]) if present else F.struct(
+        F.lit(1).alias("_none"))
+    picked = (signals.select(key, values.alias("_v"), F.monotonically_increasing_id().alias("_at"))
+              .groupBy(key).agg(F.max_by("_v", "_at").alias("_v"))
+              .select(key, *[F.col(f"_v.{d}").alias(d) for d in present]))
     out = df.join(picked, key, "left")
     return with_defaults(out, {d: 0.0 for d in fixed.SIGNALS})
 

@@ -23,7 +23,7 @@ TOML_ENTRY = r"(?dm)^[^\S\n]*([a-zA-Z0-9_\-]+)[^\S\n]*[=.]"
 GO_BLOCK = r"require\s*\(([^)]+)\)"
 GO_BLOCK_ENTRY = r"(?dm)^[^\S\n]*(?!//)(\S+)"
 GO_SINGLE = r"(?dm)^require\s+([\w./\-]+)\s+v"
-PIP_NAME = r"(?dm)^[^\S\n]*(?!#)([^>=<!;\[\n]+)"
+PIP_NAME = r"(?dm)^[^\S\n]*+(?!#)([^>=<!;\[\n]+)"
 PYPROJECT_BLOCK = r"(?dms)^dependencies\s*=\s*\[([^\]]+)\]"
 PYPROJECT_NAME = r"[\"']([^\"'>=<!;\[]+)"
 DOTNET_REFERENCE = r'(?i)<PackageReference\s+Include="([^"]+)"'

@@ -212,20 +212,6 @@ def capped_files(files: DataFrame, cap: int = fixed.FILE_CAP) -> DataFrame:
     return first_per_group(meta, ["repo"], [F.col("rank"), F.col("path")], cap, F.col("path"))
 
 
-def last_scanned(files: DataFrame, cap: int = fixed.FILE_CAP) -> DataFrame:
-    """For projects beyond the cap, the position of the last file scanned.
-
-    Comparing with it applies the cap inside the scan, without joining texts to a list of
-    files.
-    """
-    over = (file_counts(files, cap).filter("skipped > 0")
-            .select("repo"))
-    meta = source_files(files.select("repo", "path")).join(over, "repo", "left_semi")
-    kept = first_per_group(meta, ["repo"], [F.col("rank"), F.col("path")], cap, F.col("path"))
-    return kept.filter(F.col("rn") == cap).select(
-        "repo", F.struct("rank", "path").alias("last"))
-
-
 def packed_deps(deps: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Dependencies in rows of about 64 per project, so no row grows with a project."""
     width = deps.groupBy("repo").agg(
@@ -236,50 +222,50 @@ def packed_deps(deps: DataFrame, extra: list[str] | None = None) -> DataFrame:
             .groupBy("repo", "_slot").agg(F.collect_list("_d").alias("deps")).drop("_slot"))
 
 
-def candidates(files: DataFrame, deps: DataFrame, cap: int | None = None,
+def candidates(files: DataFrame, deps: DataFrame,
                broadcast_deps: int = BROADCAST_DEPS) -> DataFrame:
     """Every scanned text beside each dependency that may occur in it.
 
     Texts meet the dependency lists by broadcast while those are few (checked; the lists
     have no more rows than ``deps``), and by a join spread over hot projects beyond that. One
-    shuffle of text at most, none usually; each text is lower-cased once.
+    shuffle of text at most, none usually. Each text is lower-cased once and its list is
+    cut in place, so a text is copied only for dependencies that may occur in it.
     """
     side = packed_deps(deps)
     texts = source_files(files).filter(F.col("content").rlike(r"(?U)\S"))
-    if cap is not None:
-        side = side.join(last_scanned(files, cap), "repo", "left")
     if within(deps, broadcast_deps):
         met = texts.join(F.broadcast(side), "repo")
     else:
         met = skewed_join(texts, side, "repo", F.col("path"))
-    if cap is not None:
-        met = met.filter(F.col("last").isNull() | (F.struct("rank", "path") <= F.col("last")))
-    each = met.select("repo", "path", "language", "content",
-                      F.lower("content").alias("lowered"), F.explode("deps").alias("d"))
-    return each.filter(may_occur(F.col("lowered"), F.col("d.terms"), F.col("language"))).select(
-        "repo", "path", "language", "content", "d.dep", "d.terms")
-
-
-def usage_per_file(files: DataFrame, deps: DataFrame, cap: int | None = fixed.FILE_CAP,
-                   unicode: bool = True, broadcast_deps: int = BROADCAST_DEPS) -> DataFrame:
-    """Counts per file and dependency, where any is above 0."""
+    language = F.col("language")
+    likely = F.explode(F.transform(
+        F.array(F.struct(F.lower("content").alias("lowered"), F.col("deps").alias("deps"))),
+        lambda x: F.filter(x["deps"], lambda d: may_occur(x["lowered"], d["terms"], language))))
+    return (met.select("repo", "path", "language", "content", likely.alias("d"))
+            .select("repo", "path", "language", "content", F.explode("d").alias("d"))
+            .select("repo", "path", "language", "content", "d.dep", "d.terms"))
+
+
+def usage_per_file(files: DataFrame, deps: DataFrame, unicode: bool = True,
+                   broadcast_deps: int = BROADCAST_DEPS) -> DataFrame:
+    """Counts per file and dependency, where any is above 0. The patterns run once a pair:
+    ``inline`` keeps the filter above them."""
     found = usage_in_text(F.col("content"), F.col("terms"), F.col("language"), unicode)
-    counted = candidates(files, deps, cap, broadcast_deps).select(
-        "repo", "path", "dep", found.alias("u"))
-    return (counted.select("repo", "path", "dep", "u.*")
-            .filter(F.col("imports") + F.col("aliases") + F.col("calls") > 0))
+    counted = candidates(files, deps, broadcast_deps).select(
+        "repo", "path", "dep", F.inline(F.array(found)))
+    return counted.filter(F.col("imports") + F.col("aliases") + F.col("calls") > 0)
 
 
 def usage_scores(files: DataFrame, deps: DataFrame, manifest_names: DataFrame,
-                 cap: int = fixed.FILE_CAP, unicode: bool = True) -> DataFrame:
-    """One row per declared dependency: how it is declared and how it is used.
+                 unicode: bool = True) -> DataFrame:
+    """One row per declared dependency: how it is declared and how it is used, in all files.
 
     Manifest bonus plus file scores; a dependency called more than 5 times and by tests
     for more than 80% of that loses half. Unused dependencies keep a row.
     """
     declared = with_bonus(match_declared(deps, manifest_names))
     path = F.col("path")
-    per_file = usage_per_file(files, deps, cap, unicode)
+    per_file = usage_per_file(files, deps, unicode)
     plain = file_score(F.col("imports"), F.col("aliases"), F.col("calls"),
                        paths.weight(path), F.lit(False))
     tests = paths.bucket(path) == "test"
@@ -290,7 +276,8 @@ def usage_scores(files: DataFrame, deps: DataFrame, manifest_names: DataFrame,
         F.sum("score").alias("score"), F.sum("imports").alias("total_imports"),
         F.sum("calls").alias("total_calls"), F.sum("test_calls").alias("test_calls"))
     out = declared.join(rolled, ["repo", "dep"], "left")
-    scanned = file_counts(files, cap).select("repo", "file_count")
+    scanned = source_files(files.select("repo", "path")).groupBy("repo").agg(
+        F.count(F.lit(1)).alias("file_count"))
     out = out.join(scanned, "repo", "left").fillna(
         0, ["score", "total_imports", "total_calls", "test_calls", "file_count"])
     used = F.when(F.col("dev_only"), F.col("score") * fixed.DEV_FACTOR).otherwise(F.col("score"))

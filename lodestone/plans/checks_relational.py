@@ -43,7 +43,7 @@ def adjacency_explode(t: Tables) -> DataFrame:
     def url(prefix, column):
         return F.concat(F.lit('"https://github.com/acme/' + prefix), F.col(column), F.lit('"'))
 
-    lines = t.spread_lineitem.select(F.concat(
+    lines = t.lineitem.select(F.concat(
         F.lit("{"), url("p", "l_orderkey"), F.lit(": ["), url("part-", "l_partkey"), F.lit(", "),
         url("supp-", "l_suppkey"), F.lit("]}")).alias("value"))
     return readers.edges_of(readers.adjacency(lines))
@@ -71,7 +71,7 @@ def optional_source_defaults(t: Tables) -> DataFrame:
 
 @query("base64_decode", "SELECT doc_id, text FROM documents")
 def base64_decode(t: Tables) -> DataFrame:
-    landed = t.spread_documents.select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("payload"))
+    landed = t.documents.select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("payload"))
     return landed.select("doc_id", decode_base64(F.col("payload")).alias("text"))
 
 
@@ -199,7 +199,7 @@ def tiered_lookup(t: Tables) -> DataFrame:
   SELECT unnest(list_filter({sql_list(HIGH + LOW)}, lambda k: contains(lower(text), k))) AS keyword
   FROM documents) GROUP BY keyword""")
 def keyword_contains_join(t: Tables) -> DataFrame:
-    found = joins.contains_join(t.spread_documents, "text", HIGH + LOW)
+    found = joins.contains_join(t.documents, "text", HIGH + LOW)
     return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
 
 

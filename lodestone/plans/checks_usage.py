@@ -118,7 +118,7 @@ def file_counts(t: Tables) -> DataFrame:
 @query("usage_counts", with_views("usage_counts",
                                   "SELECT repo, path, dep, imports, aliases, calls FROM usage_counts"))
 def usage_counts(t: Tables) -> DataFrame:
-    return usage.usage_per_file(t.code, t.deps, cap=None)
+    return usage.usage_per_file(t.code, t.deps)
 
 
 @query("alias_calls", with_views("alias_counts", "SELECT repo, path, dep, n FROM alias_counts"))
@@ -163,15 +163,13 @@ def manifest_match(t: Tables) -> DataFrame:
     CAST(coalesce(sum(calls), 0) AS BIGINT) AS calls,
     CAST(coalesce(sum(calls) FILTER (bucket = 'test'), 0) AS BIGINT) AS test_calls,
     coalesce(any_value(n.file_count), 0) AS file_count
-    FROM declared d LEFT JOIN (SELECT f.* FROM file_scores f JOIN (SELECT repo, path FROM (SELECT *,
-      row_number() OVER (PARTITION BY repo ORDER BY rank, path) AS rn FROM scanned)
-      WHERE rn <= {FILE_CAP}) k ON k.repo = f.repo AND k.path = f.path) f
+    FROM declared d LEFT JOIN file_scores f
       ON f.repo = d.repo AND f.dep = d.dep
-    LEFT JOIN (SELECT repo, least(count(*), {FILE_CAP}) AS file_count FROM scanned GROUP BY repo) n
+    LEFT JOIN (SELECT repo, count(*) AS file_count FROM scanned GROUP BY repo) n
       ON n.repo = d.repo GROUP BY d.repo, d.dep, in_prod, in_dev)"""))
 def usage_scores(t: Tables) -> DataFrame:
     names = manifests.extract_all(t.code_manifests)
-    found = usage.usage_scores(t.code, t.deps, names, cap=FILE_CAP)
+    found = usage.usage_scores(t.code, t.deps, names)
     return found.withColumn("weighted_score", F.round("weighted_score", 4))
 
 

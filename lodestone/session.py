@@ -22,6 +22,8 @@ def build_session(app: str = "lodestone", cores: str = "*", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .getOrCreate()
     )
 

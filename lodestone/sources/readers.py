@@ -29,10 +29,11 @@ ANCHOR_SCHEMA = "repo string, average_originality double"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType,
-             multi_line: bool = True) -> DataFrame:
-    """CSV with a header; quoted commas, quotes and line breaks in values are kept.
+             multi_line: bool = False) -> DataFrame:
+    """CSV with a header; quoted commas and quotes in values are kept.
 
-    ``multi_line=False`` lets large files be split where values hold no line breaks.
+    Large files are split. ``multi_line=True`` also keeps line breaks inside values, at the
+    cost of one task a file.
     """
     return (spark.read.schema(schema).option("header", True).option("escape", '"')
             .option("multiLine", multi_line).option("nanValue", "nan").csv(path))
@@ -76,10 +77,10 @@ def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
     """``repo, path, content`` of the source files below ``root/<repo>/...``.
 
     Spark lists and reads the files on the executors. Names are filtered ahead of the
-    read, and blank files are dropped.
+    read, in any mixture of case. Blank files stay, as they count as files of their project.
     """
     ext = sorted({e for exts in fixed.EXTENSIONS.values() for e in exts})
-    glob = "*.{" + ",".join(ext + [e.upper() for e in ext]) + "}"
+    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in ext) + "}"
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("pathGlobFilter", glob).load(root))
     base = root.rstrip("/") + "/"
@@ -89,7 +90,7 @@ def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
     files = raw.select(repo.alias("repo"),
                        F.substring(inner, F.length(repo) + 2, F.length(inner)).alias("path"),
                        decode_text(F.col("content")).alias("content"))
-    return only_source(files)
+    return files.filter(file_language(F.col("path")).isNotNull())
 
 
 def only_source(files: DataFrame) -> DataFrame:

@@ -210,23 +210,32 @@ def test_scan_broadcast_and_spread_agree(spark):
     files += [("s", "a.py", "import d1\n"), ("s", "vendor/a.py", "import d1\n"),
               ("s", "b.py", " \n"), ("s", "a.txt", "import d1\n")]
     deps = [("r", f"x/d{i}", [f"d{i}"]) for i in range(150)] + [("s", "x/d1", ["d1"])]
-    near = rows(scan(spark, files, deps, cap=None))
-    far = rows(scan(spark, files, deps, cap=None, broadcast_deps=10))
+    near = rows(scan(spark, files, deps))
+    far = rows(scan(spark, files, deps, broadcast_deps=10))
     assert near == far and len(near) == 301
 
 
-def test_file_cap_prefers_core_and_drops_tests(spark):
+def test_capped_list_prefers_core_and_drops_tests(spark):
     files = ([("r", f"test/{i}.py", "import dd\n") for i in range(5)]
              + [("r", f"x/{i}.py", "import dd\n") for i in range(5)]
              + [("r", f"src/{i}.py", "import dd\n") for i in range(5)])
-    got = scan(spark, files, [("r", "a/dd", ["dd"])], cap=7)
-    assert sorted(r["path"] for r in got.collect()) == [f"src/{i}.py" for i in range(5)] + [
-        "x/0.py", "x/1.py"]
+    frame = spark.createDataFrame(files, "repo string, path string, content string")
+    assert sorted(r["path"] for r in usage.capped_files(frame, 7).collect()) == [
+        f"src/{i}.py" for i in range(5)] + ["x/0.py", "x/1.py"]
+
+
+def test_every_file_of_a_large_project_counts(spark):
+    files = [("r", f"test/{i}.py", "import dd\n") for i in range(2300)] + [("r", "blank.py", " ")]
+    frame = spark.createDataFrame(files, "repo string, path string, content string")
+    deps = spark.createDataFrame([("r", "a/dd", ["dd"])], "repo string, dep string, terms array<string>")
+    none = spark.createDataFrame([], "repo string, dep string, is_dev boolean")
+    got = usage.usage_scores(frame, deps, none).first()
+    assert (got["total_imports"], got["file_count"]) == (2300, 2301)
 
 
 def test_go_prefilter_changes_result(spark):
     files = [("r", "a.go", 'goredis.New(1)'), ("r", "b.go", '// a.b/go-redis\ngoredis.New(1)')]
-    got = scan(spark, files, [("r", "a/x", ["a.b/go-redis"])], cap=None)
+    got = scan(spark, files, [("r", "a/x", ["a.b/go-redis"])])
     assert [(r["path"], r["calls"]) for r in got.collect()] == [("b.go", 1)]
 
 
@@ -345,7 +354,7 @@ def test_csv_keeps_quotes_and_commas(spark):
     df = spark.createDataFrame([("a", 'say "hi", twice\nthen'), ("b", None)], "k string, v string")
     path = fresh_path(spark, "test")
     writers.write_csv(df, path)
-    assert rows(readers.read_csv(spark, path, "k string, v string").fillna("")) == rows(df.fillna(""))
+    assert rows(readers.read_csv(spark, path, "k string, v string", multi_line=True).fillna("")) == rows(df.fillna(""))
 
 
 def test_optional_source(spark):
@@ -355,13 +364,13 @@ def test_optional_source(spark):
 
 
 def test_read_source_tree(spark, tmp_path):
-    for name, data in [("p/src/a.rs", b"fn \xff x"), ("p/b.txt", b"no"), ("q/c.PY", b"x"),
+    for name, data in [("p/src/a.rs", b"fn \xff x"), ("p/b.txt", b"no"), ("q/c.Py", b"x"),
                        ("q/blank.go", b" \n")]:
         file = tmp_path / name
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_bytes(data)
     assert rows(readers.read_source_tree(spark, str(tmp_path))) == [
-        ("p", "src/a.rs", "fn  x"), ("q", "c.PY", "x")]
+        ("p", "src/a.rs", "fn  x"), ("q", "blank.go", " \n"), ("q", "c.Py", "x")]
 
 
 def test_write_scores_agree(spark):
@@ -441,3 +450,22 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(aggregates.top_dependencies(spark.read.parquet(path)))
     assert "PushedFilters: [IsNotNull(file_count), GreaterThanOrEqual(file_count,0)]" in plan
     assert "extra" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_indented_comments_are_no_dependencies(spark):
+    from lodestone.operators import manifests
+
+    frame = spark.createDataFrame([("r", "requirements.txt", "foo>=1\n  # indented note\n  bar")],
+                                  "repo string, path string, content string")
+    assert {r["dep"] for r in manifests.extract_all(frame).collect()} == {"foo", "bar"}
+
+
+def test_repeated_signals_keep_one_row(spark):
+    from lodestone.operators import features
+
+    base = spark.createDataFrame([("a",), ("b",)], "repo_url string")
+    name = next(iter(fixed.SIGNALS.values()))
+    signals = spark.createDataFrame([("a", "0.1"), ("a", "0.9")], f"repo_url string, {name} string").coalesce(1)
+    short = next(iter(fixed.SIGNALS))
+    got = {r["repo_url"]: r[short] for r in features.with_signals(base, signals, "repo_url").collect()}
+    assert got == {"a": 0.9, "b": 0.0}
