@@ -18,7 +18,7 @@ from lodestone.session import build_session
 HEADLINE = [
     "ensemble_vote", "tree_stats", "capped_files", "feature_assembly", "classify",
     "quality_profile", "stream_resume", "package_rollup", "markdown_strip", "manifest_counts",
-    "manifest_union", "manifest_match", "usage_scores", "producer_score",
+    "manifest_union", "manifest_match", "usage_scores", "usage_counts", "producer_score", "grid_search",
     "originality_pipeline", "tuned_pipeline", "leave_two_out",
 ]
 

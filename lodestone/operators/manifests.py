@@ -299,54 +299,38 @@ def manifest_rollup(files: DataFrame, key: str = "repo") -> DataFrame:
         F.size(kinds).alias("dep_ecosystem_count"))
 
 
-def slug_windows(name: Column, slashes: int) -> Column:
-    """All pieces of a name that hold exactly ``slashes`` (0 or 1) slashes.
+GRAM = 4
 
-    A slug inside a name is one of these pieces, so containment becomes equality and needs
-    no pairwise test within a project.
-    """
-    segments = F.split(name, "/")
-
-    def tails(s):
-        return F.when(s != "", F.transform(F.sequence(F.lit(1), F.length(s)),
-                                           lambda i: F.substr(s, i))).otherwise(empty())
-
-    def heads(s):
-        return F.when(s != "", F.transform(F.sequence(F.lit(1), F.length(s)),
-                                           lambda i: F.substr(s, F.lit(1), i))).otherwise(empty())
-
-    if slashes == 0:
-        return F.flatten(F.flatten(F.transform(
-            segments, lambda s: F.transform(tails(s), heads))))
-    starts = F.when(F.size(segments) > 1,
-                    F.sequence(F.lit(0), F.size(segments) - 2)).otherwise(
-        F.array().cast("array<int>"))
-
-    def around(i):
-        after = heads(F.get(segments, i + 1))
-        return F.flatten(F.transform(tails(F.get(segments, i)), lambda a: F.transform(
-            after, lambda b: F.concat(a, F.lit("/"), b))))
 
-    return F.flatten(F.transform(starts, around))
+def grams(name: Column, n: int) -> Column:
+    """The different pieces of ``n`` characters in a name: no more than it has characters."""
+    at = F.sequence(F.lit(1), F.length(name) - (n - 1))
+    return F.when(F.length(name) >= n, F.array_distinct(
+        F.transform(at, lambda i: F.substr(name, i, F.lit(n))))).otherwise(empty())
 
 
 def match_declared(deps: DataFrame, names: DataFrame) -> DataFrame:
     """Which declared dependencies a project's manifests name.
 
     ``deps`` holds ``repo, dep, terms``, ``names`` holds ``repo, dep, is_dev``. A match is
-    a slug inside a manifest name, or a term equal to a name in normal spelling. Both are
-    equality joins on project and text. Adds ``in_prod`` and ``in_dev``.
+    a slug inside a manifest name, or a term equal to a name in normal spelling. The former
+    joins on project and the slug's first four characters (all of a shorter slug) and then
+    looks, so rows grow with a name's length; the latter joins on project and text. Adds
+    ``in_prod`` and ``in_dev``.
     """
     slugs = deps.select("repo", F.col("dep").alias("slug"), F.lower("dep").alias("text"))
-    bare = slugs.filter(~F.contains("text", F.lit("/")))
+    slugs = slugs.filter(F.length("text") > 0).withColumn("gram", F.left("text", F.lit(GRAM)))
+    brief = slugs.filter(F.length("text") < GRAM)
     lowered = names.select("repo", F.lower("dep").alias("name"), "is_dev").distinct()
 
-    def pieces(source, slashes):
-        return source.select("repo", "is_dev", F.explode(F.array_distinct(
-            slug_windows(F.col("name"), slashes))).alias("text"))
+    def pieces(source, *sizes):
+        found = F.concat(*[grams(F.col("name"), n) for n in sizes])
+        return source.select("repo", "is_dev", "name", F.explode(found).alias("gram"))
 
-    flat = lowered.join(bare.select("repo").distinct(), "repo", "left_semi")
-    inside = pieces(lowered, 1).unionByName(pieces(flat, 0)).join(slugs, ["repo", "text"])
+    few = lowered.join(brief.select("repo").distinct(), "repo", "left_semi")
+    inside = pieces(lowered, GRAM).join(slugs, ["repo", "gram"]).filter(
+        F.contains("name", "text")).unionByName(
+        pieces(few, *range(1, GRAM)).join(brief, ["repo", "gram"]))
     terms = deps.select("repo", F.col("dep").alias("slug"),
                         F.explode("terms").alias("term")) \
         .select("repo", "slug", normalised(F.col("term")).alias("text")).distinct()

@@ -469,3 +469,19 @@ def test_repeated_signals_keep_one_row(spark):
     short = next(iter(fixed.SIGNALS))
     got = {r["repo_url"]: r[short] for r in features.with_signals(base, signals, "repo_url").collect()}
     assert got == {"a": 0.9, "b": 0.0}
+
+
+def test_slugs_of_any_depth_are_found(spark):
+    from lodestone.operators import manifests
+
+    long = "a" * 300 + "/mono/pkg"
+    names_ = spark.createDataFrame([("r", "GitHub.com/acme/mono/pkg/v2", False), ("r", "xyz", True), ("r", long, True)],
+                                   "repo string, dep string, is_dev boolean")
+    wanted = ["acme/mono/pkg", "github.com/acme/mono/pkg", "pkg/v2", "y", "xz", "mono", long, long + "/x", ""]
+    deps = spark.createDataFrame([("r", d, []) for d in wanted], "repo string, dep string, terms array<string>")
+    got = {r["dep"]: (r["in_prod"], r["in_dev"]) for r in manifests.match_declared(deps, names_).collect()}
+    assert got == {"acme/mono/pkg": (True, False), "github.com/acme/mono/pkg": (True, False), "pkg/v2": (True, False),
+                   "y": (False, True), "xz": (False, False), "mono": (True, True), long: (False, True),
+                   long + "/x": (False, False), "": (False, False)}
+    name = spark.range(1).select(F.lit(long).alias("n"))
+    assert name.select(F.size(manifests.grams(F.col("n"), 4))).first()[0] < len(long)
