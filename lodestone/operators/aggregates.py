@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.numeric import clip, log_norm
+from ..session import cut_lineage
 
 
 def usage_rollup(usage: DataFrame, key: str = "repo") -> DataFrame:
@@ -30,12 +31,63 @@ def usage_signal(usage: DataFrame, key: str = "repo") -> DataFrame:
     return rolled.select(key, (ratio * 0.5 + intensity * 0.5).alias("usage_signal"))
 
 
+def joined_on(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join where the named columns agree; nulls agree with nulls."""
+    for i, c in enumerate(columns):
+        right = right.withColumnRenamed(c, f"_key{i}")
+    agree = [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(columns)]
+    return left.join(right, agree, how).drop(*[f"_key{i}" for i in range(len(columns))])
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float],
+              by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles per group, interpolated; one column per name in ``shares``.
+
+    Values are counted, sorted by range and written, each with the number of its slice. The
+    sizes of the slices tell which of them hold the wanted ranks, and only those are read
+    again. No task holds more than one slice, whatever the size of a group. Nulls do not count;
+    a group of nulls alone has no row.
+    """
+    by = list(by)
+    x = F.col(value).cast("double").alias("_x")
+    counts = df.select(*by, x).filter("_x is not null").groupBy(*by, "_x").agg(
+        F.count(F.lit(1)).alias("_n"))
+    sliced = cut_lineage(counts.repartitionByRange(*by, "_x")
+                         .withColumn("_slice", F.spark_partition_id()))
+    sizes = sliced.groupBy(*by, "_slice").agg(F.sum("_n").alias("_size"))
+    group = Window.partitionBy(*by)  # a row per slice
+    sizes = sizes.select(*by, "_slice", "_size", F.sum("_size").over(group).alias("_all"),
+                         (F.sum("_size").over(group.orderBy("_slice")) - F.col("_size")).alias("_before"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("_name"), (F.lit(share) * (F.col("_all") - 1)).alias("_at"))
+                       for name, share in shares.items()])
+    ranks = sizes.select("*", F.inline(wanted)).select(
+        "*", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank")
+    ).filter("_rank >= _before and _rank < _before + _size")
+    places = ranks.groupBy(*by, "_slice").agg(F.collect_list(
+        F.struct("_name", "_at", (F.col("_rank") - F.col("_before")).alias("_rank"))).alias("_wanted"))
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_slice").orderBy("_x"))
+    read = joined_on(sliced, places, [*by, "_slice"]).withColumn("_upto", upto)
+    here = F.filter("_wanted", lambda w: (w["_rank"] < F.col("_upto"))
+                    & (w["_rank"] >= F.col("_upto") - F.col("_n")))
+    # A value at both ranks counts whole; else each by its nearness.
+    found = read.select(*by, "_x", F.inline(here)).groupBy(*by, "_name", "_at").agg(
+        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    low = F.floor("_at")
+    met = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
+        (low + 1 - F.col("_at")) * F.col("_lo") + (F.col("_at") - low) * F.col("_hi"))
+    return found.withColumn("_met", met).groupBy(*by).agg(
+        *[F.max(F.when(F.col("_name") == n, F.col("_met"))).alias(n) for n in shares])
+
+
 def summary(df: DataFrame, value: str, exact: bool = True) -> DataFrame:
-    """Mean, median, least and largest. The exact median keeps a value histogram, which
-    suits scores of few decimals; ``exact=False`` takes the sketch instead."""
-    median = F.median(value) if exact else F.percentile_approx(value, 0.5, 10000)
-    return df.agg(F.avg(value).alias("mean"), median.alias("median"),
-                  F.min(value).alias("min"), F.max(value).alias("max"))
+    """Mean, median, least and largest. ``exact=False`` takes a sketch for the median."""
+    rest = [F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")]
+    if not exact:
+        out = df.agg(*rest, F.percentile_approx(value, 0.5, 10000).alias("median"))
+    else:
+        median = quantiles(df, value, {"median": 0.5}).select("median").scalar()
+        out = df.agg(*rest).withColumn("median", median)
+    return out.select("mean", "median", "min", "max")
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
@@ -88,11 +140,10 @@ def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
 
 def spread(df: DataFrame, by: str, value: str) -> DataFrame:
     """Per group: count, least, quartiles, mean, largest."""
-    return df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"),
-        F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.5).alias("q2"),
-        F.percentile(value, 0.75).alias("q3"), F.max(value).alias("high"),
-        F.avg(value).alias("mean"))
+    sums = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"),
+                              F.max(value).alias("high"), F.avg(value).alias("mean"))
+    parts = quantiles(df, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, [by])
+    return joined_on(sums, parts, [by], "left").select(by, "n", "low", "q1", "q2", "q3", "high", "mean")
 
 
 def mean_contributions(df: DataFrame, terms: dict[str, Column]) -> DataFrame:
@@ -109,20 +160,24 @@ def quadrants(df: DataFrame, producer: str, consumer: str, producer_cut: float,
         F.count(F.lit(1)).alias("n"))
 
 
-def ordered_text(df: DataFrame, keys: Sequence[str], order: str, text: str,
-                 width: int = 1000) -> DataFrame:
-    """Comma-joined text per key, in the order of a whole number.
+def ordered_text(df: DataFrame, keys: Sequence[str], order: str, *texts: str,
+                 width: int | None = None) -> DataFrame:
+    """Comma-joined texts per key, in a given order, a column each.
 
-    Joined in two steps, runs of ``width`` first, so that the pieces of a very long list
-    are sorted and joined in parallel; the last step holds little beyond the result.
+    Rows are sorted by range, about ``width`` rows a slice if given. A slice's rows of a key
+    are joined first, so the pieces of a very long list are joined in parallel, however
+    thinly its order numbers lie; the last step holds a piece per slice and the result.
     """
-    def joined(column, by):
-        pairs = F.array_sort(F.collect_list(F.struct(F.col(by), F.col(column))))
-        return F.array_join(F.transform(pairs, lambda p: p[column]), ",").alias(column)
+    def joined(by):
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(by), *texts)))
+        return [F.array_join(pairs[t], ",").alias(t) for t in texts]
 
-    run = F.floor(F.col(order) / width).alias("_run")
-    pieces = df.groupBy(*keys, run).agg(joined(text, order))
-    return pieces.groupBy(*keys).agg(joined(text, "_run"))
+    rows, slices = df.select(*keys, order, *texts), []
+    if width:
+        slices = [max(1, -(-rows.count() // width))]
+    sliced = cut_lineage(rows.repartitionByRange(*slices, *keys, order)
+                         .withColumn("_slice", F.spark_partition_id()))
+    return sliced.groupBy(*keys, "_slice").agg(*joined(order)).groupBy(*keys).agg(*joined("_slice"))
 
 
 def package_rollup(packages: DataFrame, key: str = "repo_url") -> DataFrame:
@@ -138,11 +193,9 @@ def package_rollup(packages: DataFrame, key: str = "repo_url") -> DataFrame:
         F.sum(F.when(F.col("found"), F.col("direct")).otherwise(0)).alias("depsdev_direct_deps"),
         F.sum(F.when(F.col("found"), F.col("transitive")).otherwise(0))
         .alias("depsdev_transitive_deps"))
-    found = packages.filter("found")
-    out = sums
-    for column, name in (("ecosystem", "depsdev_ecosystem"), ("package", "depsdev_package")):
-        out = out.join(ordered_text(found, [key], "ord", column)
-                       .withColumnRenamed(column, name), key, "left")
+    listed = packages.filter("found").select(
+        key, "ord", F.col("ecosystem").alias("depsdev_ecosystem"), F.col("package").alias("depsdev_package"))
+    out = sums.join(ordered_text(listed, [key], "ord", "depsdev_ecosystem", "depsdev_package"), key, "left")
     return out.fillna("", ["depsdev_ecosystem", "depsdev_package", "depsdev_version"])
 
 

@@ -8,37 +8,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import canonical
+from ..functions.numeric import bound
 
 
 def hot_keys(df: DataFrame, key: str, limit: int = 1000) -> DataFrame:
-    """Keys that each hold more than ``1/limit`` of all rows.
+    """Keys that each hold more than ``1/limit`` of all rows, and in ``_hot`` how many such
+    parts each holds, rounded up.
 
     Fewer than ``limit`` keys can do that, so the result is safe to broadcast however
-    large ``df`` is.
+    large ``df`` is. The parts of all of them are fewer than twice ``limit``.
     """
     rows = df.select(key)
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     everything = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return counts.filter(F.col("_n") * limit > everything).select(key, F.lit(True).alias("_hot"))
+    parts = F.ceil(F.col("_n") * limit / everything).cast("bigint")
+    return counts.filter(F.col("_n") * limit > everything).select(key, parts.alias("_hot"))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of all columns that can be hashed: a spread that a repeated task gives again."""
+    plain = [f"`{f.name}`" for f in df.schema.fields
+             if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("bigint")
 
 
 def skewed_join(left: DataFrame, right: DataFrame, key: str, spread: Column,
-                how: str = "inner", salts: int = 64, limit: int = 1000) -> DataFrame:
+                how: str = "inner", salts: int | None = None, limit: int = 1000,
+                counted: DataFrame | None = None) -> DataFrame:
     """Join on ``key`` where some keys may hold a large part of ``left``.
 
-    Rows of hot keys are spread over ``salts`` tasks by ``spread``; only the few matching
-    rows of ``right`` are copied. Other keys join as usual.
+    Rows of a hot key are spread by ``spread`` over as many tasks as its share of the rows
+    asks for, ``1/limit`` of all rows each, or over ``salts``; only the few matching rows of
+    ``right`` are copied. Rows without a key meet nothing and are spread too. Other keys join
+    as usual. ``counted`` has the same keys as ``left`` and is counted instead, where
+    ``left`` is dear to compute.
     """
-    hot = F.broadcast(hot_keys(left, key, limit))
+    hot = F.broadcast(hot_keys(left if counted is None else counted, key, limit))
+    parts = F.when(F.col("_hot").isNotNull(), F.lit(salts) if salts else F.col("_hot")).otherwise(1)
+    own = F.when(F.col(key).isNull(), F.lit(salts or limit)).otherwise(parts)
     many = (left.join(hot, key, "left")
-            .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)))
-                        .otherwise(F.lit(0).cast("bigint")))
-            .drop("_hot"))
-    one, all_ = F.array(F.lit(0).cast("bigint")), F.array(
-        *[F.lit(i).cast("bigint") for i in range(salts)])
-    copies = F.when(F.col("_hot"), all_).otherwise(one)
+            .withColumn("_salt", F.pmod(F.xxhash64(spread), own.cast("bigint"))).drop("_hot"))
     few = (right.join(hot, key, "left")
-           .withColumn("_salt", F.explode(copies)).drop("_hot"))
+           .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)))
+           .drop("_hot"))
     return many.join(few, [key, "_salt"], how).drop("_salt")
 
 
@@ -90,7 +102,7 @@ def remaining(keys: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def induced(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame:
     """Edges whose two ends are both known nodes; parallel edges and loops stay."""
     known = nodes.select(node)
-    for end in ("src", "dst"):
+    for end in ("dst", "src"):
         edges = edges.join(known.withColumnRenamed(node, end), end, "left_semi")
     return edges.select("src", "dst")
 
@@ -102,17 +114,18 @@ def lookup_default(df: DataFrame, table: DataFrame, key: str, value: str, defaul
     if order:
         table = table.groupBy(key).agg(
             F.max_by(value, F.struct(*order)).alias(value))
-    return df.join(table.select(key, value), key, "left").withColumn(
+    return skewed_join(df, table.select(key, value), key, row_hash(df), "left").withColumn(
         value, F.coalesce(F.col(value), F.lit(default)))
 
 
 def tiered_lookup(df: DataFrame, first: DataFrame, second: DataFrame, key: str, value: str,
                   default) -> DataFrame:
-    """A key in the first table is answered there, otherwise by the second table."""
+    """A key in the first table is answered there, otherwise by the second table. The two
+    tables are joined first, so the rows asking move once."""
     a = first.select(key, F.col(value).alias("_a"), F.lit(True).alias("_in_first"))
     b = second.select(key, F.col(value).alias("_b"))
     found = F.when(F.col("_in_first"), F.col("_a")).otherwise(F.col("_b"))
-    return (df.join(a, key, "left").join(b, key, "left")
+    return (skewed_join(df, a.join(b, key, "full"), key, row_hash(df), "left")
             .withColumn(value, F.coalesce(found, F.lit(default)))
             .drop("_a", "_b", "_in_first"))
 
@@ -137,12 +150,12 @@ def contains_join(df: DataFrame, text: str, phrases: Sequence[str], keep: Sequen
                   ) -> DataFrame:
     """One row per text and phrase it contains, case aside; for up to some hundred phrases.
 
-    The text is lower-cased once, and the rows made per phrase are filtered in the same
-    stage, so no text is shuffled.
+    The text is lower-cased once and the phrases are filtered beside it, so no text is
+    copied or shuffled.
     """
-    lowered = df.select(*keep, F.lower(text).alias("_text"))
-    each = lowered.select("*", F.explode(F.array(*[F.lit(p) for p in phrases])).alias("keyword"))
-    return each.filter(F.contains("_text", "keyword")).drop("_text")
+    listed = F.array(*[F.lit(p) for p in phrases])
+    found = bound(F.lower(text), lambda t: F.filter(listed, lambda p: F.contains(t, p)))
+    return df.select(*keep, F.explode(found).alias("keyword"))
 
 
 def normalised(name: Column) -> Column:

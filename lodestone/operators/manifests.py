@@ -1,7 +1,8 @@
 """Declared dependencies out of manifests and lock files.
 
-Every extractor is a pair of array expressions over one manifest's text, production names
-and development names. Texts stay in the scan stage; only names are shuffled.
+Every extractor is a struct over one manifest's text, of production names ``prod`` and
+development names ``dev``, so that a text is parsed once for both. Texts stay in the scan
+stage; only names are shuffled.
 """
 
 from __future__ import annotations
@@ -11,9 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.keys import trim_all
-from ..functions.numeric import lookup
+from ..functions.numeric import bound, lookup
 from ..functions.paths import parts, words
-from .aggregates import ordered_text
 from .joins import normalised
 
 # Formats of manifest lines and blocks. ``(?d)`` makes only "\n" end a line.
@@ -42,6 +42,15 @@ def empty() -> Column:
     return F.array().cast("array<string>")
 
 
+def both(prod: Column, dev: Column | None = None) -> Column:
+    return F.struct(prod.alias("prod"), (empty() if dev is None else dev).alias("dev"))
+
+
+def numbers(prod: Column, dev: Column | None = None) -> Column:
+    none = F.lit(0) if dev is None else F.coalesce(dev, F.lit(0))
+    return F.struct(F.coalesce(prod, F.lit(0)).cast("int").alias("prod"), none.cast("int").alias("dev"))
+
+
 def every(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -56,7 +65,7 @@ def snake(name: Column) -> Column:
     return F.replace(name, F.lit("-"), F.lit("_"))
 
 
-def toml_names(text: Column) -> tuple[Column, Column]:
+def toml_names(text: Column) -> Column:
     """Keys of dependency tables; build dependencies count as production.
 
     A table per dependency, ``[dependencies.x]``, yields its own keys, not ``x``.
@@ -65,51 +74,49 @@ def toml_names(text: Column) -> tuple[Column, Column]:
         found = F.flatten(F.transform(every(text, block), lambda b: every(b, TOML_ENTRY)))
         return with_variant(found, snake)
 
-    return names(TOML_PROD_BLOCK), names(TOML_DEV_BLOCK)
+    return both(names(TOML_PROD_BLOCK), names(TOML_DEV_BLOCK))
 
 
-def gomod_names(text: Column) -> tuple[Column, Column]:
+def gomod_names(text: Column) -> Column:
     blocks = F.flatten(F.transform(every(text, GO_BLOCK), lambda b: every(b, GO_BLOCK_ENTRY)))
-    return F.array_union(blocks, every(text, GO_SINGLE)), empty()
+    return both(F.array_union(blocks, every(text, GO_SINGLE)))
 
 
-def godeps_names(text: Column) -> tuple[Column, Column]:
+def godeps_names(text: Column) -> Column:
     """Import paths and their first three segments; shorter paths have no other form."""
     parsed = F.from_json(text, "Deps array<struct<ImportPath: string>>")
     found = F.filter(F.coalesce(parsed["Deps"]["ImportPath"], empty()),
                      lambda p: p.isNotNull() & (p != ""))
-    return with_variant(found, lambda p: F.substring_index(p, "/", 3)), empty()
+    return both(with_variant(found, lambda p: F.substring_index(p, "/", 3)))
 
 
 NPM_FIELDS = ("dependencies", "peerDependencies", "optionalDependencies", "devDependencies")
 NPM_SCHEMA = ", ".join(f"{f} map<string, string>" for f in NPM_FIELDS)
 
 
-def npm_names(text: Column) -> tuple[Column, Column]:
-    parsed = F.from_json(text, NPM_SCHEMA)
-
-    def keys(*fields):
+def npm_names(text: Column) -> Column:
+    def keys(parsed, *fields):
         listed = F.array(*[F.map_keys(parsed[f]) for f in fields])
         return F.array_distinct(F.flatten(F.array_compact(listed)))
 
-    return keys(*NPM_FIELDS[:3]), keys(NPM_FIELDS[3])
+    return bound(F.from_json(text, NPM_SCHEMA),
+                 lambda p: both(keys(p, *NPM_FIELDS[:3]), keys(p, NPM_FIELDS[3])))
 
 
-def requirements_names(text: Column) -> tuple[Column, Column]:
+def requirements_names(text: Column) -> Column:
     found = F.transform(every(text, PIP_NAME), lambda n: snake(F.lower(trim_all(n))))
-    return F.array_distinct(F.filter(found, lambda n: n != "")), empty()
+    return both(F.array_distinct(F.filter(found, lambda n: n != "")))
 
 
-def pyproject_names(text: Column) -> tuple[Column, Column]:
+def pyproject_names(text: Column) -> Column:
     found = F.flatten(F.transform(every(text, PYPROJECT_BLOCK),
                                   lambda b: every(b, PYPROJECT_NAME)))
-    return F.array_distinct(F.transform(found, lambda n: snake(F.lower(trim_all(n))))), empty()
+    return both(F.array_distinct(F.transform(found, lambda n: snake(F.lower(trim_all(n))))))
 
 
-def dotnet_names(text: Column) -> tuple[Column, Column]:
+def dotnet_names(text: Column) -> Column:
     found = F.transform(every(text, DOTNET_REFERENCE), trim_all)
-    return with_variant(found, F.lower,
-                        lambda n: F.translate(F.lower(n), ".-", "__")), empty()
+    return both(with_variant(found, F.lower, lambda n: F.translate(F.lower(n), ".-", "__")))
 
 
 def manifest_kind(path: Column) -> Column:
@@ -139,33 +146,27 @@ EXTRACTORS = {
 }
 
 
-def exploded(df: DataFrame, prod: Column, dev: Column, key: str = "repo") -> DataFrame:
+def exploded(df: DataFrame, names: Column, key: str = "repo") -> DataFrame:
     """Distinct ``(key, dep, is_dev)``. Names shuffle by project and name together, so one
     project with very many manifests still spreads."""
     def tagged(names, is_dev):
         return F.transform(names, lambda n: F.struct(n.alias("dep"), F.lit(is_dev).alias("is_dev")))
 
-    both = F.concat(tagged(prod, False), tagged(dev, True))
-    return df.select(key, F.inline(both)).distinct()
+    listed = bound(names, lambda n: F.concat(tagged(n["prod"], False), tagged(n["dev"], True)))
+    return df.select(key, F.inline(listed)).distinct()
 
 
 def extract(files: DataFrame, kind: str, key: str = "repo", content: str = "content") -> DataFrame:
     """Names of one kind of manifest."""
-    prod, dev = EXTRACTORS[kind](F.col(content))
-    return exploded(files, prod, dev, key)
+    return exploded(files, EXTRACTORS[kind](F.col(content)), key)
 
 
 def extract_all(files: DataFrame, key: str = "repo") -> DataFrame:
     """Union of all extractors over one scan of ``key, path, content``."""
     kinds = files.select(key, "content", manifest_kind(F.col("path")).alias("kind")) \
         .filter("kind IS NOT NULL")
-    prod = dev = None
-    for kind, names in EXTRACTORS.items():
-        p, d = names(F.col("content"))
-        here = F.col("kind") == kind
-        prod = F.when(here, p) if prod is None else prod.when(here, p)
-        dev = F.when(here, d) if dev is None else dev.when(here, d)
-    return exploded(kinds, prod, dev, key)
+    names = F.coalesce(*[F.when(F.col("kind") == k, f(F.col("content"))) for k, f in EXTRACTORS.items()])
+    return exploded(kinds, names, key)
 
 
 def lock_packages(content: Column) -> dict[str, Column]:
@@ -196,7 +197,7 @@ def folded(content: Column, start: dict[str, Column], step) -> Column:
         *[v.alias(k) for k, v in step(s, line).items()]))
 
 
-def toml_counts(content: Column) -> tuple[Column, Column]:
+def toml_counts(content: Column) -> Column:
     """Entries below the plain section headers; here build dependencies count as dev."""
     def step(s, line):
         section = (F.when(line == "[dependencies]", 1)
@@ -209,10 +210,10 @@ def toml_counts(content: Column) -> tuple[Column, Column]:
                 "dev": s["dev"] + (entry & (s["section"] == 2)).cast("int")}
 
     end = folded(content, {"section": F.lit(0), "prod": F.lit(0), "dev": F.lit(0)}, step)
-    return end["prod"], end["dev"]
+    return bound(end, lambda e: numbers(e["prod"], e["dev"]))
 
 
-def gomod_counts(content: Column) -> tuple[Column, Column]:
+def gomod_counts(content: Column) -> Column:
     def step(s, line):
         opens = F.startswith(line, F.lit("require ("))
         closes = (line == ")") & s["inside"]
@@ -222,43 +223,39 @@ def gomod_counts(content: Column) -> tuple[Column, Column]:
                 "n": s["n"] + (~opens & ~closes & (listed | single)).cast("int")}
 
     end = folded(content, {"inside": F.lit(False), "n": F.lit(0)}, step)
-    return end["n"], F.lit(0)
+    return numbers(end["n"])
 
 
 def count_lines(content: Column, keep) -> Column:
     return F.size(F.filter(F.transform(F.split(content, "\n"), trim_all), keep))
 
 
-def pip_counts(content: Column) -> tuple[Column, Column]:
+def pip_counts(content: Column) -> Column:
     """Every line that is not blank, comment or option, in any of the file types."""
-    n = count_lines(content, lambda x: (x != "") & ~F.substring(x, 1, 1).isin("#", "-"))
-    return n, F.lit(0)
+    return numbers(count_lines(content, lambda x: (x != "") & ~F.substring(x, 1, 1).isin("#", "-")))
 
 
-def gradle_counts(content: Column) -> tuple[Column, Column]:
+def gradle_counts(content: Column) -> Column:
     def listed(line):
         hit = F.lit(False)
         for word in fixed.GRADLE_WORDS:
             hit = hit | F.contains(line, F.lit(word))
         return hit
 
-    return count_lines(content, listed), F.lit(0)
+    return numbers(count_lines(content, listed))
 
 
-def npm_counts(content: Column) -> tuple[Column, Column]:
+def npm_counts(content: Column) -> Column:
     """Entries of a package file; 0 where it is no JSON."""
-    parsed = F.from_json(content, NPM_SCHEMA)
+    def size(parsed, field):
+        return F.greatest(F.coalesce(F.size(F.map_keys(parsed[field])), F.lit(0)), F.lit(0))
 
-    def size(field):
-        return F.coalesce(F.size(F.map_keys(parsed[field])), F.lit(0))
+    return bound(F.from_json(content, NPM_SCHEMA), lambda p: numbers(
+        size(p, "dependencies"), size(p, "devDependencies") + size(p, "peerDependencies")))
 
-    return (F.greatest(size("dependencies"), F.lit(0)),
-            F.greatest(size("devDependencies"), F.lit(0))
-            + F.greatest(size("peerDependencies"), F.lit(0)))
 
-
-def manifest_counts(kind: Column, content: Column) -> tuple[Column, Column]:
-    """Cheap production and dev counts per manifest type; other types count 0."""
+def counted(kind: Column, content: Column) -> Column:
+    """Cheap production and dev counts per manifest type, as a struct; other types count 0."""
     depends = F.regexp_count(content, F.lit("build-depends:"))
     haskell = F.when(depends > 0, depends).otherwise(F.regexp_count(content, F.lit(LIST_ENTRY)))
     counters = {
@@ -266,15 +263,18 @@ def manifest_counts(kind: Column, content: Column) -> tuple[Column, Column]:
         "cargo": toml_counts(content),
         "go": gomod_counts(content),
         "pip": pip_counts(content),
-        "maven": (F.regexp_count(content, F.lit("<dependency>")), F.lit(0)),
+        "maven": numbers(F.regexp_count(content, F.lit("<dependency>"))),
         "gradle": gradle_counts(content),
-        "elixir": (F.regexp_count(content, F.lit(ELIXIR_ENTRY)), F.lit(0)),
-        "haskell": (haskell, F.lit(0)),
+        "elixir": numbers(F.regexp_count(content, F.lit(ELIXIR_ENTRY))),
+        "haskell": numbers(haskell),
     }
-    prod, dev = F.when(F.lit(False), 0), F.when(F.lit(False), 0)
-    for name, (p, d) in counters.items():
-        prod, dev = prod.when(kind == name, p), dev.when(kind == name, d)
-    return (F.coalesce(prod.otherwise(0), F.lit(0)), F.coalesce(dev.otherwise(0), F.lit(0)))
+    return F.coalesce(*[F.when(kind == n, v) for n, v in counters.items()], numbers(F.lit(0)))
+
+
+def manifest_counts(kind: Column, content: Column) -> tuple[Column, Column]:
+    """The two counts as columns of their own."""
+    found = counted(kind, content)
+    return F.coalesce(found["prod"], F.lit(0)), F.coalesce(found["dev"], F.lit(0))
 
 
 def manifest_rollup(files: DataFrame, key: str = "repo") -> DataFrame:
@@ -286,9 +286,8 @@ def manifest_rollup(files: DataFrame, key: str = "repo") -> DataFrame:
     order = {n: i for i, n in enumerate(fixed.MANIFEST_KINDS)}
     known = files.withColumn("kind", lookup(F.col("name"), fixed.MANIFEST_KINDS, None)) \
         .filter("kind IS NOT NULL")
-    prod, dev = manifest_counts(F.col("kind"), F.col("content"))
-    per_name = known.select(key, "name", "kind", prod.alias("p"), dev.alias("d")) \
-        .groupBy(key, "name", "kind").agg(F.sum("p").alias("p"), F.sum("d").alias("d"))
+    per_name = known.select(key, "name", "kind", F.inline(F.array(counted(F.col("kind"), F.col("content"))))) \
+        .groupBy(key, "name", "kind").agg(F.sum("prod").alias("p"), F.sum("dev").alias("d"))
     rank = lookup(F.col("name"), order, None)
     listed = F.array_sort(F.collect_set(F.struct(rank.alias("r"), F.col("name").alias("n"))))
     kinds = F.array_sort(F.collect_set("kind"))

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, paths
 from ..functions.numeric import total
 from ..functions.text import search_terms
-from ..session import within
-from .joins import one_row_per_key, skewed_join
+from .joins import one_row_per_key, row_hash, skewed_join
 from .manifests import match_declared, with_bonus
 from .ranking import first_per_group
 
@@ -73,7 +72,7 @@ SAME_FAMILY = {"typescript": "javascript"}
 UNGATED = ["python", "javascript", "typescript"]
 
 COUNTS = ("imports", "aliases", "calls")
-BROADCAST_DEPS = 200_000
+BROADCAST_BYTES = 64 << 20
 DEPS_PER_ROW = 64
 
 
@@ -170,7 +169,7 @@ def with_search_terms(deps: DataFrame, overrides: DataFrame | None = None) -> Da
     listed = one_row_per_key(overrides.select(
         F.col("slug").alias("_slug"), F.filter("terms", lambda t: F.length(t) >= 2)
         .alias("_listed")), "_slug")
-    return (deps.withColumn("_slug", F.lower("dep")).join(listed, "_slug", "left")
+    return (skewed_join(deps.withColumn("_slug", F.lower("dep")), listed, "_slug", row_hash(deps), "left")
             .withColumn("terms", F.coalesce("_listed", made)).drop("_slug", "_listed"))
 
 
@@ -218,25 +217,26 @@ def packed_deps(deps: DataFrame, extra: list[str] | None = None) -> DataFrame:
         F.ceil(F.count(F.lit(1)) / F.lit(float(DEPS_PER_ROW))).alias("_rows"))
     slot = F.pmod(F.xxhash64("dep"), F.col("_rows")).alias("_slot")
     fields = F.struct("dep", "terms", *(extra or []))
-    return (deps.join(width, "repo").select("repo", slot, fields.alias("_d"))
+    return (skewed_join(deps, width, "repo", F.col("dep")).select("repo", slot, fields.alias("_d"))
             .groupBy("repo", "_slot").agg(F.collect_list("_d").alias("deps")).drop("_slot"))
 
 
 def candidates(files: DataFrame, deps: DataFrame,
-               broadcast_deps: int = BROADCAST_DEPS) -> DataFrame:
+               broadcast_deps: int = BROADCAST_BYTES) -> DataFrame:
     """Every scanned text beside each dependency that may occur in it.
 
-    Texts meet the dependency lists by broadcast while those are few (checked; the lists
-    have no more rows than ``deps``), and by a join spread over hot projects beyond that. One
+    Texts meet the dependency lists by broadcast while names and terms hold at most
+    ``broadcast_deps`` bytes (checked), and by a join spread over hot projects beyond that. One
     shuffle of text at most, none usually. Each text is lower-cased once and its list is
     cut in place, so a text is copied only for dependencies that may occur in it.
     """
     side = packed_deps(deps)
     texts = source_files(files).filter(F.col("content").rlike(r"(?U)\S"))
-    if within(deps, broadcast_deps):
+    held = F.octet_length(F.to_json(F.struct("repo", "dep", "terms")))
+    if (deps.agg(F.sum(held).alias("n")).first()["n"] or 0) <= broadcast_deps:
         met = texts.join(F.broadcast(side), "repo")
     else:
-        met = skewed_join(texts, side, "repo", F.col("path"))
+        met = skewed_join(texts, side, "repo", F.col("path"), counted=source_files(files.select("repo", "path")))
     language = F.col("language")
     likely = F.explode(F.transform(
         F.array(F.struct(F.lower("content").alias("lowered"), F.col("deps").alias("deps"))),
@@ -247,7 +247,7 @@ def candidates(files: DataFrame, deps: DataFrame,
 
 
 def usage_per_file(files: DataFrame, deps: DataFrame, unicode: bool = True,
-                   broadcast_deps: int = BROADCAST_DEPS) -> DataFrame:
+                   broadcast_deps: int = BROADCAST_BYTES) -> DataFrame:
     """Counts per file and dependency, where any is above 0. The patterns run once a pair:
     ``inline`` keeps the filter above them."""
     found = usage_in_text(F.col("content"), F.col("terms"), F.col("language"), unicode)

@@ -196,9 +196,8 @@ DEV_SQL = f"CASE WHEN l_partkey % 9 IN (0, 1) THEN {D1} ELSE 0 END"
 @query("manifest_counts", f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
   {PROD_SQL} AS prod, {DEV_SQL} AS dev FROM lineitem""")
 def manifest_counts(t: Tables) -> DataFrame:
-    prod, dev = manifests.manifest_counts(F.col("kind"), F.col("content"))
-    return counted(t).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                             prod.alias("prod"), dev.alias("dev"))
+    found = F.inline(F.array(manifests.counted(F.col("kind"), F.col("content"))))
+    return counted(t).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", found)
 
 
 COUNTED_NAMES = {"npm": "package.json", "cargo": "Cargo.toml", "go": "go.mod",

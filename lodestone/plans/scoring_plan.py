@@ -201,14 +201,7 @@ VIEWS["cap_combos"] = """SELECT z.i * 576 + d.i * 72 + c.i * 9 + p.i AS combo_id
   FROM {rest_error} r, {cap_errors} z, {cap_errors} d, {cap_errors} c, {cap_errors} p
   WHERE z.category = 'zk_system' AND d.category = 'dev_tooling'
     AND c.category = 'config_infra' AND p.category = 'crypto_primitive'"""
-VIEWS["cap_list"] = "SELECT list(error ORDER BY combo_id) AS errors, any_value(n) AS n FROM {cap_combos}"
-VIEWS["cap_fold"] = """SELECT 0 AS step, 0 AS best_id, errors[1] AS best, 0 AS stale FROM {cap_list}
-  UNION ALL SELECT step + 1, CASE WHEN errors[step + 2] < best - 500 * n THEN step + 1 ELSE best_id END,
-    CASE WHEN errors[step + 2] < best - 500 * n THEN errors[step + 2] ELSE best END,
-    CASE WHEN errors[step + 2] < best - 500 * n THEN 0 ELSE stale + 1 END
-  FROM cap_fold, {cap_list} WHERE step < 5183 AND stale < 500"""
-VIEWS["cap_best"] = """SELECT c.* FROM {cap_combos} c
-  JOIN (SELECT best_id FROM {cap_fold} ORDER BY step DESC LIMIT 1) f ON f.best_id = c.combo_id"""
+VIEWS["cap_best"] = "SELECT * FROM {cap_combos} ORDER BY error, combo_id LIMIT 1"
 TUNED_CAP = """(CASE category WHEN 'zk_system' THEN cb.zk_system WHEN 'dev_tooling' THEN cb.dev_tooling
   WHEN 'config_infra' THEN cb.config_infra WHEN 'crypto_primitive' THEN cb.crypto_primitive
   WHEN 'data_repo' THEN 0.50 ELSE gb.cap_w END)::DOUBLE"""

@@ -58,8 +58,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "stage")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def within(df: DataFrame, max_rows: int) -> bool:
-    """Size check ahead of a broadcast: at most ``max_rows`` rows? Reads no further."""
-    return df.limit(max_rows + 1).count() <= max_rows

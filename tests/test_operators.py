@@ -321,7 +321,11 @@ def test_cap_search_brute_force(spark):
             stale += 1
             if stale >= 500:
                 break
-    got = tuning.cap_search(df, weights, caps).first()
+    all_errors = [row["rest"] + sum(combo) for combo in itertools.product(*sums)]
+    whole = tuning.cap_search(df, weights, caps).first()
+    assert whole["combo_id"] == all_errors.index(min(all_errors))
+    assert whole["mae"] == pytest.approx(min(all_errors) / row["n"] / 1e6)
+    got = tuning.cap_search(df, weights, caps, fixed.CAP_PATIENCE).first()
     assert got["combo_id"] == best_id and got["mae"] == pytest.approx(best / row["n"] / 1e6)
     refined = dict(caps, **{c: got[c] for c in fixed.CAP_AXES})
     assert sum(predicted(spark, df, weights, refined)) == best
@@ -485,3 +489,36 @@ def test_slugs_of_any_depth_are_found(spark):
                    long + "/x": (False, False), "": (False, False)}
     name = spark.range(1).select(F.lit(long).alias("n"))
     assert name.select(F.size(manifests.grams(F.col("n"), 4))).first()[0] < len(long)
+
+
+def test_quantiles_brute_force(spark):
+    values = [(g, float(v)) for g, n in (("a", 41), ("b", 2), ("c", 1), (None, 8))
+              for v in [(i * 37 % 11) * 1.5 - 3 for i in range(n)]] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(values, "g string, v double").repartition(7)
+    shares = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.9, "q4": 1.0}
+    want = df.groupBy("g").agg(*[F.percentile("v", s).alias(n) for n, s in shares.items()])
+    got = aggregates.quantiles(df, "v", shares, ["g"])
+    assert {r["g"]: tuple(r)[1:] for r in got.collect()} == {
+        r["g"]: tuple(r)[1:] for r in want.filter("q0 is not null").collect()}
+    assert aggregates.spread(df, "g", "v").count() == 5
+    assert aggregates.summary(df.limit(0), "v").first()["median"] is None
+    plan = aggregates.spread(df, "g", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "median" not in plan
+
+
+def test_hot_keys_are_spread_by_their_share(spark):
+    left = spark.range(1000).select(F.when(F.col("id") < 500, "hot").when(F.col("id") > 900, None)
+                                    .otherwise(F.col("id").cast("string")).alias("k"), "id")
+    assert {r["k"]: r["_hot"] for r in joins.hot_keys(left, "k", 20).collect()} == {"hot": 10, None: 2}
+    table = spark.createDataFrame([("hot", "x"), ("600", "y")], "k string, v string")
+    got = joins.lookup_default(left, table, "k", "v", "none")
+    assert {r["v"]: r["n"] for r in got.groupBy("v").agg(F.count("*").alias("n")).collect()} == {
+        "x": 500, "y": 1, "none": 499}
+
+
+def test_sparse_orders_are_joined_by_place(spark):
+    df = spark.range(40).select((F.col("id") % 2).alias("k"), (F.col("id") * 10**12).alias("ord"),
+                                F.col("id").cast("string").alias("t"), F.lit("z").alias("u"))
+    got = aggregates.ordered_text(df, ["k"], "ord", "t", "u", width=5)
+    assert rows(got.select("k", "t", "u")) == [
+        (k, ",".join(str(i) for i in range(k, 40, 2)), ",".join("z" * 20)) for k in (0, 1)]
