@@ -149,6 +149,6 @@ def soft_cap(t: Tables) -> DataFrame:
 @query("direct_ratio", with_views("base_features", "SELECT id, round(direct_ratio, 6) AS direct_ratio FROM base_features"))
 def direct_ratio(t: Tables) -> DataFrame:
     df = features.with_unified_count(t.projects)
-    ratio = features.direct_ratio(F.col("unified_dep_count"), F.lit(None).cast("bigint"),
+    ratio = features.direct_ratio(F.col("unified_dep_count"), F.col("graph_direct_count"),
                                   F.col("depsdev_direct_deps"))
     return df.select("id", F.round(ratio, 6).alias("direct_ratio"))

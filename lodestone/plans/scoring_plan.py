@@ -10,11 +10,10 @@ from ..functions.numeric import axis
 from ..functions.text import classify, readme_signal
 from ..operators.aggregates import usage_signal
 from ..operators.features import (
-    direct_ratio, with_age, with_age_adjusted, with_norms, with_signals, with_unified_count,
+    direct_ratio, with_age, with_age_adjusted, with_signals, with_unified_count,
 )
-from ..operators.graph import producer_consumer
-from ..operators.scoring import scored, with_core_scores
-from ..operators.tuning import tune
+from ..operators.pipeline import finished, fitted
+from ..operators.scoring import scored
 from ..session import cut_lineage
 from .views import AS_OF, HIGH, LOW, NAMED, RULES, VIEWS, Tables, quote, sql_list
 
@@ -24,7 +23,7 @@ def base_features(t: Tables) -> DataFrame:
     df = with_age(t.projects, AS_OF)
     df = with_age_adjusted(with_unified_count(df))
     df = df.withColumn("direct_ratio", direct_ratio(
-        F.col("unified_dep_count"), F.lit(None).cast("bigint"), F.col("depsdev_direct_deps")))
+        F.col("unified_dep_count"), F.col("graph_direct_count"), F.col("depsdev_direct_deps")))
     df = df.withColumn("readme_tech_signal", readme_signal(F.col("description"), HIGH, LOW))
     kind = classify(F.col("repo_name"), F.col("description"), F.lit(""), F.col("language"),
                     RULES, NAMED)
@@ -34,16 +33,17 @@ def base_features(t: Tables) -> DataFrame:
 
 
 def features(t: Tables) -> DataFrame:
-    """Finished features. The base table is written once, narrow and without texts; the
-    table-wide maxima and the graph passes read it from there."""
+    """Finished features. The joined lines that projects, usage and edges come from are
+    written once. So is the base table, narrow and without texts; the table-wide maxima and
+    the graph passes read it from there."""
+    t.settle_lines()
     users = t.events.agg((F.max("user_id") + 1).alias("n")).scalar()
     base = base_features(t).withColumn("user_id", F.col("id") % users)
     base = with_signals(base, t.signals, "user_id").drop("user_id")
     rolled = usage_signal(t.usage).withColumnRenamed("repo", "id")
     base = base.join(rolled, "id", "left").fillna(0.0, ["usage_signal"])
     base = cut_lineage(base)
-    df = with_core_scores(with_norms(base))
-    return df.join(producer_consumer(t.edges, base), "id")
+    return finished(base, t.edges)
 
 
 def anchor_features(t: Tables) -> DataFrame:
@@ -57,8 +57,7 @@ def originality(t: Tables) -> DataFrame:
 def tuned_originality(t: Tables) -> DataFrame:
     """Scores under weights and caps fitted to the anchors first."""
     table = cut_lineage(features(t))
-    fitted = tune(cut_lineage(table.join(t.anchors, "id")))
-    return scored(table, *fitted) if fitted else scored(table)
+    return fitted(table, table.join(t.anchors, "id"))
 
 
 def rule_sql(text: str, language: str, name: str, what: int) -> str:
@@ -86,7 +85,7 @@ VIEWS["base_features"] = f"""SELECT *, unified_dep_count * CASE
     WHEN contains(upper(depsdev_ecosystem), 'MAVEN') THEN 0.80::DOUBLE ELSE 1.0::DOUBLE END
       / ln(1 + least(repo_age_years, 7.0::DOUBLE)) AS age_adj_dep_count,
     CASE WHEN unified_dep_count = 0 THEN 1.0
-      ELSE least(1.0, depsdev_direct_deps / unified_dep_count) END AS direct_ratio
+      ELSE least(1.0, coalesce(graph_direct_count, depsdev_direct_deps) / unified_dep_count) END AS direct_ratio
   FROM (SELECT *,
     CAST(CASE WHEN graph_dep_count > 0 THEN graph_dep_count
       WHEN cargo_lock_total_packages > 0 THEN cargo_lock_total_packages

@@ -1,6 +1,7 @@
 """Operators on small fixtures, against brute force where SQL is no check."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
 from lodestone.operators import (
-    aggregates, features, graph, joins, manifests, ranking, scoring, tree, tuning, usage,
+    aggregates, features, graph, joins, manifests, pipeline, ranking, scoring, tree, tuning, usage,
 )
 from lodestone.session import fresh_path, shared_folder
 from lodestone.sources import readers, writers
@@ -522,3 +523,66 @@ def test_sparse_orders_are_joined_by_place(spark):
     got = aggregates.ordered_text(df, ["k"], "ord", "t", "u", width=5)
     assert rows(got.select("k", "t", "u")) == [
         (k, ",".join(str(i) for i in range(k, 40, 2)), ",".join("z" * 20)) for k in (0, 1)]
+
+
+# ---- from partial tables to scores -------------------------------------------------------
+
+HOST = "https://github.com/"
+
+
+def partial_tables(spark):
+    def frame(values, schema):
+        return spark.createDataFrame(values, schema)
+
+    projects = frame(
+        [(HOST + f"acme/{n}", n, text, "Rust", "2020-01-01T00:00:00Z", stars, 10 * i, 3, 100_000, 7)
+         for i, (n, text, stars) in enumerate([("Tool", "a compiler", 9), ("lib", "helm chart", 0), ("bare", None, 4)])],
+        "repo_url string, repo_name string, description string, language string, created_at string, "
+        "stars bigint, commits_last_year bigint, contributor_count bigint, total_code_bytes bigint, "
+        "dependency_count bigint")
+    graph = frame([(HOST + "Acme/Tool", [HOST + "acme/lib", HOST + "x/y", HOST + "x/z", HOST + "x/w"]),
+                   (HOST + "acme/lib", [HOST + "acme/bare/"])], "src string, targets array<string>")
+    direct = frame([(HOST + "acme/tool", [HOST + "acme/lib"])], "src string, targets array<string>")
+    locks = frame([(HOST + "acme/lib", 0, 5)], "repo_url string, cargo_lock_total_packages bigint, go_sum_unique_modules bigint")
+    registry = frame([(HOST + "acme/bare", "maven", 2, 8)], "repo_url string, depsdev_ecosystem string, "
+                     "depsdev_direct_deps bigint, depsdev_transitive_deps bigint")
+    usage_rows = frame([("acme/Tool", "d", 2.0, True), ("acme/Tool", "e", 0.0, False)],
+                       "repo string, dependency string, weighted_score double, source_match boolean")
+    readmes = frame([(HOST + "acme/Tool", "A compiler, formal. Docker"), (HOST + "acme/lib", None)],
+                    "repo_url string, readme_excerpt string")
+    signals = frame([(HOST + "acme/lib", "0.5"), (HOST + "acme/bare", "bad")],
+                    "repo_url string, is_wrapper_or_integration string")
+    return projects, dict(graph=graph, direct_graph=direct, locks=locks, registry=registry, usage=usage_rows,
+                          readmes=readmes, signals=signals)
+
+
+def test_features_from_partial_tables(spark):
+    projects, tables = partial_tables(spark)
+    got = {r["repo_name"]: r for r in pipeline.features(projects, "2024-01-01T00:00:00Z", **tables).collect()}
+    assert len(got) == 3
+    assert [got[n]["unified_dep_count"] for n in ("Tool", "lib", "bare")] == [4.0, 1.0, 8.0]
+    assert [got[n]["scaled_dep_count"] for n in ("Tool", "lib", "bare")] == pytest.approx([4.0, 0.4, 6.4])
+    assert [got[n]["direct_ratio"] for n in ("Tool", "lib", "bare")] == [0.25, 0.0, 0.25]
+    assert [got[n]["dep_quality"] for n in ("Tool", "lib", "bare")] == pytest.approx(
+        [math.log1p(0.25) / math.log1p(500), 0.0, 0.0])
+    assert [got[n]["readme_tech_signal"] for n in ("Tool", "lib", "bare")] == [1, 0, 0]
+    assert [got[n]["usage_signal"] for n in ("Tool", "lib", "bare")] == pytest.approx([0.75, 0.0, 0.0])
+    assert [got[n]["ai_wrapper"] for n in ("Tool", "lib", "bare")] == [0.0, 0.5, 0.0]
+    assert got["bare"]["producer_score"] > 0 == got["Tool"]["producer_score"]
+
+
+def test_scores_with_and_without_tables(spark):
+    projects, tables = partial_tables(spark)
+    alone = pipeline.score(projects, "2024-01-01T00:00:00Z")
+    assert {r["pc_ratio"] for r in alone.collect()} == {0.5} and alone.filter("originality is null").count() == 0
+    jury = spark.createDataFrame([("acme/Tool", 0.7), ("acme/lib", 0.5), ("no/one", 0.1), ("acme/bare", None)],
+                                 "repo string, average_originality double")
+    tuned = pipeline.score(projects, "2024-01-01T00:00:00Z", jury, **tables)
+    untuned = pipeline.score(projects, "2024-01-01T00:00:00Z", **tables)
+
+    def off(df):
+        score = {r["repo_name"]: r["originality"] for r in df.collect()}
+        return abs(score["Tool"] - 0.7) + abs(score["lib"] - 0.5)
+
+    assert off(tuned) <= off(untuned)
+    assert pipeline.score(projects.limit(0), "2024-01-01T00:00:00Z", jury, **tables).count() == 0
