@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import skewed_join
 from ..session import cut_lineage
 from .common import components, unite
 
@@ -206,6 +207,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int, bits: int,
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows and equal
     fingerprints are one node. Null keys are never a component's name unless all are null.
+    Rows of a large component, and those of a fingerprint with many copies, are spread in the
+    joins that name them.
     """
     both = ["fp", "more"] if wide else ["fp"]
     prints = cut_lineage(fingerprints(docs, key, text, width, wide))
@@ -213,11 +216,12 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int, bits: int,
     nodes = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id() if wide else F.col("fp")))
     links = fingerprint_links(nodes if wide else nodes.select("fp"), bits, WIDE if wide else NARROW)
     roots = components(links).withColumnRenamed("node", "id")
-    rooted = nodes.join(roots, "id", "left").select(
-        *both, "least", F.coalesce("root", "id").alias("root"))
+    rooted = cut_lineage(nodes.join(roots, "id", "left").select(
+        *both, "least", F.coalesce("root", "id").alias("root")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(names, "root").select(*both, "component")
-    return prints.join(named, both).select("key", "fp", "component")
+    at = F.struct(*both).alias("_at")
+    named = skewed_join(rooted, names, "root", F.col("fp")).select(at, "component")
+    return skewed_join(prints.select("*", at), named, "_at", F.col("key")).select("key", "fp", "component")
 
 
 def similar_bits(similarity: float, spread: float = 0.65, bits: int = 128) -> int:
