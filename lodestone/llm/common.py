@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import skewed_join
 from ..session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,7 +96,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of a node move to the smallest node around it."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _minima(both).select("u", F.least("u", "m").alias("m"))
-    return (both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return (skewed_join(both, least, "u", F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct())
 
 
@@ -111,8 +112,8 @@ def components(edges: DataFrame) -> DataFrame:
     node reachable. Roots and nodes without links have no row.
 
     Stars are contracted in rounds until nothing moves, so rounds grow with the logarithm of
-    a path's length. Minima are combined before each shuffle, and the joins on a hub are
-    plain equality joins that adaptive execution can split. Each round is written to the
+    a path's length. Minima are combined before each shuffle, and the links of a hub are
+    spread by their other end. Each round is written to the
     shared folder. Links stay in tables; the driver sees one checksum a round.
     """
     oriented = edges.filter("u <> v").select(
