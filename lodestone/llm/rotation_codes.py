@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import skewed_join
 from ..session import cut_lineage
 from .common import components, unite
 
@@ -32,6 +33,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def vector_id() -> Column:
+    """Hash of ``vec``: a name for equal vectors that is narrower than they are."""
+    return F.xxhash64("vec", F.lit(1))
+
+
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
@@ -122,7 +128,8 @@ def linked(vectors: DataFrame, key: str, vector: str, threshold: float = 0.95,
     vectors give each a home cell. A vector also enters every cell whose border is no farther
     than linked vectors can be apart, so a home vector meets all its links in its own cell.
     Cells are cut in blocks of about 4,096 by 4,096 vectors, whatever their size. Codes and
-    factors are made once. Where data has no clusters every cell is a neighbour and the blocks
+    factors are made once. Copies of one vector, and rows of a large component, are spread in
+    the joins that name them. Where data has no clusters every cell is a neighbour and the blocks
     cover all pairs; nothing is left out to avoid that.
     """
     base = vectors.select(F.col(key).alias("key"), F.when(usable(F.col(vector)), F.col(vector)).alias("vec"))
@@ -134,7 +141,7 @@ def linked(vectors: DataFrame, key: str, vector: str, threshold: float = 0.95,
     base = base.withColumn("vec", F.when(F.size("vec") == d, F.col("vec")))
     nodes = cut_lineage(base.filter("vec is not null").groupBy("vec").agg(
         F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("id", F.xxhash64("vec", F.lit(1))))
+        .withColumn("id", vector_id()))
     total = nodes.count()
     if nodes.groupBy("id").count().filter("count > 1").take(1):
         raise ValueError("two vectors share a hash; change its seed")
@@ -196,12 +203,14 @@ def linked(vectors: DataFrame, key: str, vector: str, threshold: float = 0.95,
     found = cut_lineage(blocks.groupBy("cell", "h", "o").applyInArrow(compare, "u long, v long, n long"))
     counts = found.filter("u = v").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("u <> v").select("u", "v"))
-    rooted = (nodes.join(counts, "id", "left")
-              .join(roots.withColumnRenamed("node", "id"), "id", "left")
-              .select("vec", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                      F.coalesce("root", "id").alias("root")))
+    rooted = cut_lineage(
+        nodes.select("id", "least", "copies").join(counts, "id", "left")
+        .join(roots.withColumnRenamed("node", "id"), "id", "left")
+        .select("id", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                F.coalesce("root", "id").alias("root")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(names, "root").select("vec", "n_links", "component")
-    return base.join(named, "vec", "left").select(
+    named = skewed_join(rooted, names, "root", F.col("id")).select("id", "n_links", "component")
+    own = base.select("key", F.when(F.col("vec").isNotNull(), vector_id()).alias("id"))
+    return skewed_join(own, named, "id", F.col("key"), "left").select(
         "key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n_links").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
