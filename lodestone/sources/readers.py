@@ -27,6 +27,10 @@ SIGNAL_SCHEMA = ("repo_url string, implements_from_scratch string, defines_new_p
 README_SCHEMA = "repo_url string, readme_found boolean, readme_excerpt string"
 ANCHOR_SCHEMA = "repo string, average_originality double"
 
+# Names of manifest files.
+MANIFEST_FILES = ("Cargo.toml", "go.mod", "Godeps.json", "package.json", "requirements*.txt",
+                  "pyproject.toml", "*.csproj", "*.fsproj")
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType,
              multi_line: bool = False) -> DataFrame:
@@ -73,24 +77,35 @@ def decode_text(content: Column) -> Column:
     return F.replace(clean, F.lit("�"), F.lit(""))
 
 
-def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``repo, path, content`` of the source files below ``root/<repo>/...``.
+def tree_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """``repo, path, content`` of the files below ``root/<repo>/...`` whose names match.
 
-    Spark lists and reads the files on the executors. Names are filtered ahead of the
-    read, in any mixture of case. Blank files stay, as they count as files of their project.
+    Spark lists and reads the files on the executors. Names are filtered ahead of the read.
+    Spark's file sources pass over files of zero bytes, so those have no row.
     """
-    ext = sorted({e for exts in fixed.EXTENSIONS.values() for e in exts})
-    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in ext) + "}"
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("pathGlobFilter", glob).load(root))
     base = root.rstrip("/") + "/"
     inner = F.substring(F.col("path"), F.instr(F.col("path"), base) + len(base),
                         F.length("path"))
     repo = F.substring_index(inner, "/", 1)
-    files = raw.select(repo.alias("repo"),
-                       F.substring(inner, F.length(repo) + 2, F.length(inner)).alias("path"),
-                       decode_text(F.col("content")).alias("content"))
-    return files.filter(file_language(F.col("path")).isNotNull())
+    return raw.select(repo.alias("repo"),
+                      F.substring(inner, F.length(repo) + 2, F.length(inner)).alias("path"),
+                      decode_text(F.col("content")).alias("content"))
+
+
+def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Source files below ``root``, their extensions in any mixture of case. Blank files stay,
+    as they count as files of their project; those of zero bytes are not seen (``tree_files``)."""
+    ext = sorted({e for exts in fixed.EXTENSIONS.values() for e in exts})
+    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in ext) + "}"
+    return tree_files(spark, root, glob).filter(file_language(F.col("path")).isNotNull())
+
+
+def read_manifest_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Manifest files below ``root``, for ``manifests.extract_all``, which leaves out those in
+    folders of other projects' code."""
+    return tree_files(spark, root, "{" + ",".join(MANIFEST_FILES) + "}")
 
 
 def only_source(files: DataFrame) -> DataFrame:

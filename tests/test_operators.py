@@ -378,6 +378,23 @@ def test_read_source_tree(spark, tmp_path):
         ("p", "src/a.rs", "fn  x"), ("q", "blank.go", " \n"), ("q", "c.Py", "x")]
 
 
+def test_read_manifest_tree(spark, tmp_path):
+    """Manifests from a folder reach the extractor; vendored ones and other files do not count."""
+    for name, data in [("p/Cargo.toml", "[dependencies]\nserde = 1\n"),
+                       ("p/vendor/x/Cargo.toml", "[dependencies]\nhidden = 1\n"),
+                       ("p/main.rs", "use serde;"), ("q/sub/requirements-dev.txt", "numpy>=1\n"),
+                       ("q/notes.txt", "no"), ("r/a.csproj", '<PackageReference Include="Abc" />'),
+                       ("r/package.json", "{}"), ("r/go.mod", "")]:
+        file = tmp_path / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(data)
+    found = readers.read_manifest_tree(spark, str(tmp_path))
+    assert {r.path for r in found.select("path").collect()} == {
+        "Cargo.toml", "vendor/x/Cargo.toml", "sub/requirements-dev.txt", "a.csproj", "package.json"}
+    assert rows(manifests.extract_all(found)) == [
+        ("p", "serde", False), ("q", "numpy", False), ("r", "Abc", False), ("r", "abc", False)]
+
+
 def test_write_scores_agree(spark):
     df = anchors(spark, 5, 2).withColumns({
         "repo_url": F.concat(F.lit("u"), F.col("id")), "unified_dep_count": F.lit(3.0),
