@@ -378,6 +378,13 @@ def test_read_source_tree(spark, tmp_path):
         ("p", "src/a.rs", "fn  x"), ("q", "blank.go", " \n"), ("q", "c.Py", "x")]
 
 
+def test_read_edges(spark, tmp_path):
+    """Each line is an object of adjacency lists; empty lists, null and broken lines give no edge."""
+    (tmp_path / "a.json").write_text('{"u": ["v", "w"], "x": []}\n{"u": ["v"]}\n')
+    (tmp_path / "b.json").write_text('{"y": null}\n{broken\n\n')
+    assert rows(readers.read_edges(spark, str(tmp_path))) == [("u", "v"), ("u", "v"), ("u", "w")]
+
+
 def test_read_manifest_tree(spark, tmp_path):
     """Manifests from a folder reach the extractor; vendored ones and other files do not count."""
     for name, data in [("p/Cargo.toml", "[dependencies]\nserde = 1\n"),
