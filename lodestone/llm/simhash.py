@@ -237,8 +237,11 @@ def similar_bits(similarity: float, spread: float = 0.65, bits: int = 128) -> in
 
 def one_of_each(docs: DataFrame, key: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near-duplicates: of each group the document with the smallest key stays,
-    one row of it. Rows without a key cannot be told apart and stay."""
-    found = near_duplicates(docs, key, text, width, similar_bits(similarity), wide=True)
+    one row of it. Groups are linked by the exact Jaccard similarity of shingle sets, not by an
+    estimate from fingerprints. Rows without a key cannot be told apart and stay."""
+    from .overlap import similar_groups  # which takes its shingles from here
+
+    found = similar_groups(docs, key, text, width, similarity)
     stays = found.filter(F.col("key") == F.col("component")).select(F.col("key").alias("_simhash_key")).distinct()
     met = docs.join(stays, docs[key] == F.col("_simhash_key"), "left").filter(
         F.col("_simhash_key").isNotNull() | docs[key].isNull())

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestone.llm import common, maxscore, queries, rotation_codes, simhash
+from lodestone.llm import common, maxscore, overlap, queries, rotation_codes, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -193,3 +193,36 @@ def test_covers_find_all_close_pairs():
         (i, a, home), (j, b, _) = simhash.at_anchors(fps, cover), simhash.at_anchors(other, cover)
         homes, near = set(zip(i[home].tolist(), a[home].tolist())), set(zip(j.tolist(), b.tolist()))
         assert {x for x, _ in homes & near} == set(range(200))
+
+
+def test_near_dedup_matches_exact_jaccard(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SAMPLE", 4)
+    rng = np.random.default_rng(1)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(vocabulary, 12))  # a very common line
+    texts = []
+    for group, changed in enumerate([8] * 30 + [6] * 30 + [5] * 30):  # similarity about 0.65 to 0.85
+        words = rng.choice(vocabulary, 200).tolist()
+        texts.append(" ".join(words))
+        for _ in range(1 + group % 3):
+            other = list(words)
+            for at in rng.choice(195 // 5, changed - rng.integers(0, 3), replace=False) * 5:
+                other[at] = f"new{len(texts)}"
+            texts.append(" ".join(other))
+    base = rng.choice(vocabulary, 150).tolist()
+    for i in range(60):  # a large group, and texts that meet it below 0.8
+        other = list(base)
+        for at in rng.choice(150, 1 if i < 40 else 9, replace=False):
+            other[at] = f"far{i}"
+        texts.append(" ".join(other))
+    texts += [line + " " + " ".join(rng.choice(vocabulary, rng.integers(1, 60))) for _ in range(80)]
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    shared = [(i, j, len(sets[i] & sets[j])) for i in range(len(texts)) for j in range(i)]
+    sims = [(i, j, n / (len(sets[i]) + len(sets[j]) - n)) for i, j, n in shared if n]
+    assert all(sum(low <= s < low + 0.05 for *_, s in sims) >= 5 for low in (0.7, 0.75, 0.8, 0.85))
+    want = roots(len(texts), [(i, j) for i, j, s in sims if s >= 0.8])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.key: r.component for r in overlap.similar_groups(frame, "doc_id", "text", 5, 0.8).collect()}
+    assert got == dict(enumerate(want))
+    left = simhash.one_of_each(frame, "doc_id", "text").select("doc_id").collect()
+    assert sorted(r.doc_id for r in left) == sorted(set(want))
