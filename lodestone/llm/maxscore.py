@@ -46,8 +46,12 @@ class Shard:
         bar = None
         if terms:
             seeds = terms[0][4][self.ids[terms[0][4]] != own]
-            if len(seeds) >= k:
-                bar = int(np.partition(self.rows[seeds] @ query, -k)[-k])
+            # of an id with several vectors the best counts, and it counts once
+            scores = self.rows[seeds] @ query
+            order = np.lexsort((-scores, self.ids[seeds]))
+            once = np.r_[True, np.diff(self.ids[seeds][order]) != 0] if len(seeds) else np.zeros(0, bool)
+            if once.sum() >= k:
+                bar = int(np.partition(scores[order][once], -k)[-k])
         if bar is None or bar <= 0:
             alive = np.arange(len(self.ids))
         else:
@@ -89,7 +93,7 @@ def top_k(records: DataFrame, queries: DataFrame, key: str, vector: str, k: int
     out = "query_id long, id long, score long"
     size = records.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = size["d"] if size else 0
-    records, queries = (x.filter(F.size("vec") == d) for x in (records, queries))
+    records, queries = (x.filter(F.size("vec") == d).distinct() for x in (records, queries))
     n, q = records.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // block_queries))
 

@@ -160,6 +160,21 @@ def test_top_k_odd_rows(spark):
     assert maxscore.top_k(frame.filter("false"), frame, "vec_id", "t").count() == 0
 
 
+def test_top_k_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = {i: v.tolist() for i, v in enumerate(rng.integers(-20, 21, (200, 8)))}
+    rows[50] = [30] * 8
+    want = brute_top(rows, range(0, 200, 10), 5)
+    many = [*rows.items(), *[(50, rows[50])] * 5, *[(i, rows[i]) for i in range(0, 200, 3)]]
+    shard = maxscore.Shard(np.array([i for i, _ in many]), np.array([v for _, v in many]))
+    for own in range(0, 200, 10):
+        ids, scores = shard.top(np.array(rows[own]), own, 5)
+        assert [(own, n, i, s) for n, (i, s) in enumerate(zip(ids.tolist(), scores.tolist()), 1)] == [w for w in want if w[0] == own]
+    frame = spark.createDataFrame(many, "vec_id long, t array<long>")
+    got = maxscore.top_k(frame, frame.filter("vec_id % 10 = 0"), "vec_id", "t", 5)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def jaccard(a, b):
     a, b = (set(zip(*[t.split()[i:] for i in range(5)])) for t in (a, b))
     return len(a & b) / max(1, len(a | b))
