@@ -8,18 +8,18 @@ errors are equal. Of equal errors the first combination wins.
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.numeric import axis, clip, total
 from ..session import cut_lineage
-from .joins import row_hash
 from .scoring import SIGNAL_WEIGHTS, capped, category_cap, score_terms, weight
 
 MICRO = 1_000_000
-BLOCKS = 16
-MOST_ANCHORS = 20_000
+BLOCK_ROWS = 512
 
 
 def point(spec: tuple[float, float, int], index: Column) -> Column:
@@ -204,25 +204,21 @@ def cv_error_vectors(anchors: DataFrame, weights: dict, caps: dict) -> DataFrame
     return rows.select(F.array(*vector).alias("e"))
 
 
-def leave_two_out(anchors: DataFrame, weights: dict, caps: dict, most: int = MOST_ANCHORS) -> DataFrame:
+def leave_two_out(anchors: DataFrame, weights: dict, caps: dict) -> DataFrame:
     """Mean error on held-out pairs, each pair predicted by the model that is best on all
-    other anchors. Exact over the anchors taken, one row.
-
-    Anchors are labelled by hand and few. Of more than ``most`` a sample is taken, by hash of
-    what they hold, of about that many: this bounds the pairs.
+    other anchors. Exact over all anchors, one row.
 
     The training error of a pair is the column total less the pair's own errors, so nothing
     is refitted. Let the reference model be the one best on all anchors. Leaving a pair out
     turns the choice to another model only where the pair's extra error under that model
     reaches the model's distance in total error. Anchors that cannot reach it with any
     partner are settled by one sum. The rest are merged where their vectors agree, and only
-    those merged rows are paired, over a grid of blocks, each row meeting each block once.
+    those merged rows are paired, over blocks of similar reach: two blocks meet only if their
+    largest extra errors reach a distance together. The number of blocks follows the rows left.
     With more anchors the distances grow and the extra errors do not, so fewer are left.
     """
     models = size(CV)
-    number = anchors.agg(F.count(F.lit(1)).alias("n")).scalar()
-    place = F.pmod(row_hash(anchors), F.lit(1 << 30)) / float(1 << 30)
-    errors = cv_error_vectors(anchors.filter(place * number < most), weights, caps)
+    errors = cv_error_vectors(anchors, weights, caps)
 
     def at(array, g):
         return F.get(array, F.lit(g))
@@ -243,23 +239,38 @@ def leave_two_out(anchors: DataFrame, weights: dict, caps: dict, most: int = MOS
                     ).scalar()
     rows = rows.withColumn("m", most)
 
-    def reaches(g):
+    def turns(one, other):
         # A pair turns to g if its extra error exceeds the gap, or equals it and g is earlier.
-        highest = F.get(F.col("extra"), g) + F.get(F.col("m"), g)
-        gap = F.get(F.col("s.gap"), g)
-        return (g != F.col("s.best")) & (
-            (highest > gap) | ((highest == gap) & (g < F.col("s.best"))))
-
-    turns = F.exists(F.sequence(F.lit(0), F.lit(models - 1)), reaches)
-    movable = (rows.filter(turns)
-               .groupBy("extra").agg(F.sum("n").alias("n"), F.any_value("s").alias("s"))
-               .withColumn("block", F.pmod(F.xxhash64("extra"), F.lit(BLOCKS))))
-    others = F.sequence(F.lit(0).cast("bigint"), F.lit(BLOCKS - 1).cast("bigint"))
-    left = movable.select("extra", "n", "s", F.col("block").alias("b1"),
-                          F.explode(others).alias("b2"))
-    right = movable.select(F.col("extra").alias("extra2"), F.col("n").alias("n2"),
-                           F.explode(others).alias("b1"), F.col("block").alias("b2"))
-    pairs = left.join(right, ["b1", "b2"]).filter(F.col("extra") <= F.col("extra2"))
+        def reaches(g):
+            highest = F.get(F.col(one), g) + F.get(F.col(other), g)
+            gap = F.get(F.col("s.gap"), g)
+            return (g != F.col("s.best")) & (
+                (highest > gap) | ((highest == gap) & (g < F.col("s.best"))))
+
+        return F.exists(F.sequence(F.lit(0), F.lit(models - 1)), reaches)
+
+    # How far a row goes towards the nearest model: rows of a block are alike in it.
+    reach = F.array_max(F.zip_with("extra", F.col("s.gap"), lambda x, gap: x / F.greatest(gap, F.lit(1))))
+    movable = cut_lineage(rows.filter(turns("extra", "m"))
+                          .groupBy("extra").agg(F.sum("n").alias("n"), F.any_value("s").alias("s"))
+                          .withColumn("reach", reach))
+    parts = max(1, ceil(sqrt(movable.count() / BLOCK_ROWS)))
+    below = F.lit(0)
+    if parts > 1:
+        shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        cuts = movable.agg(F.percentile_approx("reach", shares, 10_000)).first()[0]
+        below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("reach")))
+    movable = cut_lineage(movable.withColumn(
+        "block", below * parts + F.pmod(F.xxhash64("extra"), F.lit(parts))).drop("reach"))
+    blocks = movable.groupBy("block").agg(
+        F.array(*[F.max(at(F.col("extra"), g)) for g in range(models)]).alias("top"), F.any_value("s").alias("s"))
+    met = blocks.select("s", F.col("block").alias("b1"), F.col("top").alias("t1")).join(
+        blocks.select(F.col("block").alias("b2"), F.col("top").alias("t2")),
+        F.col("b1") <= F.col("b2")).filter(turns("t1", "t2")).select("b1", "b2")
+    left = movable.select("extra", "n", "s", F.col("block").alias("b1")).join(met, "b1")
+    right = movable.select(F.col("extra").alias("extra2"), F.col("n").alias("n2"), F.col("block").alias("b2"))
+    pairs = left.join(right, "b2").filter(
+        ((F.col("b1") < F.col("b2")) | (F.col("extra") <= F.col("extra2"))) & turns("extra", "extra2"))
     both = F.zip_with("extra", "extra2", lambda a, b: a + b)
     rest = F.zip_with(both, F.col("s.gap"), lambda x, gap: gap - x)
     chosen = F.array_position(rest, F.array_min(rest)).cast("int") - 1

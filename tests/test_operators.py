@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
@@ -308,6 +309,23 @@ def test_leave_two_out_brute_force(spark, seed, flat):
     assert got["cv_mae"] == pytest.approx(sum(held) / len(held) / 1e6, abs=1e-12)
 
 
+@pytest.mark.parametrize("n,copies,rows", [(24, 900, 512), (60, 1, 2)])
+def test_leave_two_out_takes_all_anchors(spark, monkeypatch, n, copies, rows):
+    monkeypatch.setattr(tuning, "BLOCK_ROWS", rows, raising=False)
+    df = anchors(spark, n, 3, True).crossJoin(spark.range(copies).select(F.col("id").alias("copy"))).cache()
+    weights, caps = dict(fixed.WEIGHTS), dict(fixed.CATEGORY_CAPS)
+    vectors = Counter(tuple(r["e"]) for r in tuning.cv_error_vectors(df, weights, caps).collect())
+    total = [sum(e[g] * m for e, m in vectors.items()) for g in range(12)]
+    held = 0
+    for (x, m), (y, k) in itertools.combinations_with_replacement(vectors.items(), 2):
+        left = [total[g] - x[g] - y[g] for g in range(12)]
+        g = left.index(min(left))
+        held += (x[g] + y[g]) * (m * (m - 1) // 2 if x == y else m * k)
+    got = tuning.leave_two_out(df, weights, caps).first()
+    assert got["pairs"] == n * copies * (n * copies - 1) // 2
+    assert got["cv_mae"] == pytest.approx(held / got["pairs"] / 2 / 1e6, abs=1e-12)
+
+
 def test_cap_search_brute_force(spark):
     df = anchors(spark, 30, 8).cache()
     weights, caps = dict(fixed.WEIGHTS), tuning.grid_caps(0.76)
