@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    extraction, language, maxscore, mixing, packing, quality, rotation_codes, sharding, simhash, toxicity,
+    alignment, exact_dedup, extraction, language, maxscore, mixing, multi_index, packing, quality,
+    rotation_codes, sharding, simhash, toxicity,
 )
 from .common import labelled_sample, remainder, table
 
@@ -194,3 +195,62 @@ def counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     found = toxicity.score(docs, "text", toxicity_model(docs, labels), keep=["doc_id"])
     return found.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+FINITE = "not exists(embedding, x -> x is null or isnan(x) or abs(x) = float('inf'))"
+
+MINED_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id AS other, q.label = c.label AS alike,
+         list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE alike
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other))::INT AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op11_multi_index", MINED_SQL)
+def multi_index_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh label is moved on by one, as wrong labels would be."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").filter(FINITE).select("vec_id", moved.alias("label"), F.transform(
+        "embedding", lambda x: F.floor(256 * x.cast("double"))).alias("terms"))
+    return multi_index.hard_negatives(rows, "vec_id", "terms", "label", F.col("vec_id") % 100 == 0)
+
+
+@query("op12_exact_dedup", """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS n
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY n ORDER BY doc_id DESC) = 1 AS kept, sha256(n) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY n)
+""")
+def exact_dedup_groups(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn(
+        "text_sha256", F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256))
+    found = exact_dedup.exact_duplicates(docs, "doc_id", "text", keep=["text_sha256"])
+    return found.select(F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"),
+                        "group_size", "kept", "text_sha256")
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = alignment.align(
+        table(spark, folder, "documents"), "text", public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    narrow = aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "links")
+    return alignment.weighed(narrow).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
