@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,33 +13,90 @@ from .keys import trim_all
 from .numeric import bound, lookup, total
 
 
+FEW_PHRASES = 40
+
+
 def lowered(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
-def hits(text: Column, phrases: Sequence[str]) -> Column:
-    """Phrases found in text that is lower-cased already, each counted once."""
-    return total([F.contains(text, F.lit(p)).cast("int") for p in phrases])
+def trie(phrases: Sequence[str]) -> str:
+    """Pattern that matches the longest of the phrases that begin at a place, letter by letter:
+    phrases with the same beginning share it."""
+    root: dict = {}
+    for phrase in phrases:
+        node = root
+        for c in phrase:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node):
+        branches = [re.escape(c) + written(child) for c, child in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
+        return body + "?" if "" in node else body
+
+    return written(root)
+
+
+def phrases_in(text: Column, phrases: Sequence[str]) -> Column:
+    """The different phrases that begin somewhere in the text, the longest at each place: all of
+    them are looked for in one pass. A few are looked for one by one, which takes less time than
+    one pattern for them. ``mentions`` reads the result."""
+    kept = [p for p in phrases if p]
+    if not kept:
+        return F.array().cast("array<string>")
+    if len(kept) <= FEW_PHRASES:
+        listed = F.array(*[F.lit(p) for p in kept])
+        return bound(text, lambda t: F.filter(listed, lambda p: F.contains(t, p)))
+    first = "".join(sorted({re.escape(p[0]) for p in kept}))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=[{first}])(?=({trie(kept)}))"), F.lit(1)))
+
+
+def mentions(found: Column, wanted: Sequence[str], phrases: Sequence[str]) -> Column:
+    """Is any of the ``wanted`` among ``phrases_in``? A phrase is also there where a longer one of
+    ``phrases`` begins with it."""
+    longer = sorted({p for p in phrases if any(p.startswith(w) for w in wanted)})
+    if not longer:
+        return F.lit(False)
+    return F.arrays_overlap(found, F.array(*[F.lit(p) for p in longer]))
+
+
+def counted(found: Column, wanted: Sequence[str], phrases: Sequence[str]) -> Column:
+    return total([mentions(found, [p], phrases).cast("int") for p in wanted] or [F.lit(0)])
+
+
+def hits(text: Column, *lists: Sequence[str]) -> list[Column]:
+    """How many phrases of each list are found in text that is lower-cased already, each counted
+    once. One pass over the text for all lists."""
+    every = sorted({p for phrases in lists for p in phrases})
+
+    counts = bound(phrases_in(text, every), lambda found: F.array(*[counted(found, p, every) for p in lists]))
+    return [F.get(counts, F.lit(i)) for i in range(len(lists))]
 
 
 def keyword_hits(text: Column, phrases: Sequence[str]) -> Column:
     """How many of the phrases occur, each counted once, case aside."""
-    return bound(lowered(text), lambda t: hits(t, phrases))
+    return hits(lowered(text), phrases)[0]
 
 
 def readme_signal(text: Column, high: Sequence[str] = fixed.README_HIGH,
                   low: Sequence[str] = fixed.README_LOW) -> Column:
     """Depth phrases minus packaging phrases, bounded."""
-    balance = bound(lowered(text), lambda t: hits(t, high) - hits(t, low))
+    every = sorted({*high, *low})
+
+    balance = bound(phrases_in(lowered(text), every), lambda found: counted(found, high, every) - counted(found, low, every))
     least, most = fixed.README_RANGE
     return F.greatest(F.lit(least), F.least(F.lit(most), balance))
 
 
 def description_signals(description: Column, topics: Column) -> dict[str, Column]:
     text = F.concat_ws(" ", F.coalesce(description, F.lit("")), F.coalesce(topics, F.lit("")))
+    wrapper, original = hits(F.lower(text), fixed.WRAPPER_PHRASES, fixed.ORIGINAL_PHRASES)
     return {
-        "desc_fork_wrapper_signals": keyword_hits(text, fixed.WRAPPER_PHRASES),
-        "desc_originality_signals": keyword_hits(text, fixed.ORIGINAL_PHRASES),
+        "desc_fork_wrapper_signals": wrapper,
+        "desc_originality_signals": original,
         "desc_length": F.coalesce(F.length(description), F.lit(0)),
     }
 
@@ -60,16 +117,18 @@ def classify(name: Column, description: Column, topics: Column, language: Column
     def outcome(category, bonus):
         return F.struct(F.lit(category).alias("category"), F.lit(float(bonus)).alias("bonus"))
 
-    def first_rule(t):
+    every = sorted({p for _, _, phrases, _ in rules for p in phrases})
+
+    def first_rule(found):
         ruled = F.when(F.lit(False), outcome(fixed.DEFAULT_CATEGORY, 0.0))
         for category, bonus, phrases, languages in rules:
-            hit = reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in phrases])
+            hit = mentions(found, phrases, every)
             if languages:
                 hit = F.coalesce(language.isin(list(languages)), F.lit(False)) & hit
             ruled = ruled.when(hit, outcome(category, bonus))
         return ruled.otherwise(outcome(fixed.DEFAULT_CATEGORY, 0.0))
 
-    ruled = bound(F.lower(text), first_rule)
+    ruled = bound(phrases_in(F.lower(text), every), first_rule)
     if not known:
         return ruled
     named = lookup(name, known, None)

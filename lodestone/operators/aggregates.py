@@ -79,6 +79,33 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float],
         *[F.max(F.when(F.col("_name") == n, F.col("_met"))).alias(n) for n in shares])
 
 
+RANK_ERROR = 0.0133  # of a sketch with the default size, with 99% confidence
+
+
+def sketches(df: DataFrame, value: str, by: Sequence[str] = (), size: int = 200) -> DataFrame:
+    """``by, sketch, n, total, least, most``: a mergeable summary of each group, a few KB whatever
+    the group holds. Store one a batch and put them together with ``merged_sketches``. Nulls do
+    not count."""
+    x = F.col(value).cast("double")
+    return df.filter(x.isNotNull()).groupBy(*by).agg(
+        F.kll_sketch_agg_double(x, F.lit(size)).alias("sketch"), F.count(x).alias("n"), F.sum(x).alias("total"),
+        F.min(x).alias("least"), F.max(x).alias("most"))
+
+
+def merged_sketches(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Summaries of the same groups from several batches as one each."""
+    return parts.groupBy(*by).agg(
+        F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"), F.sum("total").alias("total"),
+        F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def sketched_quantiles(parts: DataFrame, shares: dict[str, float]) -> dict[str, Column]:
+    """Columns of values whose rank is within ``RANK_ERROR`` of each share of the group, besides
+    the exact mean."""
+    found = {n: F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))) for n, q in shares.items()}
+    return found | {"mean": F.col("total") / F.col("n")}
+
+
 def summary(df: DataFrame, value: str, exact: bool = True) -> DataFrame:
     """Mean, median, least and largest. ``exact=False`` takes a sketch for the median."""
     rest = [F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")]

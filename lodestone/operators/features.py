@@ -97,16 +97,18 @@ def direct_ratio(total: Column, direct: Column, registry_direct: Column) -> Colu
     return F.when(total == 0, F.lit(1.0)).otherwise(clip(counted / total, 0.0, 1.0))
 
 
-def with_signals(df: DataFrame, signals: DataFrame | None, key: str) -> DataFrame:
-    """Model signals under short names, unreadable or missing ones 0. Of a repeated key the
-    row read last holds."""
+def with_signals(df: DataFrame, signals: DataFrame | None, key: str, order: str = "landed") -> DataFrame:
+    """Model signals under short names, unreadable or missing ones 0. Of a repeated key the row
+    that is last by ``order`` holds, if there is such a column; of several last ones, or without
+    it, the one with the largest values, whichever task reads them."""
     if signals is None:
         return with_defaults(df, {dest: 0.0 for dest in fixed.SIGNALS})
     present = {d: s for d, s in fixed.SIGNALS.items() if s in signals.columns}
     values = F.struct(*[to_number(F.col(s)).alias(d) for d, s in present.items()]) if present else F.struct(
         F.lit(1).alias("_none"))
-    picked = (signals.select(key, values.alias("_v"), F.monotonically_increasing_id().alias("_at"))
-              .groupBy(key).agg(F.max_by("_v", "_at").alias("_v"))
+    at = F.col(order) if order in signals.columns else F.lit(0)
+    picked = (signals.select(key, F.struct(at.alias("at"), values.alias("v")).alias("_p"))
+              .groupBy(key).agg(F.max("_p").alias("_p")).select(key, F.col("_p.v").alias("_v"))
               .select(key, *[F.col(f"_v.{d}").alias(d) for d in present]))
     out = df.join(picked, key, "left")
     return with_defaults(out, {d: 0.0 for d in fixed.SIGNALS})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import canonical
 from ..functions.numeric import bound
+from .prefilter import may_match
 
 
 def hot_keys(df: DataFrame, key: str, limit: int = 1000) -> DataFrame:
@@ -18,9 +19,12 @@ def hot_keys(df: DataFrame, key: str, limit: int = 1000) -> DataFrame:
     Fewer than ``limit`` keys can do that, so the result is safe to broadcast however
     large ``df`` is. The parts of all of them are fewer than twice ``limit``.
     """
-    rows = df.select(key)
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    everything = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return hot_counts(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, limit)
+
+
+def hot_counts(counts: DataFrame, key: str, limit: int = 1000) -> DataFrame:
+    """``hot_keys`` of rows that are counted already, ``key, _n``."""
+    everything = counts.agg(F.sum("_n").alias("n")).scalar()
     parts = F.ceil(F.col("_n") * limit / everything).cast("bigint")
     return counts.filter(F.col("_n") * limit > everything).select(key, parts.alias("_hot"))
 
@@ -34,16 +38,18 @@ def row_hash(df: DataFrame) -> Column:
 
 def skewed_join(left: DataFrame, right: DataFrame, key: str, spread: Column,
                 how: str = "inner", salts: int | None = None, limit: int = 1000,
-                counted: DataFrame | None = None) -> DataFrame:
+                counted: DataFrame | None = None, rows_of: DataFrame | None = None) -> DataFrame:
     """Join on ``key`` where some keys may hold a large part of ``left``.
 
     Rows of a hot key are spread by ``spread`` over as many tasks as its share of the rows
     asks for, ``1/limit`` of all rows each, or over ``salts``; only the few matching rows of
     ``right`` are copied. Rows without a key meet nothing and are spread too. Other keys join
     as usual. ``counted`` has the same keys as ``left`` and is counted instead, where
-    ``left`` is dear to compute.
+    ``left`` is dear to compute. ``rows_of`` has the counts themselves, ``key, _n``, for all
+    keys that can be hot.
     """
-    hot = F.broadcast(hot_keys(left if counted is None else counted, key, limit))
+    hot = F.broadcast(hot_keys(left if counted is None else counted, key, limit) if rows_of is None
+                      else hot_counts(rows_of, key, limit))
     parts = F.when(F.col("_hot").isNotNull(), F.lit(salts) if salts else F.col("_hot")).otherwise(1)
     own = F.when(F.col(key).isNull(), F.lit(salts or limit)).otherwise(parts)
     many = (left.join(hot, key, "left")
@@ -95,8 +101,11 @@ def anchor_join(anchors: DataFrame, projects: DataFrame, key: str = "repo_url",
 
 
 def remaining(keys: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Keys not done yet."""
-    return keys.join(done.select(key), key, "left_anti")
+    """Rows of ``keys`` not done yet. A bitmap of the done keys, of bounded size, tells in the
+    scan which rows surely are not; only the others meet the done table, however large it is."""
+    told = may_match(keys, done.select(key), key)
+    new, maybe = told.filter("not _may").drop("_may"), told.filter("_may").drop("_may")
+    return new.union(maybe.join(done.select(key), key, "left_anti").select(*new.columns)).select(*keys.columns)
 
 
 def induced(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame:

@@ -14,6 +14,8 @@ from ..functions import fixed
 from ..functions.keys import trim_all
 from ..functions.numeric import bound, lookup
 from ..functions.paths import parts, words
+from ..session import cut_lineage
+from .containment import contained
 from .joins import normalised
 
 # Formats of manifest lines and blocks. ``(?d)`` makes only "\n" end a line.
@@ -298,38 +300,19 @@ def manifest_rollup(files: DataFrame, key: str = "repo") -> DataFrame:
         F.size(kinds).alias("dep_ecosystem_count"))
 
 
-GRAM = 4
-
-
-def grams(name: Column, n: int) -> Column:
-    """The different pieces of ``n`` characters in a name: no more than it has characters."""
-    at = F.sequence(F.lit(1), F.length(name) - (n - 1))
-    return F.when(F.length(name) >= n, F.array_distinct(
-        F.transform(at, lambda i: F.substr(name, i, F.lit(n))))).otherwise(empty())
-
-
 def match_declared(deps: DataFrame, names: DataFrame) -> DataFrame:
     """Which declared dependencies a project's manifests name.
 
     ``deps`` holds ``repo, dep, terms``, ``names`` holds ``repo, dep, is_dev``. A match is
     a slug inside a manifest name, or a term equal to a name in normal spelling. The former
-    joins on project and the slug's first four characters (all of a shorter slug) and then
-    looks, so rows grow with a name's length; the latter joins on project and text. Adds
-    ``in_prod`` and ``in_dev``.
+    looks for each slug where its rarest four characters are, so a project whose slugs share
+    an owner does not square; the latter joins on project and text. Adds ``in_prod`` and
+    ``in_dev``.
     """
     slugs = deps.select("repo", F.col("dep").alias("slug"), F.lower("dep").alias("text"))
-    slugs = slugs.filter(F.length("text") > 0).withColumn("gram", F.left("text", F.lit(GRAM)))
-    brief = slugs.filter(F.length("text") < GRAM)
-    lowered = names.select("repo", F.lower("dep").alias("name"), "is_dev").distinct()
-
-    def pieces(source, *sizes):
-        found = F.concat(*[grams(F.col("name"), n) for n in sizes])
-        return source.select("repo", "is_dev", "name", F.explode(found).alias("gram"))
-
-    few = lowered.join(brief.select("repo").distinct(), "repo", "left_semi")
-    inside = pieces(lowered, GRAM).join(slugs, ["repo", "gram"]).filter(
-        F.contains("name", "text")).unionByName(
-        pieces(few, *range(1, GRAM)).join(brief, ["repo", "gram"]))
+    lowered = cut_lineage(names.select("repo", F.lower("dep").alias("name"), "is_dev").distinct())
+    inside = (contained(lowered, slugs, ["repo"], "name", "text")
+              .join(lowered, ["repo", "name"]).join(slugs, ["repo", "text"]))
     terms = deps.select("repo", F.col("dep").alias("slug"),
                         F.explode("terms").alias("term")) \
         .select("repo", "slug", normalised(F.col("term")).alias("text")).distinct()

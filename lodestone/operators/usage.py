@@ -1,17 +1,24 @@
 """How heavily source code uses its declared dependencies.
 
-Text is read once and dropped in the stage that reads it: the shuffle carries counts only.
+A text is cut, in the stage that reads it, into the pieces that usage patterns can match
+(``lexers``). Pieces and search terms meet through the grams they share, and the patterns run on
+the pieces. No text crosses an exchange and no list of dependencies is broadcast, at any size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, paths
 from ..functions.numeric import total
 from ..functions.text import search_terms
+from ..session import cut_lineage
+from .containment import contained
 from .joins import one_row_per_key, row_hash, skewed_join
+from .lexers import NAME, names_in, token_index
 from .manifests import match_declared, with_bonus
 from .ranking import first_per_group
 
@@ -72,8 +79,9 @@ SAME_FAMILY = {"typescript": "javascript"}
 UNGATED = ["python", "javascript", "typescript"]
 
 COUNTS = ("imports", "aliases", "calls")
-BROADCAST_BYTES = 64 << 20
-DEPS_PER_ROW = 64
+FAMILIES = {f: [f] + [k for k, v in SAME_FAMILY.items() if v == f] for f in USAGE_PATTERNS if f != "other"}
+
+BY_NAME = [f for f, spec in USAGE_PATTERNS.items() if "{p}" in spec["calls"][0]]
 
 
 def quoted(term: Column) -> Column:
@@ -211,57 +219,173 @@ def capped_files(files: DataFrame, cap: int = fixed.FILE_CAP) -> DataFrame:
     return first_per_group(meta, ["repo"], [F.col("rank"), F.col("path")], cap, F.col("path"))
 
 
-def packed_deps(deps: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Dependencies in rows of about 64 per project, so no row grows with a project."""
-    width = deps.groupBy("repo").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(DEPS_PER_ROW))).alias("_rows"))
-    slot = F.pmod(F.xxhash64("dep"), F.col("_rows")).alias("_slot")
-    fields = F.struct("dep", "terms", *(extra or []))
-    return (skewed_join(deps, width, "repo", F.col("dep")).select("repo", slot, fields.alias("_d"))
-            .groupBy("repo", "_slot").agg(F.collect_list("_d").alias("deps")).drop("_slot"))
+def family_of(language: Column) -> Column:
+    """Family whose patterns a language uses."""
+    known = None
+    for family, languages in FAMILIES.items():
+        here = language.isin(languages)
+        known = F.when(here, family) if known is None else known.when(here, family)
+    return known.otherwise("other")
+
+
+def readable(files: DataFrame) -> DataFrame:
+    """Source files that are not blank."""
+    return source_files(files).filter(F.col("content").rlike(r"(?U)\S"))
+
+
+def term_rows(deps: DataFrame) -> DataFrame:
+    """``repo, dep, term, times``: terms that are names, and how often a dependency lists them."""
+    return (deps.select("repo", "dep", F.explode("terms").alias("term"))
+            .filter(F.col("term").rlike(rf"(?U)\A{NAME}+\z"))
+            .groupBy("repo", "dep", "term").agg(F.count(F.lit(1)).alias("times")))
+
+
+def term_hits(files: DataFrame, deps: DataFrame) -> DataFrame:
+    """``repo, path, dep``: dependencies of which some term occurs in a file, case aside.
+
+    A term is a name, so it lies inside one of the file's names: those cross exchanges, the text
+    does not.
+    """
+    names = cut_lineage(names_in(files))
+    terms = term_rows(deps).select("repo", "dep", F.lower("term").alias("term"))
+    met = contained(names, terms, ["repo"], "name", "term").join(terms, ["repo", "term"]).select(
+        F.struct("repo", "name").alias("_at"), "dep").distinct()
+    return skewed_join(names.select(F.struct("repo", "name").alias("_at"), "path"), cut_lineage(met), "_at", F.col("path")).select(
+        "_at.repo", "path", "dep").distinct()
+
+
+def candidates(files: DataFrame, deps: DataFrame) -> DataFrame:
+    """``repo, path, language, dep, terms``: every scanned file beside each dependency that may
+    occur in it. Python, JavaScript and TypeScript files take all of their project's; others
+    those of which a term occurs, case aside. Texts stay in the scan."""
+    read = readable(files)
+    all_of = F.col("language").isin(UNGATED)
+    free = skewed_join(read.filter(all_of).select("repo", "path", "language"), deps.select("repo", "dep", "terms"),
+                       "repo", F.col("path"), counted=source_files(files.select("repo", "path")).filter(all_of))
+    gated = read.filter(~all_of)
+    met = term_hits(gated, deps).join(gated.select("repo", "path", "language"), ["repo", "path"]).join(
+        deps.select("repo", "dep", "terms"), ["repo", "dep"])
+    return free.unionByName(met.select(*free.columns))
+
+
+def matched(index: DataFrame, deps: DataFrame) -> DataFrame:
+    """Pieces of the index beside each term that may match there: adds ``dep, term, times``.
+
+    A piece meets the term itself, or the package name made from it where the family's calls are
+    made on that.
+    """
+    terms = term_rows(deps)
+    named = [terms.withColumn("role", F.lit("")).withColumn("phrase", F.col("term"))]
+    named += [terms.withColumn("role", F.lit(f)).withColumn("phrase", package_name(F.col("term"), f))
+              .filter(F.length("phrase") >= 3) for f in BY_NAME]
+    phrases = cut_lineage(reduce(DataFrame.union, named))
+    pairs = contained(index, phrases, ["repo"], "piece", "phrase").join(phrases, ["repo", "phrase"]).select(
+        F.struct("repo", "piece", "role").alias("_at"), "dep", "term", "times")
+    by_name = (F.col("measure") == "calls") & F.col("family").isin(BY_NAME)
+    asked = index.withColumn("family", family_of(F.col("language"))).withColumn(
+        "_at", F.struct("repo", "piece", F.when(by_name, F.col("family")).otherwise("").alias("role")))
+    return skewed_join(asked, cut_lineage(pairs), "_at", F.col("path")).drop("_at")
+
+
+def pattern_counts(pairs: DataFrame, unicode: bool) -> DataFrame:
+    """``pairs`` with ``hits``: how often the piece's own pattern matches in it. ``inline`` keeps
+    what is asked of the hits above them, so that patterns run once a pair."""
+    hits = None
+    for family, spec in USAGE_PATTERNS.items():
+        for measure, patterns in spec.items():
+            for i, pattern in enumerate(patterns):
+                here = (F.col("family") == family) & (F.col("measure") == measure) & (F.col("pattern") == i)
+                count = matches(F.col("piece"), filled(pattern, F.col("term"), family, unicode))
+                if family == "go" and "\"" in pattern:
+                    count = F.lit(1)  # the term is between the quotes, which is all that is asked
+                hits = F.when(here, count) if hits is None else hits.when(here, count)
+    found = pairs.select("*", F.inline(F.array(F.struct(F.coalesce(hits, F.lit(0)).alias("_hits")))))
+    return found.withColumn("hits", F.when(F.col("way") == "each", F.col("_hits")).otherwise(F.least("_hits", F.lit(1)))).drop("_hits")
+
+
+def every_second(places: DataFrame, by: list[str]) -> DataFrame:
+    """Of neighbouring gaps in a file every second one counts, as a match takes both quotes."""
+    order = Window.partitionBy(*by).orderBy("number")
+    runs = places.select(*by, "number", (F.col("number") - F.row_number().over(order)).alias("_run"))
+    return runs.groupBy(*by, "_run").agg(F.ceil(F.count(F.lit(1)) / F.lit(2)).alias("hits")).drop("_run")
+
+
+def bound_names(pairs: DataFrame, unicode: bool) -> DataFrame:
+    """``repo, path, dep, alias, times``: names that imports of a dependency are bound to, and how
+    often."""
+    names = None
+    for family, patterns in ALIAS_PATTERNS.items():
+        for i, pattern in enumerate(patterns):
+            found = F.regexp_extract_all("piece", filled(pattern, F.col("term"), family, unicode), F.lit(1))
+            if family == "javascript" and i == 2:
+                found = F.filter(found, lambda n: ~n.isin(NOT_ALIASES))
+            here = (F.col("family") == family) & (F.col("pattern") == i)
+            names = F.when(here, found) if names is None else names.when(here, found)
+    return (pairs.filter("measure = 'binds'").select("repo", "path", "dep", "n", "times", F.explode(names).alias("alias"))
+            .groupBy("repo", "path", "dep", "alias").agg(F.sum(F.col("n") * F.col("times")).alias("times")))
+
+
+def calls_on_aliases(index: DataFrame, bound: DataFrame, unicode: bool) -> DataFrame:
+    """``repo, path, dep, n``: member accesses on bound names of two characters at least, each
+    name counted as often as it is bound; 0 where there is none."""
+    flags = "(?Ud)" if unicode else "(?d)"
+    words = F.regexp_extract_all("piece", F.lit(flags + r"\b(\w++)(?=\.\w)"), F.lit(1))
+    uses = index.filter(F.col("language").isin(UNGATED) & (F.col("measure") == "calls")).select(
+        "repo", "path", "piece", "n", F.explode(F.array_distinct(words)).alias("alias"))
+    hits = matches(F.col("piece"), F.concat(F.lit(flags + r"\b"), quoted(F.col("alias")), F.lit(r"\.\w+")))
+    used = uses.groupBy("repo", "path", "alias").agg(F.sum(F.col("n") * hits).alias("n"))
+    each = bound.join(used, ["repo", "path", "alias"], "left")
+    long_enough = F.when(F.length("alias") >= 2, F.col("times") * F.coalesce("n", F.lit(0))).otherwise(0)
+    return each.groupBy("repo", "path", "dep").agg(F.sum(long_enough).cast("bigint").alias("n"))
+
+
+def alias_use(files: DataFrame, deps: DataFrame, unicode: bool = True) -> DataFrame:
+    """``repo, path, dep, n``: member accesses on names that a file's imports of a dependency are
+    bound to, for each pair that has such a name."""
+    kept = readable(files).filter(F.col("language").isin(UNGATED))
+    index = cut_lineage(token_index(kept, FAMILIES, unicode))
+    return calls_on_aliases(index, bound_names(matched(index, deps), unicode), unicode)
+
+
+def plain_of(hits: DataFrame) -> DataFrame:
+    return hits.select("repo", "path", "dep", "measure", (F.col("hits") * F.col("n") * F.col("times")).alias("n"))
 
 
-def candidates(files: DataFrame, deps: DataFrame,
-               broadcast_deps: int = BROADCAST_BYTES) -> DataFrame:
-    """Every scanned text beside each dependency that may occur in it.
+def usage_per_file(files: DataFrame, deps: DataFrame, unicode: bool = True) -> DataFrame:
+    """``repo, path, dep, imports, aliases, calls`` where any is above 0.
 
-    Texts meet the dependency lists by broadcast while names and terms hold at most
-    ``broadcast_deps`` bytes (checked), and by a join spread over hot projects beyond that. One
-    shuffle of text at most, none usually. Each text is lower-cased once and its list is
-    cut in place, so a text is copied only for dependencies that may occur in it.
+    ``deps`` has one row a project and dependency. Terms are names (word characters and
+    ``@ / . : + ~ -``); others find nothing. Calls on a Go package's name count only where a term
+    of the dependency occurs in the file. The written index holds pieces and counts, not texts.
     """
-    side = packed_deps(deps)
-    texts = source_files(files).filter(F.col("content").rlike(r"(?U)\S"))
-    held = F.octet_length(F.to_json(F.struct("repo", "dep", "terms")))
-    if (deps.agg(F.sum(held).alias("n")).first()["n"] or 0) <= broadcast_deps:
-        met = texts.join(F.broadcast(side), "repo")
-    else:
-        met = skewed_join(texts, side, "repo", F.col("path"), counted=source_files(files.select("repo", "path")))
-    language = F.col("language")
-    likely = F.explode(F.transform(
-        F.array(F.struct(F.lower("content").alias("lowered"), F.col("deps").alias("deps"))),
-        lambda x: F.filter(x["deps"], lambda d: may_occur(x["lowered"], d["terms"], language))))
-    return (met.select("repo", "path", "language", "content", likely.alias("d"))
-            .select("repo", "path", "language", "content", F.explode("d").alias("d"))
-            .select("repo", "path", "language", "content", "d.dep", "d.terms"))
-
-
-def usage_per_file(files: DataFrame, deps: DataFrame, unicode: bool = True,
-                   broadcast_deps: int = BROADCAST_BYTES) -> DataFrame:
-    """Counts per file and dependency, where any is above 0. The patterns run once a pair:
-    ``inline`` keeps the filter above them."""
-    found = usage_in_text(F.col("content"), F.col("terms"), F.col("language"), unicode)
-    counted = candidates(files, deps, broadcast_deps).select(
-        "repo", "path", "dep", F.inline(F.array(found)))
-    return counted.filter(F.col("imports") + F.col("aliases") + F.col("calls") > 0)
+    key = ["repo", "path", "dep"]
+    index = cut_lineage(token_index(readable(files), FAMILIES, unicode))
+    pairs = cut_lineage(matched(index, deps))
+    hits = cut_lineage(pattern_counts(pairs.filter("measure <> 'binds'"), unicode).filter("hits > 0").drop("piece"))
+    place = [*key, "term", "times", "measure", "pattern"]
+    grouped = hits.filter("way = 'group'").select(*place, "number").distinct().select(*key, "measure", F.col("times").alias("n"))
+    between = every_second(hits.filter("way = 'gaps'").select(*place, "number").distinct(), place).select(
+        *key, "measure", (F.col("hits") * F.col("times")).alias("n"))
+    aliased = calls_on_aliases(index, bound_names(pairs, unicode), unicode).select(*key, F.lit("calls").alias("measure"), "n")
+    go = F.col("language") == "go"
+    gate = term_hits(readable(files).filter(go), deps)
+    named = (F.col("family") == "go") & (F.col("measure") == "calls")
+    go_calls = plain_of(hits.filter(named)).join(gate, key, "left_semi")
+    plain = plain_of(hits.filter("way in ('each', 'once')").filter(~named))
+    every = plain.union(go_calls).union(grouped).union(between).union(aliased)
+    sums = [F.coalesce(F.sum(F.when(F.col("measure") == m, F.col("n"))), F.lit(0)).cast("int").alias(m) for m in COUNTS]
+    return every.groupBy(*key).agg(*sums).filter(F.col("imports") + F.col("aliases") + F.col("calls") > 0)
 
 
 def usage_scores(files: DataFrame, deps: DataFrame, manifest_names: DataFrame,
-                 unicode: bool = True) -> DataFrame:
+                 unicode: bool = True, listing: DataFrame | None = None) -> DataFrame:
     """One row per declared dependency: how it is declared and how it is used, in all files.
 
     Manifest bonus plus file scores; a dependency called more than 5 times and by tests
-    for more than 80% of that loses half. Unused dependencies keep a row.
+    for more than 80% of that loses half. Unused dependencies keep a row. ``listing`` has
+    ``repo, path`` of files that may not have been read: Spark's file sources pass over files of
+    zero bytes, but they count in ``file_count`` if the file tree (``project_row.listed_files``)
+    names them.
     """
     declared = with_bonus(match_declared(deps, manifest_names))
     path = F.col("path")
@@ -276,9 +400,11 @@ def usage_scores(files: DataFrame, deps: DataFrame, manifest_names: DataFrame,
         F.sum("score").alias("score"), F.sum("imports").alias("total_imports"),
         F.sum("calls").alias("total_calls"), F.sum("test_calls").alias("test_calls"))
     out = declared.join(rolled, ["repo", "dep"], "left")
-    scanned = source_files(files.select("repo", "path")).groupBy("repo").agg(
-        F.count(F.lit(1)).alias("file_count"))
-    out = out.join(scanned, "repo", "left").fillna(
+    known = files.select("repo", "path")
+    if listing is not None:
+        known = known.union(listing.select("repo", "path")).distinct()
+    scanned = source_files(known).groupBy("repo").agg(F.count(F.lit(1)).alias("file_count"))
+    out = skewed_join(out, scanned, "repo", F.col("dep"), "left", counted=deps).fillna(
         0, ["score", "total_imports", "total_calls", "test_calls", "file_count"])
     used = F.when(F.col("dev_only"), F.col("score") * fixed.DEV_FACTOR).otherwise(F.col("score"))
     tested = ((F.col("total_calls") > fixed.TEST_MIN_CALLS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, payloads
 from ..functions.text import decode_base64
 from ..operators import aggregates, features, joins, ranking
-from ..session import fresh_path
+from ..session import cut_lineage, fresh_path
 from ..sources import readers, writers
 from ..streaming import resume
 from .registry import query
@@ -49,6 +49,22 @@ def adjacency_explode(t: Tables) -> DataFrame:
     return readers.edges_of(readers.adjacency(lines))
 
 
+@query("giant_adjacency", """SELECT 'https://github.com/acme/p' || l_orderkey AS src,
+  'https://github.com/acme/' || d AS dst FROM (SELECT l_orderkey, unnest(['part-' || l_partkey, 'supp-' || l_suppkey]) AS d
+    FROM lineitem)""")
+def giant_adjacency(t: Tables) -> DataFrame:
+    """JSON objects over all orders, one entry after another without line ends."""
+    def url(prefix, column):
+        return F.concat(F.lit('"https://github.com/acme/' + prefix), F.col(column), F.lit('"'))
+
+    path = fresh_path(t.spark, "giant")
+    entries = t.lineitem.select(F.concat(
+        F.lit(", "), url("p", "l_orderkey"), F.lit(": ["), url("part-", "l_partkey"), F.lit(", "),
+        url("supp-", "l_suppkey"), F.lit("]")).alias("value"))
+    entries.write.option("lineSep", " ").text(path)
+    return readers.read_giant_edges(t.spark, path)
+
+
 @query("source_files", with_views("file_kinds", r"""SELECT repo, path, length(content) AS n
   FROM file_kinds WHERE language IS NOT NULL AND regexp_matches(content, '\S')"""))
 def source_files(t: Tables) -> DataFrame:
@@ -147,6 +163,26 @@ def feature_assembly(t: Tables) -> DataFrame:
     return joins.assemble(base, [(placed, ["n", "low"]), (docs, ["tag"])], "repo_url")
 
 
+ASSEMBLED_SQL = """SELECT c_custkey AS repo_url, c_mktsegment, n, low, tag
+  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, min(o_totalprice) AS low FROM orders
+    GROUP BY o_custkey) ON o_custkey = c_custkey
+  LEFT JOIN (SELECT doc_id, source AS tag FROM documents) ON doc_id = c_custkey"""
+
+
+@query("bucketed_assembly", ASSEMBLED_SQL)
+def bucketed_assembly(t: Tables) -> DataFrame:
+    """The same from tables that are bucketed alike: no exchange is left."""
+    def bucketed(df, name):
+        path = fresh_path(t.spark, name)
+        return writers.write_bucketed(df, path.rsplit("/", 1)[-1].replace("-", "_"), "repo_url", 8, path)
+
+    base = bucketed(t.customer.select(F.col("c_custkey").alias("repo_url"), "c_mktsegment"), "base")
+    placed = bucketed(t.orders.groupBy(F.col("o_custkey").alias("repo_url")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low")), "placed")
+    docs = bucketed(t.documents.select(F.col("doc_id").alias("repo_url"), F.col("source").alias("tag")), "docs")
+    return joins.assemble(base, [(placed, ["n", "low"]), (docs, ["tag"])], "repo_url")
+
+
 @query("anchor_join", with_views("projects anchors", """SELECT p.id, a.target,
   p.repo_url = a.url AS exact FROM projects p JOIN (
     SELECT target, 'https://github.com/' || c_mktsegment || '/' || CASE WHEN id % 7 = 0
@@ -424,6 +460,36 @@ def coverage_audit(t: Tables) -> DataFrame:
     return resume.coverage_audit(t.customer.select(F.col("c_custkey").alias("repo")), done, ["repo"])
 
 
+@query("stream_upsert", """SELECT user_id, event_id, value FROM events WHERE event_id % 2 = 1
+  UNION ALL SELECT user_id, event_id, value FROM events WHERE event_id % 2 = 0
+    AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 1)""")
+def stream_upsert(t: Tables) -> DataFrame:
+    """Events land in two batches; the second replaces all rows of the users it has."""
+    source, out = fresh_path(t.spark, "landing"), fresh_path(t.spark, "upsert")
+    rows = t.events.select("user_id", "event_id", "value")
+    for batch in (0, 1):
+        rows.filter(F.col("event_id") % 2 == batch).write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(rows.schema).parquet(source)
+        resume.upsert_batches(stream, lambda df: df, out + "/rows", out + "/state", "user_id", buckets=16)
+    return t.spark.read.parquet(out + "/rows").drop("_bucket")
+
+
+@query("sketched_quantiles", """SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, true AS within
+  FROM lineitem GROUP BY l_returnflag""")
+def sketched_quantiles(t: Tables) -> DataFrame:
+    """Quantiles from sketches of seven batches, held against the exact ranks of their values."""
+    parts = aggregates.sketches(t.lineitem.withColumn("batch", F.col("l_orderkey") % 7), "l_extendedprice", ["l_returnflag", "batch"])
+    merged = cut_lineage(aggregates.merged_sketches(cut_lineage(parts), ["l_returnflag"]))
+    shares = {"p10": 0.1, "p50": 0.5, "p95": 0.95}
+    found = merged.select("l_returnflag", *[c.alias(n) for n, c in aggregates.sketched_quantiles(merged, shares).items()])
+    met = t.lineitem.join(F.broadcast(found), "l_returnflag")  # a row a flag
+    ranks = met.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.any_value("mean").alias("mean"),
+        *[F.avg((F.col("l_extendedprice") <= F.col(n)).cast("int")).alias(f"r_{n}") for n in shares])
+    near = [F.abs(F.col(f"r_{n}") - q) <= aggregates.RANK_ERROR + 1 / F.col("n") for n, q in shares.items()]
+    return ranks.select("l_returnflag", "n", F.round("mean", 4).alias("mean"), (near[0] & near[1] & near[2]).alias("within"))
+
+
 @query("stream_resume", """SELECT user_id, count(*) AS n, CAST(round(sum(value * 100)) AS BIGINT) AS cents
   FROM events GROUP BY user_id""")
 def stream_resume(t: Tables) -> DataFrame:

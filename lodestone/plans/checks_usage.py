@@ -123,13 +123,7 @@ def usage_counts(t: Tables) -> DataFrame:
 
 @query("alias_calls", with_views("alias_counts", "SELECT repo, path, dep, n FROM alias_counts"))
 def alias_calls(t: Tables) -> DataFrame:
-    each = usage.candidates(t.code, t.deps).filter(F.col("language").isin(usage.UNGATED))
-    terms, content = F.col("terms"), F.col("content")
-    bound = F.when(F.col("language") == "python", usage.aliases_of(content, terms, "python")) \
-        .otherwise(usage.aliases_of(content, terms, "javascript"))
-    found = each.select("repo", "path", "dep", "content", bound.alias("a")).filter(F.size("a") > 0)
-    return found.select("repo", "path", "dep", usage.alias_calls(content, F.col("a"))
-                        .cast("bigint").alias("n"))
+    return usage.alias_use(t.code, t.deps)
 
 
 @query("file_score", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(

@@ -29,7 +29,7 @@ def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def load() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:
     """Import every module of queries."""
     from . import (  # noqa: F401
-        checks_features, checks_manifests, checks_relational, checks_scoring, checks_text,
+        checks_features, checks_manifests, checks_relational, checks_rows, checks_scoring, checks_text,
         checks_usage,
     )
     return CATALOGUE

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -28,26 +27,42 @@ def build_session(app: str = "lodestone", cores: str = "*", shuffle_partitions:
     )
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    On a cluster it must be set. A local session (tests) that names none gets a temporary
-    folder, which goes when the process ends.
+    On a cluster it must be set; a session without it fails here, before any work. A session in
+    one local process that names none gets a folder of its own, which goes when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lodestone-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, _OWN_FOLDERS[app], ignore_errors=True)
+    return _OWN_FOLDERS[app]
+
+
+def stage_root(spark: SparkSession) -> str:
+    """Where this application writes its stages."""
+    return "/".join([shared_folder(spark).rstrip("/"), "lodestone", spark.sparkContext.applicationId])
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return os.path.join(shared_folder(spark), "lodestone", f"{label}-{uuid.uuid4().hex}")
+    return f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_stages(spark: SparkSession) -> bool:
+    """Removes the stages that this application wrote: for the end of a job, when no result that
+    reads them is wanted any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

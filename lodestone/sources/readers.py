@@ -56,7 +56,7 @@ def optional(read, spark: SparkSession, schema: str | StructType) -> DataFrame:
 def adjacency(values: DataFrame, column: str = "value") -> DataFrame:
     """JSON objects ``{url: [url, ...]}`` as ``src, targets``, one row per key.
 
-    Lines of JSON split across tasks; one giant object does not, so land it as lines.
+    Lines of JSON split across tasks; for one giant object see ``read_giant_edges``.
     """
     parsed = F.from_json(column, "map<string, array<string>>")
     return values.select(F.explode(parsed).alias("src", "targets"))
@@ -71,6 +71,24 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return edges_of(adjacency(spark.read.text(path)))
 
 
+def read_giant_edges(spark: SparkSession, path: str) -> DataFrame:
+    """Edge table of files that each hold one JSON object ``{url: [url, ...], ...}`` of any size.
+
+    The object is cut where a list ends, which no name contains, so one file is read by as many
+    tasks as its size asks for. A piece that is no entry fails the run.
+    """
+    lists = spark.read.option("lineSep", "]").text(path)
+    entry = F.regexp_extract("value", r'(?s)^[\s{,]*("(?:[^"\\]|\\.)*")\s*:\s*\[(.*)\z', 1)
+    rest = F.regexp_extract("value", r'(?s)^[\s{,]*"(?:[^"\\]|\\.)*"\s*:\s*\[(.*)\z', 1)
+    key = F.from_json(F.concat(F.lit("["), entry, F.lit("]")), "array<string>")[0]
+    targets = F.from_json(F.concat(F.lit("["), rest, F.lit("]")), "array<string>")
+    broken = F.raise_error(F.concat(F.lit("no entry of an adjacency object: "), F.left("value", F.lit(80))))
+    bare = F.col("value").rlike(r"^[\s{}]*$")  # what is around the entries
+    bad = ~bare & ((entry == "") | targets.isNull())
+    whole = F.when(bad, broken.cast("array<string>")).otherwise(targets)
+    return edges_of(lists.select(key.alias("src"), whole.alias("targets")))
+
+
 def decode_text(content: Column) -> Column:
     """Bytes to text; what is no UTF-8 is dropped."""
     clean = F.make_valid_utf8(content.cast("string"))

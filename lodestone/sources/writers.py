@@ -22,6 +22,15 @@ def write_scores(scored: DataFrame, report_path: str, submission_path: str) -> N
     write_csv(submission(report), submission_path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """Write ``df`` as a table of ``buckets`` files by the key's hash, each in order of the key,
+    and read it again. Tables of one number of buckets join and group by the key without an
+    exchange. ``path``: where the files go, else to the warehouse."""
+    out = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (out.option("path", path) if path else out).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_json(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """One JSON object per row."""
     df.write.mode("overwrite").partitionBy(*partition_by).json(path)

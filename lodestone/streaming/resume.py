@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import append_results, done_minus_failed, remaining
+from ..session import cut_lineage
+from ..sources.readers import optional
 
 EMPTY_MEASURES = {"weighted_score": 0.0, "manifest_match": False, "source_match": False,
                   "total_imports": 0, "total_calls": 0}
@@ -42,6 +44,38 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out:
     def store(batch: DataFrame, batch_id: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
+    return each_batch(stream, store, checkpoint)
+
+
+def upsert(rows: DataFrame, out: str, key: str, buckets: int = 64) -> None:
+    """Replace in the table at ``out`` all rows of the keys that ``rows`` has, and add the others.
+
+    The table lies in ``buckets`` folders by the key's hash, and only folders that ``rows``
+    touches are read and written anew, each replaced as a whole. Doing it again with the same rows
+    changes nothing, so an interrupted run is simply repeated. The number of buckets is fixed by
+    the first run; null keys are a key. Columns keep their order, new ones are not added.
+    """
+    spark = rows.sparkSession
+    fresh = cut_lineage(rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # no more than buckets
+    if not touched:
+        return
+    held = optional(lambda: spark.read.schema(fresh.schema).parquet(out), spark, fresh.schema)
+    names = fresh.select(F.col(key).alias("_key")).distinct()
+    old = held.filter(F.col("_bucket").isin(touched)).select(*fresh.columns)
+    kept = old.join(names, old[key].eqNullSafe(names["_key"]), "left_anti")
+    (fresh.union(kept).repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("_bucket").parquet(out))
+
+
+def upsert_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+                   key: str, buckets: int = 64) -> int:
+    """Run ``work`` on every micro-batch not processed yet, upsert its rows by ``key``, and stop.
+    ``out`` then has for each key the rows of the newest batch that had it, and needs no view."""
+    return each_batch(stream, lambda batch, _: upsert(work(batch), out, key, buckets), checkpoint)
+
+
+def each_batch(stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str) -> int:
     query = (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     try:
