@@ -5,17 +5,20 @@ the piece tokenizer's immutable proto. They say nothing inside a character that
 share (offsets repeat the whole character, spans of byte fallback are empty until its last byte),
 so there the decoded bytes of the tokens give the cuts, starting from the last coarse one.
 
-Neither tokenizer merges across certain boundaries: those of its own pre-tokenizer for the
-byte-level one, the start of a run of spaces for the piece one, no piece of which holds a space
-after another character. So each different word between such boundaries is cut once and kept in
-a table of bounded size, and texts are put together from its rows. A text with a character for
-which that is not certain, or with a word that does not give back its own bytes, is encoded whole.
+Neither tokenizer merges across the start of a run of white space, or from a letter to a mark: the
+byte-level one cuts there itself, and no piece of the other holds such a place (which is looked
+at). So each different word is cut and aligned once and kept in a table of bounded size, and texts
+are put together from its rows. A text with a character for which that is not certain,
+or with a word that does not give back its own bytes, is cut whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,17 @@ from ..session import cut_lineage
 from .common import chunks_of, text_beside
 
 MOST_WORDS = 1 << 18
+LOT_TEXTS = 4096
+LOT_CHARACTERS = 1 << 20
 LONG_WORD = 64
 HOT_PAIRS = 1 << 17
 SPACE = "▁"
 
 #: Characters of old standing in Unicode, of which all pattern engines think alike.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]*")
-CHUNK = re.compile(r" +[^ ]*|[^ ]+")
+PLAIN = re.compile(r"[\t\n\x20-\x7e\xa0-ɏ‐-‧€]*")
+WHITE = "\t\n\xa0 "  # white space among them
+LETTER, MARK = "A-Za-zÀ-ÖØ-öø-ɏ", ",.;:!?"
+WORD = re.compile(rf"(?:\s+|[{MARK}])(?:[^\s{MARK}]+|(?<![{LETTER}])[{MARK}])*")
 
 
 def byte_places(text: str) -> np.ndarray:
@@ -52,12 +59,16 @@ def refine(coarse: np.ndarray, sure: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return np.where(sure, coarse, counted + drift)
 
 
+def flat(lists: list, width: int = 1) -> np.ndarray:
+    """Whole numbers of many lists (of tuples of ``width``) in one array."""
+    values = np.fromiter(chain.from_iterable(chain.from_iterable(lists) if width > 1 else lists), np.int64)
+    return values.reshape(-1, width) if width > 1 else values
+
+
 class ByteLevel:
     """A byte-level tokenizer of the ``tokenizers`` library. Special tokens' strings are text."""
 
     def __init__(self, path: str):
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -65,21 +76,22 @@ class ByteLevel:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        size = self.model.get_vocab_size()
-        names = (self.model.id_to_token(i) or "" for i in range(size))
+        names = (self.model.id_to_token(i) or "" for i in range(self.model.get_vocab_size()))
         self.bytes = [bytes(byte[c] for c in n) if all(c in byte for c in n) else n.encode() for n in names]
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
-        self.words = regex.compile(PATTERN).findall
 
-    def cut(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, byte ends) of each text."""
-        for text, found in zip(texts, self.model.encode_batch(texts, add_special_tokens=False)):
-            ids = np.array(found.ids, np.int64)
-            spans = np.array(found.offsets, np.int64).reshape(-1, 2)
-            ends = byte_places(text)[spans[:, 1]]
-            # a token's end is its own where the next one begins there, not inside its last character
-            sure = np.r_[spans[1:, 0] >= spans[:-1, 1], [True] * (len(ids) > 0)]
-            yield ids, refine(ends, sure, self.sizes[ids])
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes in bytes, tokens of each text) of all texts, one after another."""
+        found = self.model.encode_batch(texts, add_special_tokens=False)
+        ids = flat([x.ids for x in found])
+        counts = np.array([len(x) for x in found], np.int64)
+        spans = flat([x.offsets for x in found], 2)
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        spans += np.repeat(np.cumsum(length) - length, counts)[:, None]
+        ends = byte_places("".join(texts))[spans[:, 1]]
+        # a token's end is its own where the next one begins there, not inside its last character
+        sure = np.r_[spans[1:, 0] >= spans[:-1, 1], [True] * (len(ids) > 0)]
+        return ids, np.diff(refine(ends, sure, self.sizes[ids]), prepend=0), counts
 
 
 class Pieces:
@@ -89,83 +101,31 @@ class Pieces:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = self.model.get_piece_size()
-        names = [self.model.id_to_piece(i) for i in range(size)]
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(SPACE, " ").encode()
                       for i, n in enumerate(names)]
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         self.space = self.model.piece_to_id(SPACE)
-        self.words = CHUNK.findall
-        # words are cut apart only if no piece goes on with a space after another character
-        self.by_word = not any(SPACE in n.lstrip(SPACE) for n in names)
-
-    def cut(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, byte ends) of each text, all of which begin with the space that is put there."""
-        for text in texts:
-            if text == " ":  # the library gives nothing for an empty text
-                yield np.array([self.space]), np.array([1])
-                continue
-            found = self.model.encode(text[1:], return_type="proto").pieces
-            ids = np.array([p.id for p in found], np.int64)
-            ends = np.array([p.end for p in found], np.int64) + 1  # spans are in bytes, less the space
-            begins = np.array([p.begin for p in found], np.int64) + 1
-            sure = (ends > begins) | (self.sizes[ids] == 0)  # the space alone, and fallback bytes but the last, are empty
-            yield ids, refine(ends, sure, self.sizes[ids])
-
-
-class Words:
-    """Table of the different words of one tokenizer: ids and sizes, laid end to end."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.count, self.sound = np.zeros(0, np.int64), np.zeros(0, bool)
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.place]
-        if not new:
-            return
-        ids, sizes, sound = [], [], []
-        for word, (own, ends) in zip(new, self.tokenizer.cut(new)):
-            ids.append(own)
-            sizes.append(np.diff(ends, prepend=0))
-            sound.append(is_whole(word, own, ends, self.tokenizer))
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.ids, self.sizes = np.concatenate([self.ids, *ids]), np.concatenate([self.sizes, *sizes])
-        self.count, self.sound = np.r_[self.count, [len(x) for x in ids]], np.r_[self.sound, sound]
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """(ids, byte ends) of each text; None where the tokens do not give back its bytes."""
-        if len(self.place) > MOST_WORDS:
-            self.clear()
-        out: list = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if PLAIN.fullmatch(t)]
-        apart = [self.tokenizer.words(texts[i]) for i in plain]
-        unsure = set(range(len(texts))) - set(plain)
-        self.learn({w for words in apart for w in words if len(w) <= LONG_WORD})
-        starts = np.cumsum(self.count) - self.count
-        for i, words in zip(plain, apart):
-            at = np.fromiter(map(self.place.get, words, [-1] * len(words)), np.int64, len(words))
-            if (at < 0).any() or not self.sound[at].all():
-                unsure.add(i)
-                continue
-            n = self.count[at]
-            pick = np.arange(n.sum()) + np.repeat(starts[at] - np.cumsum(n) + n, n)
-            out[i] = self.ids[pick], np.cumsum(self.sizes[pick])
-        rest = sorted(unsure)
-        for i, (ids, ends) in zip(rest, self.tokenizer.cut([texts[i] for i in rest])):
-            out[i] = (ids, ends) if is_whole(texts[i], ids, ends, self.tokenizer) else None
-        return out
-
-
-def is_whole(text: str, ids: np.ndarray, ends: np.ndarray, tokenizer) -> bool:
-    """Do the tokens' bytes give back the text, cut where their ends say?"""
-    joined = b"".join(map(tokenizer.bytes.__getitem__, ids.tolist()))
-    return joined == text.encode() and np.array_equal(ends, np.cumsum(tokenizer.sizes[ids]))
+        # words are cut apart only if no piece goes over the places where they are
+        over = re.compile(f"[^{SPACE}].*[{WHITE}{SPACE}]|{SPACE}[{WHITE}]|[{LETTER}][{MARK}]", re.S)
+        self.by_word = not any(map(over.search, names)) and self.model.encode("a") == [self.model.piece_to_id(SPACE + "a")]
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes in bytes, tokens of each text) of all texts, one after another. The space
+        that the library puts first is a text's own if it begins with one; others are cut behind
+        a letter, whose token goes."""
+        own = [t[:1] == " " for t in texts]
+        found = self.model.encode([t[1:] if o else "a" + t for t, o in zip(texts, own)], return_type="proto", num_threads=1) if texts else []
+        # the library gives nothing for an empty text
+        rows = [[(p.id, p.begin, p.end) for p in x.pieces][not o:] if t != " " else [(self.space, 0, 0)]
+                for t, x, o in zip(texts, found, own)]
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        ids, begins, ends = flat(rows, 3).T
+        length = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
+        # spans are in bytes of what was cut: less the space, or with the letter
+        base = np.repeat(np.cumsum(length) - length + np.where(own, 1, -1), counts)
+        sure = ends > begins  # the space alone, and fallback bytes but the last, are empty
+        return ids, np.diff(refine(base + ends, sure, self.sizes[ids]), prepend=0), counts
 
 
 class Lines:
@@ -175,39 +135,155 @@ class Lines:
         digits = [str(i) for i in range(size)]
         self.to = [np.array([d + c for d in digits], object) for c in ",|;"]
 
-    def write(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
-        """``last_a``, ``last_b``: places of each group's last tokens."""
+    def pieces(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
+        """One piece of text for each token, groups in order, in each its tokens of a before those
+        of b. ``last_a``, ``last_b``: is a token the last of its group?"""
         out = np.empty(len(a) + len(b), object)
-        own_a = np.searchsorted(last_a, np.arange(len(a)))  # group of each token
-        own_b = np.searchsorted(last_b, np.arange(len(b)))
+        ends_a, ends_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         text_a, text_b = self.to[0][a], self.to[0][b]
-        text_a[last_a], text_b[last_b] = self.to[1][a[last_a]], self.to[2][b[last_b]]
-        out[np.arange(len(a)) + np.r_[0, last_b + 1][own_a]] = text_a
-        out[np.arange(len(b)) + (last_a + 1)[own_b]] = text_b
-        return "".join(out.tolist())[:-1]
+        text_a[ends_a], text_b[ends_b] = self.to[1][a[ends_a]], self.to[2][b[ends_b]]
+        out[np.arange(len(a)) + np.r_[0, ends_b + 1][group_a]] = text_a
+        out[np.arange(len(b)) + (ends_a + 1)[group_b]] = text_b
+        return out.tolist()
+
+
+def ragged(count: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the entries of rows ``at``, where rows of ``count`` entries lie end to end."""
+    n = count[at]
+    starts = np.cumsum(count, dtype=np.int64) - count
+    return np.arange(n.sum()) + np.repeat(starts[at] - np.cumsum(n, dtype=np.int64) + n, n)
+
+
+@dataclass
+class Aligned:
+    """Texts in rows: tokens of each, their bytes, and their groups (byte at which a group ends
+    and id pair of its last tokens, end to end), also written as a line. ``sound``: do both
+    tokenizers give back the text's bytes?"""
 
+    n_a: np.ndarray
+    n_b: np.ndarray
+    size: np.ndarray
+    groups: np.ndarray
+    sound: np.ndarray
+    cuts: np.ndarray
+    pairs: np.ndarray
+    lines: list[str]
 
-_KEPT: dict[tuple[str, str], tuple[Words, Words, Lines]] = {}
+    def add(self, more: Aligned) -> Aligned:
+        return Aligned(*(np.concatenate([x, y]) if isinstance(x, np.ndarray) else x + y
+                         for x, y in zip(vars(self).values(), vars(more).values())))
 
 
-def tables(path_a: str, path_b: str) -> tuple[Words, Words, Lines]:
+NOTHING = Aligned(*[np.zeros(0, np.int32)] * 4, np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0, np.int64), [])
+
+
+class Aligner:
+    """Aligns two tokenizers. A table of different words takes those of up to 64 characters until
+    it is full; others are aligned anew with every lot of texts. If most of a lot is not in a full
+    table, it starts again."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.a, self.b = a, b
+        self.wide = len(b.bytes)
+        self.write = Lines(max(len(a.bytes), len(b.bytes)))
+        self.place: dict[str, int] = {}
+        self.table = NOTHING
+
+    def sound(self, tokenizer, texts: list[str], cut: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Do the tokens of each text give back its bytes, cut where their sizes say?"""
+        ids, sizes, count = cut
+        bytes_of = tokenizer.bytes.__getitem__
+        if np.array_equal(sizes, tokenizer.sizes[ids]) and np.array_equal(
+                np.add.reduceat(np.r_[sizes, 0], np.cumsum(count) - count) * (count > 0), [len(t.encode()) for t in texts]):
+            if b"".join(map(bytes_of, ids.tolist())) == "".join(texts).encode():
+                return np.ones(len(texts), bool)
+        ends = np.cumsum(count)
+        return np.array([b"".join(map(bytes_of, ids[i:j].tolist())) == t.encode() and np.array_equal(sizes[i:j], tokenizer.sizes[ids[i:j]])
+                         for t, i, j in zip(texts, ends - count, ends)], bool)
+
+    def align(self, texts: list[str]) -> Aligned:
+        """Of texts that begin with white space or a mark, each by itself, some thousand at a time."""
+        lots = [self.align_lot(texts[i:i + LOT_TEXTS]) for i in range(0, len(texts), LOT_TEXTS)]
+        return reduce(Aligned.add, lots, NOTHING)
+
+    def align_lot(self, texts: list[str]) -> Aligned:
+        """Those that are not sound have no tokens."""
+        (a, a_size, n_a), (b, b_size, n_b) = cuts = self.a.cut(texts), self.b.cut(texts)
+        ok = self.sound(self.a, texts, cuts[0]) & self.sound(self.b, texts, cuts[1])
+        keep_a, keep_b, n_a, n_b = np.repeat(ok, n_a), np.repeat(ok, n_b), np.where(ok, n_a, 0), np.where(ok, n_b, 0)
+        a, b, a_ends, b_ends = a[keep_a], b[keep_b], np.cumsum(a_size[keep_a]), np.cumsum(b_size[keep_b])
+        # the bytes of the texts are laid end to end, the same for both, so all are compared at once
+        at = np.searchsorted(b_ends, a_ends)
+        last_a, last_b = b_ends[at] == a_ends, np.zeros(len(b), bool)
+        last_b[at[last_a]] = True
+        size = np.array([len(t.encode()) for t in texts], np.int64) * ok
+        owner = np.repeat(np.arange(len(texts)), n_a)[last_a]
+        written = self.write.pieces(a, b, last_a, last_b)
+        ends = np.cumsum(n_a + n_b).tolist()
+        narrow = [x.astype(np.int32) for x in (n_a, n_b, size, np.bincount(owner, minlength=len(texts)))]
+        return Aligned(*narrow, ok, (a_ends[last_a] - (np.cumsum(size) - size)[owner]).astype(np.int32),
+                       a[last_a] * self.wide + b[last_b], ["".join(written[i:j])[:-1] for i, j in zip([0, *ends], ends)])
+
+    def look_up(self, words: list[list[str]]) -> tuple[Aligned, np.ndarray, np.ndarray]:
+        """(table, its row for every word, words of each text)."""
+        each = np.fromiter(map(len, words), np.int64, len(words))
+        every = list(chain.from_iterable(words))
+        at = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return self.table, at, each
+        if len(self.place) >= MOST_WORDS and 2 * len(missing) > len(every):
+            self.place, self.table = {}, NOTHING
+            return self.look_up(words)
+        lost = [every[i] for i in missing.tolist()]
+        new = dict.fromkeys(lost)
+        brief = [w for w in new if len(w) <= LONG_WORD][:max(0, MOST_WORDS - len(self.place))]
+        if brief:
+            self.place.update(zip(brief, range(len(self.place), len(self.place) + len(brief))))
+            self.table = self.table.add(self.align(brief))
+        others = [w for w in new if w not in self.place]
+        extra = dict(zip(others, range(len(self.place), len(self.place) + len(others))))
+        at[missing] = [extra[w] if w in extra else self.place[w] for w in lost]
+        return self.table.add(self.align(others)) if others else self.table, at, each
+
+    def texts(self, texts: list[str]) -> Aligned:
+        """Of any texts: those that are empty or not sound have no tokens."""
+        some = [" " + t if t else "" for t in texts]
+        words = [[] if not t else WORD.findall(t) if self.b.by_word and PLAIN.fullmatch(t) else [t] for t in some]
+        table, at, each = self.look_up(words)
+        owner = np.repeat(np.arange(len(texts)), each)
+        broken = np.unique(owner[~table.sound[at]])
+        if any(len(words[i]) > 1 for i in broken):  # a word that is not sound by itself may be in its place
+            for i in broken:
+                words[i] = [some[i]]
+            table, at, each = self.look_up(words)
+            owner = np.repeat(np.arange(len(texts)), each)
+
+        def total(values):
+            return np.bincount(owner, values[at], len(texts)).astype(np.int64)
+
+        size, rows = table.size[at].astype(np.int64), at.tolist()
+        base = np.cumsum(size) - size
+        first = np.r_[base, 0][np.minimum(np.cumsum(each) - each, len(base))]
+        pick = ragged(table.groups, at)
+        start = np.repeat(base - first[owner], table.groups[at])
+        ends = np.cumsum(each).tolist()
+        lines = [";".join(map(table.lines.__getitem__, rows[i:j])) for i, j in zip([0, *ends], ends)]
+        return Aligned(total(table.n_a), total(table.n_b), total(table.size), total(table.groups), total(table.sound) > 0,
+                       start + table.cuts[pick], table.pairs[pick], lines)
+
+
+_KEPT: dict[tuple[str, str], Aligner] = {}
+
+
+def aligner(path_a: str, path_b: str) -> Aligner:
     """Kept per worker."""
     if (path_a, path_b) not in _KEPT:
-        a, b = Words(ByteLevel(path_a)), Words(Pieces(path_b))
-        if not b.tokenizer.by_word:
-            b.tokenizer.words = lambda text: [text]
-        _KEPT[path_a, path_b] = a, b, Lines(max(len(a.tokenizer.bytes), len(b.tokenizer.bytes)))
+        _KEPT[path_a, path_b] = Aligner(ByteLevel(path_a), Pieces(path_b))
     return _KEPT[path_a, path_b]
 
 
-def tokens(texts: Sequence[str], words: tuple[Words, Words]) -> Iterator[tuple[np.ndarray, ...] | None]:
-    """Per text: a's ids and byte ends and b's, over a space and the text; None if either
-    tokenizer does not give back those bytes, or the text is empty."""
-    spaced = [" " + t for t in texts]
-    for text, a, b in zip(texts, *(w.encode(spaced) for w in words)):
-        yield (*a, *b) if text and a is not None and b is not None else None
-
-
 def align(docs: DataFrame, text: str, path_a: str, path_b: str, keep: Sequence[str] = ()) -> DataFrame:
     """The columns ``keep`` of every row, and how the tokens of tokenizer a (``path_a``, byte-level,
     library ``tokenizers``) and b (``path_b``, ``sentencepiece`` with byte fallback) lie over a
@@ -219,42 +295,34 @@ def align(docs: DataFrame, text: str, path_a: str, path_b: str, keep: Sequence[s
     No token is without bytes, so a group has one link, between its last tokens.
 
     Texts that are null or empty, or that either tokenizer does not give back byte for byte, have
-    no tokens: zeros and empty values. Kept columns may have any names but those above. A text is
-    held whole, beside others of about two million characters.
+    no tokens: zeros and empty values. Repeated rows give equal results, an empty table none. Kept
+    columns may have any names but those above. A text is held whole, beside others of about a
+    million characters.
     """
     made = T._parse_datatype_string(
         "n_a long, n_b long, n_groups long, n_links long, cuts array<long>, groups string, "
         "links array<struct<a:int,b:int,n:int>>")
     source, place = text_beside(docs, text, keep)
-    kept = [f for f in docs.select(*keep).schema.fields] if keep else []
+    kept = docs.select(*keep).schema.fields if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_words, b_words, lines = tables(path_a, path_b)
+        both = aligner(path_a, path_b)
+        pairs = len(both.a.bytes) * both.wide
         for batch in batches:
-            for first, texts in chunks_of(batch.column(place)):
-                counts, cuts, groups, links = [], [], [], []
-                for found in tokens(texts, (a_words, b_words)):
-                    if found is None:
-                        counts.append((0, 0, 0, 0))
-                        cuts.append(np.zeros(0, np.int64))
-                        groups.append("")
-                        links.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                        continue
-                    a, a_ends, b, b_ends = found
-                    common, last_a, last_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-                    counts.append((len(a), len(b), len(common), len(common)))
-                    cuts.append(common)
-                    groups.append(lines.write(a, b, last_a, last_b))
-                    links.append(np.unique(a[last_a] << 32 | b[last_b], return_counts=True))
-                pair, n = (np.concatenate([x[i] for x in links]) for i in (0, 1))
+            for first, texts in chunks_of(batch.column(place), LOT_CHARACTERS):
+                x = both.texts(texts)
+                owner = np.repeat(np.arange(len(texts)), x.groups)
+                key, n = np.unique(owner * pairs + x.pairs, return_counts=True)
+                pair = key % pairs
                 listed = pa.StructArray.from_arrays(
-                    [pa.array(x.astype(np.int32)) for x in (pair >> 32, pair & 0xFFFFFFFF, n)], names=["a", "b", "n"])
-                offsets = [pa.array(np.cumsum([0, *map(len, x)]), pa.int32()) for x in (cuts, [x[0] for x in links])]
+                    [pa.array(v.astype(np.int32)) for v in (pair // both.wide, pair % both.wide, n)], names=["a", "b", "n"])
+                cut_at, link_at = (pa.array(np.r_[0, np.cumsum(v)].astype(np.int32)) for v in (
+                    x.groups, np.bincount(key // pairs, minlength=len(texts))))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(i).slice(first, len(texts)) for i in range(len(kept))],
-                     *[pa.array(x, pa.int64()) for x in zip(*counts)],
-                     pa.ListArray.from_arrays(offsets[0], pa.array(np.concatenate(cuts))),
-                     pa.array(groups, pa.string()), pa.ListArray.from_arrays(offsets[1], listed)],
+                     *[pa.array(v, pa.int64()) for v in (x.n_a, x.n_b, x.groups, x.groups)],
+                     pa.ListArray.from_arrays(cut_at, pa.array(x.cuts)), pa.array(x.lines, pa.string()),
+                     pa.ListArray.from_arrays(link_at, listed)],
                     names=[*[f.name for f in kept], *made.names])
 
     return source.mapInArrow(run, T.StructType([*kept, *made.fields]))

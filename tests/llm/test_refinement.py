@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import alignment, exact_dedup, multi_index, queries
+from lodestone.operators import prefilter
 
 FOLDER = "/root/testdata/sf0.001"
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -54,12 +55,9 @@ def test_exact_duplicates_odd_rows(spark):
 def test_only_suspects_are_hashed_whole(spark):
     """A slot is set for each shared (length, prefix), and for few others."""
     frame = spark.range(20_000).selectExpr("id as _size", "id * 7 as _head")
-    pages = exact_dedup.bitmap(frame.filter("_size % 10 = 0"), 1 << 17)
-    bits = 1 << 17
-    met = frame.withColumn("_page", F.floor(exact_dedup.slot(bits) / exact_dedup.PAGE)).join(pages, "_page", "left")
-    found = met.select("_size", exact_dedup.is_set(bits).alias("set")).collect()
-    assert all(r.set for r in found if r._size % 10 == 0)
-    assert sum(r.set for r in found) < 2_000 + 18_000 * 0.03
+    found = prefilter.may_match(frame, frame.filter("_size % 10 = 0"), "_size", "_head").collect()
+    assert all(r._may for r in found if r._size % 10 == 0)
+    assert sum(r._may for r in found) < 2_000 + 18_000 * 0.08
     plan = exact_dedup.exact_duplicates(
         spark.read.parquet(f"{FOLDER}/documents.parquet"), "doc_id", "text")._jdf.queryExecution().toString()
     assert not any("text" in line for line in plan.splitlines() if "Exchange" in line)
@@ -207,8 +205,9 @@ def test_cuts_need_decoded_bytes():
     a, b = alignment.ByteLevel(A), alignment.Pieces(B)
     for text in (" 🎉 𓀀", " 日本", " é́", " \U0001f9ff\U0001faf6"):
         for tokenizer in (a, b):
-            (ids, ends), = tokenizer.cut([text])
-            assert ends.tolist() == np.cumsum(tokenizer.sizes[ids]).tolist() and ends[-1] == len(text.encode())
+            ids, sizes, count = tokenizer.cut([text, " x", text])
+            assert sizes.tolist() == tokenizer.sizes[ids].tolist() and sizes.sum() == 2 * len(text.encode()) + 2
+            assert count[0] == count[2] and count.sum() == len(ids)
     spans = a.model.encode(" 𓀀", add_special_tokens=False).offsets
     assert len(set(spans)) < len(spans)
 
@@ -223,9 +222,10 @@ def test_alignment_odd_rows(spark):
 
 def test_word_table_is_bounded(monkeypatch):
     monkeypatch.setattr(alignment, "MOST_WORDS", 50)
-    words = alignment.Words(alignment.ByteLevel(A))
-    for i in range(5):
-        texts = [" " + " ".join(f"w{i}{j}x" for j in range(40))]
-        (ids, ends), = words.encode(texts)
-        assert ids.tolist() == words.tokenizer.model.encode(texts[0], add_special_tokens=False).ids and ends[-1] == len(texts[0])
-        assert len(words.place) < 300
+    both = alignment.Aligner(alignment.ByteLevel(A), alignment.Pieces(B))
+    for i in range(8):
+        texts = [" ".join(f"w{i}{j}x" for j in range(15 + 5 * (i % 3))), "日本", " z" * 70, "y" * 300, "", "a\n\n b\n  c"]
+        x = both.texts(texts)
+        assert x.n_a.tolist() == [len(both.a.model.encode(" " + t, add_special_tokens=False).ids) if t else 0 for t in texts]
+        assert x.n_b.tolist() == [len(both.b.model.encode(t)) for t in texts]
+        assert x.size.tolist() == [len(t.encode()) + 1 if t else 0 for t in texts] and len(both.place) <= 50
