@@ -16,12 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import skewed_join
+from ..operators.prefilter import may_match
 from ..session import cut_lineage
 
 PREFIX = 64
-PAGE = 1 << 15  # bits of one bitmap
-MOST_BITS = 1 << 28  # 32 MB
-BITS_PER_GROUP = 16
 
 
 def normalised(text: Column) -> Column:
@@ -41,23 +39,6 @@ def stamped(docs: DataFrame, text: str, prefix: int) -> DataFrame:
         "_head": F.xxhash64(normalised(F.substring(text, 1, prefix)))})
 
 
-def slot(bits: int) -> Column:
-    return F.pmod(F.xxhash64("_size", "_head"), F.lit(bits))
-
-
-def bitmap(groups: DataFrame, bits: int) -> DataFrame:
-    """``_page, _bits``: the slots of all rows of ``groups``, at most ``bits / PAGE`` rows."""
-    return groups.groupBy(F.floor(slot(bits) / PAGE).alias("_page")).agg(
-        F.bitmap_construct_agg(slot(bits) % PAGE).alias("_bits"))
-
-
-def is_set(bits: int) -> Column:
-    """Is this row's slot set in its page ``_bits``? Null pages are empty."""
-    place = (slot(bits) % PAGE).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))
-
-
 def exact_duplicates(docs: DataFrame, key: str, text: str, keep: Sequence[str] = (),
                      prefix: int = PREFIX) -> DataFrame:
     """``key, keep_key, group_size, kept`` and the columns ``keep`` for every row of ``docs``.
@@ -76,12 +57,8 @@ def exact_duplicates(docs: DataFrame, key: str, text: str, keep: Sequence[str] =
     base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), extra.alias("_extra"))
     met = stamped(base.select("_text"), "_text", prefix).groupBy("_size", "_head").count().filter("count > 1")
     shared = cut_lineage(met.select("_size", "_head"))
-    bits = PAGE
-    while bits < min(MOST_BITS, BITS_PER_GROUP * shared.count()):
-        bits *= 2
-    marked = stamped(base, "_text", prefix).withColumn("_page", F.floor(slot(bits) / PAGE)).join(
-        F.broadcast(bitmap(shared, bits)), "_page", "left")
-    whole = F.when(is_set(bits), F.unhex(F.sha2(normalised(F.col("_text")), 256)))
+    marked = may_match(stamped(base, "_text", prefix), shared, "_size", "_head")
+    whole = F.when(F.col("_may"), F.unhex(F.sha2(normalised(F.col("_text")), 256)))
     rows = cut_lineage(marked.select(
         "_key", "_extra", "_size", whole.alias("_whole"), F.monotonically_increasing_id().alias("_row")))
     same = F.struct("_size", "_whole").alias("_same")
