@@ -33,9 +33,10 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def vector_id() -> Column:
-    """Hash of ``vec``: a name for equal vectors that is narrower than they are."""
-    return F.xxhash64("vec", F.lit(1))
+def vector_hash() -> Column:
+    """128 bits of ``vec``, a name for equal vectors that is narrower than they are: two hashes
+    that begin from seeds of their own."""
+    return F.struct(F.xxhash64(F.lit(1), "vec").alias("a"), F.xxhash64(F.lit(2), "vec").alias("b"))
 
 
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
@@ -123,30 +124,38 @@ def linked(vectors: DataFrame, key: str, vector: str, threshold: float = 0.95,
     """``key, n_links, component`` for every row: how many other rows have a cosine of at least
     ``threshold``, and the smallest key reachable by such links, its own included.
 
-    Unusable vectors, and those of another length than the most common, link with nothing.
-    Equal vectors are one node with a number of copies. Centres fitted on at most 16,384
-    vectors give each a home cell. A vector also enters every cell whose border is no farther
-    than linked vectors can be apart, so a home vector meets all its links in its own cell.
-    Cells are cut in blocks of about 4,096 by 4,096 vectors, whatever their size. Codes and
-    factors are made once. Copies of one vector, and rows of a large component, are spread in
-    the joins that name them. Where data has no clusters every cell is a neighbour and the blocks
-    cover all pairs; nothing is left out to avoid that.
+    Unusable vectors link with nothing. Vectors meet those of their own length, each length is
+    searched by itself. Rows of a repeated key are rows like any other, and a null key names no
+    component unless all are null. Equal vectors are one node with a number of copies.
+
+    Centres fitted on at most 16,384 vectors give each a home cell. A vector also enters every
+    cell whose border is no farther than linked vectors can be apart, so a home vector meets all
+    its links in its own cell. Cells are cut in blocks of about 4,096 by 4,096 vectors, whatever
+    their size. Codes and factors are made once. Copies of one vector, and rows of a large
+    component, are spread in the joins that name them. Where data has no clusters every cell is a
+    neighbour and the blocks cover all pairs; nothing is left out to avoid that.
     """
     base = vectors.select(F.col(key).alias("key"), F.when(usable(F.col(vector)), F.col(vector)).alias("vec"))
-    size = base.filter("vec is not null").groupBy(F.size("vec").alias("d")).count().orderBy(
-        F.desc("count"), "d").first()
-    if size is None:
-        return base.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
-    d = size["d"]
-    base = base.withColumn("vec", F.when(F.size("vec") == d, F.col("vec")))
+    named = base.select("key", F.when(F.col("vec").isNotNull(), vector_hash()).alias("hash"))
     nodes = cut_lineage(base.filter("vec is not null").groupBy("vec").agg(
         F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("id", vector_id()))
+        .select("*", vector_hash().alias("hash"), F.monotonically_increasing_id().alias("id")))
+    found = None
+    for d in sorted(r.d for r in nodes.select(F.size("vec").alias("d")).distinct().collect()):
+        part = _linked(nodes.filter(F.size("vec") == d), d, threshold, width)
+        found = part if found is None else found.union(part)
+    if found is None:
+        return base.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
+    return skewed_join(named, found, "hash", F.col("key"), "left").select(
+        "key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("n_links").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
+
+
+def _linked(nodes: DataFrame, d: int, threshold: float, width: float | None) -> DataFrame:
+    """``hash, n_links, component`` of different vectors of one length."""
     total = nodes.count()
-    if nodes.groupBy("id").count().filter("count > 1").take(1):
-        raise ValueError("two vectors share a hash; change its seed")
     cells = min(CELLS, -(-total // CELL_ROWS))
-    sample = nodes.orderBy("id").limit(SAMPLE).select("vec").toPandas()["vec"]
+    sample = nodes.orderBy("hash").limit(SAMPLE).select("vec").toPandas()["vec"]
     centres = fit_centres(unit(np.stack(sample.to_numpy())), cells)
     turn, gap = rotation(d), np.sqrt(2 - 2 * threshold)
     apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
@@ -204,13 +213,9 @@ def linked(vectors: DataFrame, key: str, vector: str, threshold: float = 0.95,
     counts = found.filter("u = v").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("u <> v").select("u", "v"))
     rooted = cut_lineage(
-        nodes.select("id", "least", "copies").join(counts, "id", "left")
+        nodes.select("id", "hash", "least", "copies").join(counts, "id", "left")
         .join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("id", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        .select("id", "hash", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                 F.coalesce("root", "id").alias("root")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = skewed_join(rooted, names, "root", F.col("id")).select("id", "n_links", "component")
-    own = base.select("key", F.when(F.col("vec").isNotNull(), vector_id()).alias("id"))
-    return skewed_join(own, named, "id", F.col("key"), "left").select(
-        "key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n_links").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
+    return skewed_join(rooted, names, "root", F.col("id")).select("hash", "n_links", "component")
