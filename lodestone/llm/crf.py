@@ -29,11 +29,13 @@ def ragged_sum(values: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.n
     return out
 
 
-def marginals(emission: np.ndarray, lengths: np.ndarray, w: Weights,
-              pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def marginals(emission: np.ndarray, lengths: np.ndarray, w: Weights, pairs: bool = False,
+              enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """(label probabilities of each position, expected transitions) by forward-backward.
 
     ``lengths`` are above 0. Messages are normalised at each step, so nothing underflows.
+    ``enter`` and ``leave`` are the messages that come to each sequence from outside; without
+    them sequences begin with the start weights and end freely.
     """
     labels = emission.shape[1]
     if not len(lengths):
@@ -44,14 +46,15 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, w: Weights,
     e = np.exp(emission - emission.max(axis=1, keepdims=True))
     step = np.exp(w.transition - w.transition.max()).astype(e.dtype)
     alpha = np.empty_like(e)
-    a = e[starts] * np.exp(w.start - w.start.max()).astype(e.dtype)
+    a = e[starts] * (np.exp(w.start - w.start.max()) if enter is None else enter[order]).astype(e.dtype)
     for t in range(lens[0]):
         at = starts[:going[t]] + t
         if t:
             a = (a[:going[t]] @ step) * e[at]
         a = a / a.sum(axis=1, keepdims=True)
         alpha[at] = a
-    out, b = np.empty_like(e), np.ones((len(lens), labels), e.dtype)
+    out = np.empty_like(e)
+    b = np.ones((len(lens), labels), e.dtype) if leave is None else leave[order].astype(e.dtype)
     expected = np.zeros((labels, labels))
     for t in range(lens[0] - 1, -1, -1):
         n = going[t]
@@ -67,6 +70,50 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, w: Weights,
     return out, expected if pairs else None
 
 
+def transfers(emission: np.ndarray, lengths: np.ndarray, w: Weights) -> np.ndarray:
+    """Per sequence the matrix that takes the message entering it to its last position, and, read
+    the other way, the message leaving it to its first. Scaled to a largest entry of 1."""
+    labels = emission.shape[1]
+    order = np.argsort(-lengths, kind="stable")
+    starts, lens = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    going = np.searchsorted(-lens, -np.arange(lens[0]), "left")
+    e = np.exp(emission - emission.max(axis=1, keepdims=True))
+    step = np.exp(w.transition - w.transition.max()).astype(e.dtype)
+    m = np.eye(labels, dtype=e.dtype) * e[starts][:, None, :]
+    for t in range(1, lens[0]):
+        n = going[t]
+        made = (m[:n] @ step) * e[starts[:n] + t][:, None, :]
+        m[:n] = made / made.max(axis=(1, 2), keepdims=True)
+    out = np.empty_like(m)
+    out[order] = m
+    return out
+
+
+def long_marginals(emission: np.ndarray, lengths: np.ndarray, w: Weights, piece: int) -> np.ndarray:
+    """``marginals`` of sequences of any length in about ``piece`` steps: long ones are cut, the
+    messages that cross the cuts are found first, and the pieces then run side by side. The same
+    numbers as without cuts, up to rounding."""
+    if not len(lengths) or lengths.max() <= piece:
+        return marginals(emission, lengths, w)[0]
+    parts = -(-lengths // piece)
+    first = np.cumsum(parts) - parts
+    size = np.full(int(parts.sum()), piece, np.int64)
+    size[first + parts - 1] = lengths - (parts - 1) * piece
+    step, across = np.exp(w.transition - w.transition.max()), transfers(emission, size, w).astype(np.float64)
+    enter, leave = (np.ones((len(size), len(w.start))) for _ in range(2))
+    enter[first] = np.exp(w.start - w.start.max())
+    many = np.argsort(-parts, kind="stable")
+    cuts = [first[many[:n]] + t for t in range(1, int(parts.max()))
+            for n in [np.searchsorted(-parts[many], -t, "left")]]  # of sequences with more than t pieces
+    for at in cuts:
+        come = (enter[at - 1][:, None, :] @ across[at - 1])[:, 0] @ step
+        enter[at] = come / come.max(axis=1, keepdims=True)
+    for at in cuts[::-1]:
+        back = (across[at] @ leave[at][:, :, None])[:, :, 0] @ step.T
+        leave[at - 1] = back / back.max(axis=1, keepdims=True)
+    return marginals(emission, size, w, enter=enter, leave=leave)[0]
+
+
 def fit(flat: np.ndarray, counts: np.ndarray, item: np.ndarray, lengths: np.ndarray,
         label: np.ndarray, features: int, labels: int, rounds: int = 50, rate: float = 0.1,
         ridge: float = 1e-4, weight: np.ndarray | None = None) -> Weights:

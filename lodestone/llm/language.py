@@ -24,7 +24,6 @@ LETTERS = re.compile(r"[^\W\d_]+")
 DOCS_PER_LANGUAGE = 150
 SEGMENT = 512
 CACHE = 200_000
-LONG = 64
 GRAMS = 1 << 17
 UNKNOWN = "und"
 
@@ -32,13 +31,11 @@ UNKNOWN = "und"
 def grams(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashed features of all words, number for each): n-grams of two and three letters of a
     word between end marks, so that its affixes are among them, and those of four at its ends.
-
-    Of a word over 64 letters its first and last 32 are read.
+    All letters of a word are read, however long it is.
     """
-    short = [w if len(w) <= LONG else w[:LONG // 2] + w[-LONG // 2:] for w in words]
-    codes = np.frombuffer(("^" + "$^".join(short) + "$").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    size = np.fromiter(map(len, short), np.int64, len(short)) + 2
-    word = np.repeat(np.arange(len(short)), size)
+    codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), size)
     start = np.zeros(len(codes), bool)
     start[np.cumsum(size) - size] = True
     made, owner, value = [], [], codes * np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +50,7 @@ def grams(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         owner.append(word[at])
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(made)[order], np.bincount(owner, minlength=len(short))
+    return np.concatenate(made)[order], np.bincount(owner, minlength=len(words))
 
 
 @dataclass
@@ -77,7 +74,8 @@ class Model:
 
 
 def segments(n: int) -> list[int]:
-    """Lengths of the sequences that n words form: 512 words each, the last what is left."""
+    """Lengths of the sequences that n words form for fitting: 512 words each, the last what is
+    left. Texts are labelled without cuts."""
     return [SEGMENT] * (n // SEGMENT) + ([n % SEGMENT] if n % SEGMENT else [])
 
 
@@ -132,8 +130,8 @@ class Tagger:
         if fresh:
             self.learn(fresh)
         item = np.fromiter(map(self.ids.__getitem__, flat), np.int64, len(flat))
-        lengths = np.array([n for ws in words for n in segments(len(ws))], np.int64)
-        gamma, _ = crf.marginals(self.scores[item], lengths, self.model.weights)
+        lengths = np.array([len(ws) for ws in words if ws], np.int64)
+        gamma = crf.long_marginals(self.scores[item], lengths, self.model.weights, SEGMENT)
         return np.split(gamma, np.cumsum([len(ws) for ws in words])[:-1])
 
 
@@ -154,7 +152,9 @@ def identify(docs: DataFrame, text: str, model: Model, with_runs: bool = False,
 
     The language is the one that the most words are expected to be in, ties to the first in
     order, and the score its share. Null texts, texts without a letter, and any text under a
-    model that learned nothing get ``und`` and 0. Whole texts, in the stage that reads them.
+    model that learned nothing get ``und`` and 0. Repeated rows get equal results, an empty table
+    none. Whole texts, in the stage that reads them: every letter of a word counts, and what is
+    known of a word reaches all others of its text.
     """
     added = [("lang_pred", T.StringType()), ("score", T.DoubleType())]
     if with_runs:
