@@ -64,8 +64,14 @@ def measures(lines: Sequence[str]) -> np.ndarray:
     same = np.bincount(line_of[1:][inner & (ids[1:] == ids[:-1])], minlength=len(lines))
 
     def distinct(line, value):
-        keys = np.unique(line * (len(number) ** 2 + 1) + value) // (len(number) ** 2 + 1)
-        return np.bincount(keys, minlength=len(lines))
+        """How many different values each line has."""
+        base = int(value.max(initial=0)) + 1
+        if len(lines) * base < 1 << 62:
+            return np.bincount(np.unique(line * base + value) // base, minlength=len(lines))
+        order = np.lexsort((value, line))  # numbers too large to be put together
+        line, value = line[order], value[order]
+        fresh = np.r_[True, (line[1:] != line[:-1]) | (value[1:] != value[:-1])]
+        return np.bincount(line[fresh], minlength=len(lines))
 
     kinds_of = distinct(line_of, ids)
     pairs = distinct(line_of[1:][inner], (ids[:-1] * len(number) + ids[1:])[inner])
@@ -158,8 +164,9 @@ def score(docs: DataFrame, text: str, model: Model, with_lines: bool = False,
     """``docs``, or its columns ``keep``, with ``score``, the probability that a document is good; with ``with_lines``
     also ``line_scores``, one for each line. Columns of these names are replaced.
 
-    Null counts as the empty text, which is one empty line. A model that saw one label only
-    gives every text the same score. Whole texts, in the stage that reads them.
+    Null counts as the empty text, which is one empty line. Repeated rows get equal scores, an
+    empty table none. A model that saw one label only gives every text the same score. Whole
+    texts of any length, in the stage that reads them.
     """
     added = [("score", T.DoubleType())] + ([("line_scores", T.ArrayType(T.DoubleType()))] if with_lines else [])
     kept = [c for c in keep or docs.columns if c not in dict(added)]
