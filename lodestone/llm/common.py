@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from ..operators.joins import skewed_join
 from ..session import cut_lineage
 
+#: Bounds of what models are fitted on, besides the number of rows a label.
+MOST_LABELS = 64
+MOST_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,22 +51,35 @@ def remainder(key: Column, n: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
-                    per_label: int) -> list[tuple]:
-    """(label, whole text) of about ``per_label`` documents of each label, all if there are
-    fewer: those whose key's hash falls below the share wanted. One row of a repeated key.
+                    per_label: int) -> DataFrame:
+    """``key, label, text``: about ``per_label`` documents of each of the ``MOST_LABELS`` most
+    frequent labels, all if there are fewer: those whose key's hash falls below the share wanted.
+    One row of a repeated key.
 
-    Classes are few and the sample is bounded, so it goes to the driver, where models are
-    fitted. Texts are read for the chosen keys only. Null keys, labels and texts are left out.
+    For fitting, so bounded: texts of more than ``MOST_BYTES`` are not learned from, and texts are
+    read for the chosen keys only. Null keys, labels and texts are left out.
     """
     marks = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).filter(
         "key is not null and label is not null")
-    sizes = marks.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS)
     share = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     chosen = marks.join(F.broadcast(sizes), "label").filter(share < per_label / F.col("n")).select(
         "key", "label").distinct()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null").join(
-        F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text")).collect()
-    return [(r.label, r.text) for r in sorted(rows, key=lambda r: (r.key, r.label))]
+    read = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(
+        (F.octet_length("text") <= MOST_BYTES))
+    return read.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+
+
+def fitted(sample: DataFrame, train: Callable[[list[tuple]], object]) -> object:
+    """The model that ``train`` makes of the (label, text) of a bounded ``sample``, in order of
+    key. It is fitted in one task of an executor; only the model comes to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        model = pickle.dumps(train([(label, text) for _, label, text in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    made = sample.select("key", "label", "text").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else train([])
 
 
 def text_beside(docs: DataFrame, text: str, keep: Sequence[str]) -> tuple[DataFrame, int]:

@@ -12,12 +12,16 @@ from . import (
     alignment, exact_dedup, extraction, language, maxscore, mixing, multi_index, packing, quality,
     rotation_codes, sharding, simhash, toxicity,
 )
-from .common import labelled_sample, remainder, table
+from .common import fitted, labelled_sample, remainder, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 SHARDS = 8
 MAX_REPEAT = 2.0
+#: Shingle length and most differing bits of near-duplicates, in op6 and in the pipeline.
+NEAR = {"width": 4, "bits": 4}
+#: Score from which a document counts as toxic, and as of label 1 for quality.
+LIKELY = 0.3
 
 
 def query(name: str, sql: str | None = None):
@@ -139,7 +143,7 @@ def maxscore_top(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_anchor_simhash")
 def anchor_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = simhash.near_duplicates(docs, "doc_id", "text", width=4, bits=4)
+    found = simhash.near_duplicates(docs, "doc_id", "text", **NEAR)
     return found.select(
         F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"))
@@ -154,8 +158,8 @@ def tree_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def language_model(docs: DataFrame) -> language.Model:
     """Learned from documents whose CRC-32 of the id is not divisible by 5."""
     learned = docs.filter(remainder(F.col("doc_id"), 5) != 0)
-    return language.train(labelled_sample(
-        learned, learned, "doc_id", "text", "lang", language.DOCS_PER_LANGUAGE))
+    return fitted(labelled_sample(
+        learned, learned, "doc_id", "text", "lang", language.DOCS_PER_LANGUAGE), language.train)
 
 
 def held_out(modulus: int, rest: int):
@@ -172,29 +176,29 @@ def crf_language(spark: SparkSession, folder: str) -> DataFrame:
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """Learned from labels whose CRC-32 of the id is not divisible by 5."""
     learned = labels.filter(remainder(F.col("doc_id"), 5) != 0)
-    return quality.train(labelled_sample(
-        docs, learned, "doc_id", "text", "quality", quality.DOCS_PER_LABEL))
+    return fitted(labelled_sample(
+        docs, learned, "doc_id", "text", "quality", quality.DOCS_PER_LABEL), quality.train)
 
 
 @query("op8_crf_quality")
 def crf_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     found = quality.score(docs, "text", quality_model(docs, labels), keep=["doc_id"])
-    return found.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out(5, 0), "score", (F.col("score") >= LIKELY).cast("int").alias("predicted"))
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learned from labels whose CRC-32 of the id leaves a remainder other than 2 by 4."""
     learned = labels.filter(remainder(F.col("doc_id"), 4) != 2)
-    return toxicity.train(labelled_sample(
-        docs, learned, "doc_id", "text", "toxic", toxicity.DOCS_PER_LABEL))
+    return fitted(labelled_sample(
+        docs, learned, "doc_id", "text", "toxic", toxicity.DOCS_PER_LABEL), toxicity.train)
 
 
 @query("op9_counterfactual_toxicity")
 def counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     found = toxicity.score(docs, "text", toxicity_model(docs, labels), keep=["doc_id"])
-    return found.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out(4, 2), "score", (F.col("score") >= LIKELY).cast("int").alias("predicted"))
 
 
 FINITE = "not exists(embedding, x -> x is null or isnan(x) or abs(x) = float('inf'))"

@@ -132,7 +132,8 @@ def score(docs: DataFrame, text: str, model: Model, keep: Sequence[str] | None =
     """``docs``, or its columns ``keep``, with ``score``, the probability that a document is toxic. A column of that name
     is replaced.
 
-    Null counts as the empty text; both get what the bias says. A model that saw one label
+    Null counts as the empty text; both get what the bias says. Repeated rows get equal scores,
+    an empty table none. A model that saw one label
     only gives every text the same score. Whole texts, in the stage that reads them; scores of
     words are kept per worker, 300,000 at most, then anew.
     """
