@@ -26,7 +26,7 @@ from .common import components, unite
 SEED = 42
 CODE = 15
 PAIRS = 1 << 22
-MIX = np.uint64(0x9E3779B97F4A7C15)
+ANCHOR_ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -41,10 +41,8 @@ class Cover:
         return len(self.parts) * (self.apart + 1) - 1
 
 
-#: For strict links: up to 5 bits, about 46 rows a fingerprint.
+#: Up to 5 bits, about 46 rows a fingerprint.
 NARROW = Cover(((0, 21), (21, 21), (42, 22)), 1)
-#: For similar texts: up to 11 bits, about 180 rows a fingerprint.
-WIDE = Cover(((0, 16), (16, 16), (32, 16), (48, 16)), 2)
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -72,25 +70,15 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, width: int, wide: bool = False) -> DataFrame:
-    """``key, fp``, and if ``wide`` 64 bits ``more`` from the same hashes mixed once again.
-    Null text counts as empty."""
-    names = ["key", "fp", "more"] if wide else ["key", "fp"]
-
+def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """``key, fp``. Null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[list[int]] = [[] for _ in names[1:]]
-            for value in batch.column(1):
-                hashes = shingle_hashes(value.as_py() or "", width)
-                for out in made:
-                    out.append(fingerprint(hashes))
-                    hashes = (hashes ^ hashes >> np.uint64(31)) * MIX
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x, pa.int64()) for x in made]], names=names)
+            made = [fingerprint(shingle_hashes(value.as_py() or "", width)) for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        run, ", ".join([f"key {kind}", *[f"{n} long" for n in names[1:]]]))
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
 
 
 def steps_to_anchors(width: int, radius: int) -> list[np.ndarray]:
@@ -122,14 +110,14 @@ def at_anchors(fps: np.ndarray, cover: Cover) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(index), np.concatenate(anchor), np.concatenate(home)
 
 
-def links_at_anchors(anchor: np.ndarray, home: np.ndarray, prints: list[np.ndarray], ids: np.ndarray,
+def links_at_anchors(anchor: np.ndarray, home: np.ndarray, fps: np.ndarray,
                      bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as two arrays of ids, of the links found in rows sorted by anchor.
-    Pairs are formed a bounded number at a time and united at once, never kept."""
+    """A spanning forest, as two arrays of fingerprints, of the links found in rows sorted by
+    anchor. Pairs are formed a bounded number at a time and united at once, never kept."""
     first = np.flatnonzero(np.r_[True, np.diff(anchor) != 0]) if len(anchor) else np.zeros(0, int)
     size = np.diff(np.r_[first, len(anchor)])
     run = np.repeat(np.arange(len(first)), size)
-    parent = np.arange(len(ids))
+    parent = np.arange(len(fps))
     residents = np.flatnonzero(home)
     residents = residents[size[run[residents]] > 1]
     count, at = size[run[residents]], 0
@@ -141,42 +129,38 @@ def links_at_anchors(anchor: np.ndarray, home: np.ndarray, prints: list[np.ndarr
         a = np.repeat(some, each)
         within = np.arange(len(a)) - np.repeat(np.cumsum(each) - each, each)
         b = np.repeat(first[run[some]], each) + within
-        differ = sum(np.bitwise_count((x[a] ^ x[b]).view(np.uint64)).astype(np.int16) for x in prints)
-        close = (differ <= bits) & (ids[a] != ids[b])
+        close = (np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)) <= bits) & (fps[a] != fps[b])
         parent = unite(parent, a[close], b[close])
         at = upto
-    child = np.flatnonzero(parent != np.arange(len(ids)))
-    return ids[child], ids[parent[child]]
+    child = np.flatnonzero(parent != np.arange(len(fps)))
+    return fps[child], fps[parent[child]]
 
 
-def fingerprint_links(nodes: DataFrame, bits: int, cover: Cover = NARROW) -> DataFrame:
-    """Links ``u, v`` of ids that connect all fingerprints at most ``bits`` apart.
+def fingerprint_links(nodes: DataFrame, bits: int, cover: Cover = NARROW, limit: int = ANCHOR_ROWS) -> DataFrame:
+    """Links ``u, v`` that connect all fingerprints at most ``bits`` apart.
 
-    ``nodes`` has distinct fingerprints ``fp``, which are their own ids, or ``fp, more, id``
-    for those of 128 bits: then the bits are counted over both, and links further apart in
-    ``fp`` than the cover reaches may be missed. Copies cost nothing here. One shuffle of
-    narrow rows. A task works through its anchors in order and holds one anchor's
-    fingerprints, which are distinct and near each other, plus one batch.
+    ``nodes`` has distinct fingerprints ``fp``. Copies cost nothing here. Rows are counted by
+    anchor; an anchor with more than ``limit`` is cut, its residents and its visitors each in
+    blocks by hash, and every block of residents meets every block of visitors in a group of its
+    own. So no group holds more than about twice the limit, whatever the corpus holds, and a task
+    works through its groups in order with one of them in memory.
     """
-    wide = "more" in nodes.columns
-    if bits > cover.most and not wide:
+    if bits > cover.most:
         raise ValueError(f"these anchors find links of at most {cover.most} bits")
-    names = ["fp", "more", "id"] if wide else ["fp"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 13):
-                part = [c.slice(at, 1 << 13).to_numpy(zero_copy_only=False) for c in batch.columns]
-                index, anchor, home = at_anchors(part[0], cover)
+                fps = batch.column(0).slice(at, 1 << 13).to_numpy(zero_copy_only=False)
+                index, anchor, home = at_anchors(fps, cover)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.astype(np.int32)), pa.array(home), *[pa.array(x[index]) for x in part]],
-                    names=["anchor", "home", *names])
+                    [pa.array(anchor.astype(np.int32)), pa.array(home), pa.array(fps[index])], names=["anchor", "home", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def found(rows):
-            u, v = links_at_anchors(rows[0], rows[1], rows[2:4] if wide else rows[2:], rows[-1], bits)
+            u, v = links_at_anchors(rows[0], rows[1], rows[2], bits)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
@@ -191,60 +175,67 @@ def fingerprint_links(nodes: DataFrame, bits: int, cover: Cover = NARROW) -> Dat
         if held is not None:
             yield found(held)
 
-    schema = ", ".join(["anchor int, home boolean", *[f"{n} long" for n in names]])
-    return (nodes.select(*names).mapInArrow(deal, schema)
-            .repartition("anchor").sortWithinPartitions("anchor")
+    dealt = nodes.select("fp").mapInArrow(deal, "anchor int, home boolean, fp long")
+    blocks = [F.ceil(F.sum((F.col("home") == h).cast("int")) / limit).alias(n) for h, n in ((True, "_r"), (False, "_v"))]
+    # fewer anchors than rows / limit can be above it, each with limit rows at least
+    large = dealt.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), *blocks).filter(F.col("_n") > limit)
+    large = cut_lineage(large.select("anchor", F.greatest("_r", F.lit(1)).alias("_r"), F.greatest("_v", F.lit(1)).alias("_v")))
+    if large.isEmpty():
+        met = dealt.withColumn("block", F.lit(0).cast("long"))
+    else:
+        wide = dealt.join(large, "anchor", "left")
+        some = F.pmod(F.xxhash64("fp"), F.coalesce(F.when(F.col("home"), F.col("_r")).otherwise(F.col("_v")), F.lit(1)))
+        other = F.coalesce(F.when(F.col("home"), F.col("_v")).otherwise(F.col("_r")), F.lit(1))
+        # residents also visit each other: they go to the blocks of visitors and of residents
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_other") - 1))
+        met = wide.select("anchor", "home", "fp", some.alias("_some"), other.cast("long").alias("_other"),
+                          F.coalesce("_v", F.lit(1)).cast("long").alias("_width"), F.coalesce("_r", F.lit(1)).cast("long").alias("_high"))
+        guests = met.select("anchor", "home", "fp", "_some", "_width", every.alias("_at")).select(
+            "anchor", "home", "fp", F.when(F.col("home"), F.col("_some") * F.col("_width") + F.col("_at"))
+            .otherwise(F.col("_at") * F.col("_width") + F.col("_some")).alias("block"))
+        again = met.filter("home and _high > 1").select(
+            "anchor", F.explode(F.array(F.lit(True), F.lit(False))).alias("home"), "fp", "_some", "_high").select(
+            "anchor", "home", "fp", "_some", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_high") - 1)).alias("_at"), "_high").select(
+            "anchor", "home", "fp", (-1 - F.when(F.col("home"), F.col("_some") * F.col("_high") + F.col("_at"))
+                                     .otherwise(F.col("_at") * F.col("_high") + F.col("_some"))).alias("block"))
+        met = guests.union(again)
+    group = F.when(F.col("block") == 0, F.col("anchor").cast("long")).otherwise(F.xxhash64("anchor", "block"))
+    return (met.select(group.alias("group"), "home", "fp").repartition("group").sortWithinPartitions("group")
             .mapInArrow(compare, "u long, v long").distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str, text: str, width: int, bits: int,
-                    wide: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str, text: str, width: int, bits: int) -> DataFrame:
     """``key, fp, component``: documents whose fingerprints are linked, directly or through
-    others, share the smallest key reachable.
-
-    Plain: links of at most ``bits`` of 64, at most 5, none lost. ``wide``: at most ``bits`` of
-    128, none lost that differ in at most 11 of the first 64.
+    others, share the smallest key reachable. Links: at most ``bits`` of 64 differ, at most 5;
+    none is lost.
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows and equal
     fingerprints are one node. Null keys are never a component's name unless all are null.
     Rows of a large component, and those of a fingerprint with many copies, are spread in the
     joins that name them.
     """
-    both = ["fp", "more"] if wide else ["fp"]
-    prints = cut_lineage(fingerprints(docs, key, text, width, wide))
-    nodes = prints.groupBy(*both).agg(F.min("key").alias("least"))
-    nodes = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id() if wide else F.col("fp")))
-    links = fingerprint_links(nodes if wide else nodes.select("fp"), bits, WIDE if wide else NARROW)
-    roots = components(links).withColumnRenamed("node", "id")
-    rooted = cut_lineage(nodes.join(roots, "id", "left").select(
-        *both, "least", F.coalesce("root", "id").alias("root")))
+    prints = cut_lineage(fingerprints(docs, key, text, width))
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    roots = components(fingerprint_links(nodes, bits)).withColumnRenamed("node", "fp")
+    rooted = cut_lineage(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    at = F.struct(*both).alias("_at")
-    named = skewed_join(rooted, names, "root", F.col("fp")).select(at, "component")
-    return skewed_join(prints.select("*", at), named, "_at", F.col("key")).select("key", "fp", "component")
+    named = skewed_join(rooted, names, "root", F.col("fp")).select("fp", "component")
+    return skewed_join(prints, named, "fp", F.col("key")).select("key", "fp", "component")
 
 
-def similar_bits(similarity: float, spread: float = 0.65, bits: int = 128) -> int:
-    """Differing bits at which texts of a Jaccard similarity of shingles count as near.
+def one_of_each(docs: DataFrame, key: str, text: str, width: int, bits: int) -> DataFrame:
+    """``docs`` without near-duplicates: of each group of ``near_duplicates`` the document with the
+    smallest key stays, one row of it.
 
-    Sets of one size with Jaccard similarity J have a cosine of 2J / (1 + J); bits differ with
-    probability angle / pi. ``spread`` standard deviations are added, so that most pairs at the
-    similarity itself, and nearly all above it, are caught.
+    A repeated key stays if any of its rows gives its group the name. Rows without a key cannot be
+    told apart and stay. Only keys are looked up; what is dropped is the smaller side.
     """
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(round(bits * p + spread * np.sqrt(bits * p * (1 - p))))
-
-
-def one_of_each(docs: DataFrame, key: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without near-duplicates: of each group the document with the smallest key stays,
-    one row of it. Groups are linked by the exact Jaccard similarity of shingle sets, not by an
-    estimate from fingerprints. Rows without a key cannot be told apart and stay."""
-    from .overlap import similar_groups  # which takes its shingles from here
-
-    found = similar_groups(docs, key, text, width, similarity)
-    stays = found.filter(F.col("key") == F.col("component")).select(F.col("key").alias("_simhash_key")).distinct()
-    met = docs.join(stays, docs[key] == F.col("_simhash_key"), "left").filter(
-        F.col("_simhash_key").isNotNull() | docs[key].isNull())
-    turn = Window.partitionBy("_simhash_key").orderBy(F.xxhash64(text))
-    once = met.filter("_simhash_key is not null").withColumn("_simhash_turn", F.row_number().over(turn)).filter("_simhash_turn = 1")
-    return once.select(*docs.columns).union(met.filter("_simhash_key is null").select(*docs.columns))
+    own = F.coalesce(F.col("key") == F.col("component"), F.lit(False))
+    found = near_duplicates(docs, key, text, width, bits).filter("key is not null")
+    marks = cut_lineage(found.groupBy(F.col("key").alias("_simhash_key")).agg(
+        F.bool_or(own).alias("_stays"), F.count(F.lit(1)).alias("_times")).filter("not _stays or _times > 1"))
+    settled = docs.join(marks, docs[key] == marks["_simhash_key"], "left_anti")
+    again = docs.join(marks.filter("_stays"), docs[key] == marks["_simhash_key"], "left_semi")
+    turn = Window.partitionBy(key).orderBy(F.xxhash64(text))
+    first = again.withColumn("_simhash_turn", F.row_number().over(turn)).filter("_simhash_turn = 1")
+    return settled.union(first.select(*docs.columns))

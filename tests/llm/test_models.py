@@ -2,10 +2,12 @@
 
 import html
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import crf, extraction, language, quality, queries, toxicity
@@ -90,6 +92,134 @@ def test_swaps_take_weight_off_groups():
     assert neutral[1] < neutral[0] + 0.05 and fair.bias + fair.word_score("vilest") > 0
 
 
+def test_cuts_in_a_chain_change_nothing():
+    rng, k = np.random.default_rng(3), 4
+    w = crf.Weights(np.zeros((1, k)), rng.standard_normal((k, k)) * 2, rng.standard_normal(k))
+    lengths = np.array([3, 900, 64, 65, 1, 500])
+    e = rng.standard_normal((lengths.sum(), k)) * 2
+    assert np.allclose(crf.long_marginals(e, lengths, w, 64), crf.marginals(e, lengths, w)[0])
+
+
+def test_long_runs_are_read_whole(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = queries.language_model(docs)
+    english, german = ("".join(re.findall("[a-z]", docs.filter(f"lang = '{x}' and n_chars > 3000").first().text)) for x in ("en", "de"))
+    run = english[:32] + (german * 9)[:9000] + english[-32:]
+    frame = spark.createDataFrame([(1, run)], "doc_id long, text string")
+    assert language.identify(frame, "text", model).first().lang_pred == "de"
+
+
+def brute_grams(word):
+    """Hashes of a word's n-grams, one letter at a time."""
+    codes, out = [ord(c) for c in f"^{word}$"], []
+    for n in (2, 3, 4):
+        for at in range(len(codes) - n + 1):
+            if n == 4 and at not in (0, len(codes) - n):
+                continue
+            value = codes[at] * 0x9E3779B97F4A7C15 % 2 ** 64
+            for c in codes[at + 1:at + n]:
+                value = (value * 0x100000001B3 + c) % 2 ** 64
+            out.append(((value ^ value >> 29) * 0xBF58476D1CE4E5B9 % 2 ** 64) >> 47)
+    return sorted(out)
+
+
+def test_word_features_match_plain_ones():
+    words = ["a", "été", "straße", "x" * 100, "日本語", "ab"]
+    flat, counts = language.grams(words)
+    assert [sorted(x.tolist()) for x in np.split(flat, np.cumsum(counts)[:-1])] == [brute_grams(w) for w in words]
+
+
+def brute_measures(line):
+    """The twelve measures of a line, word by word."""
+    words = line.split()
+    if not words:
+        return [0.0] * 12
+    kind = [quality.kinds()[ord(c)] for c in line]
+    letters = sum(k in (quality.LETTER, quality.UPPER) for k in kind)
+    pairs, steps = list(zip(words, words[1:])), max(1, len(words) - 1)
+    return [np.log1p(len(words)), sum(not any(c.isalpha() for c in w) for w in words) / len(words), letters / len(line),
+            sum(k == quality.DIGIT for k in kind) / len(line), sum(k == quality.MARK for k in kind) / len(words),
+            sum(k == quality.UPPER for k in kind) / max(1, letters),
+            sum(len(w) > 1 and w[-1] == w[-2] and quality.kinds()[ord(w[-1])] == quality.MARK for w in words) / len(words),
+            sum(a == b for a, b in pairs) / steps, len(set(words)) / len(words), 1 - len(set(pairs)) / steps,
+            letters / len(words), float(words[-1][-1] in ".!?…")]
+
+
+def test_line_measures_match_plain_ones(spark):
+    lines = ["", "  ", "One two two, 33 THREE!!", "|| -- ||", "éa b éa b éa.", "x" * 500, "a", "End of it…  "]
+    lines += [x for r in spark.read.parquet(f"{FOLDER}/documents.parquet").limit(40).collect() for x in r.text.split("\n")]
+    lines = [x for x in lines if not set(x) & set("\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029")]
+    assert np.allclose(quality.measures(lines), [brute_measures(x) for x in lines])
+
+
+def test_many_different_words_are_scored():
+    words = [f"{i:x}" for i in range(3_000_000)]
+    lines = [" ".join(words[i:i + 2]) for i in range(0, len(words), 2)]
+    got = quality.measures(lines)
+    assert got.shape == (len(lines), 12) and np.allclose(got[:, 8], 1) and np.allclose(got[:, 9], 0)
+
+
+def plain_toxicity(text, model):
+    total = model.bias
+    for word in set(re.findall(r"\w+", text.lower())):
+        parts = ["=" + word] + ["^" + word[:n] for n in (3, 4, 5, 6) if len(word) > n] + ["$" + word[-4:]] * (len(word) > 4)
+        total += sum(model.weights[model.numbers[p]] for p in parts if p in model.numbers)
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def plain_chain(scores, w):
+    """Label probabilities by forward-backward in plain steps."""
+    step = np.exp(w.transition)
+    forward, back = [np.exp(scores[0] + w.start)], [np.ones(len(w.start))]
+    for x in scores[1:]:
+        forward.append((forward[-1] @ step) * np.exp(x))
+        forward[-1] /= forward[-1].sum()
+    for x in scores[:0:-1]:
+        back.append(step @ (np.exp(x) * back[-1]))
+        back[-1] /= back[-1].sum()
+    both = np.array(forward) * np.array(back[::-1])
+    return both / both.sum(axis=1, keepdims=True)
+
+
+def test_language_scores_match_plain_ones(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = queries.language_model(docs)
+    for r in language.identify(docs.limit(25).select("text"), "text", model).collect():
+        words = re.findall(r"[^\W\d_]+", r.text.lower())
+        scores = []
+        for word in words:
+            numbers = brute_grams(word)
+            if word in model.known:
+                numbers += [model.known[word]] + [n for n in [model.lexicon.get(word)] if n is not None]
+            scores.append(model.weights.emission[numbers].astype(float).sum(axis=0))
+        share = plain_chain(scores, model.weights).mean(axis=0)
+        assert model.languages[int(share.argmax())] == r.lang_pred and abs(share.max() - r.score) < 1e-3
+
+
+def test_quality_scores_match_plain_ones(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    model = queries.quality_model(docs, labels)
+    for r in quality.score(docs.limit(25).select("text"), "text", model).collect():
+        lines = r.text.split("\n")
+        bins = [[int(np.searchsorted(model.edges[k], v, "right")) for k, v in enumerate(brute_measures(x))] for x in lines]
+        beyond, scores = [quality.BINS] * 12, []
+        for i, own in enumerate(bins):
+            near = own + (bins[i - 1] if i else beyond) + (bins[i + 1] if i + 1 < len(bins) else beyond)
+            scores.append(model.weights.emission[[j * (quality.BINS + 1) + b for j, b in enumerate(near)]].sum(axis=0))
+        weight = np.array([len(x) + 1.0 for x in lines])
+        share = (plain_chain(scores, model.weights)[:, 1] * weight).sum() / weight.sum()
+        x = model.slope * np.log((share + 1e-3) / (1 - share + 1e-3)) + model.shift
+        assert abs(1 / (1 + np.exp(-x)) - r.score) < 1e-6
+
+
+def test_toxicity_scores_match_plain_ones(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    model = queries.toxicity_model(docs, labels)
+    rows = docs.limit(60).select("doc_id", "text")
+    for r in toxicity.score(rows, "text", model).collect():
+        assert abs(r.score - plain_toxicity(r.text, model)) < 1e-6
+
+
 @pytest.mark.parametrize("kind", ["language", "quality", "toxicity"])
 def test_odd_texts(spark, kind):
     frame = spark.createDataFrame(ODD, ODD_SCHEMA)
@@ -147,6 +277,30 @@ def test_deep_and_long_pages_are_read():
     assert len(extraction.main_blocks("<article>" + f"<p>{LONG}" * 5000)) == 5000
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 20_000, "<p title='x" * 20_000, '<a href="x>' * 20_000, "</script" * 20_000, "<script>" + "</script " * 20_000,
+    "<!--" * 20_000, "<div>" * 20_000 + "".join(f"text {i}, and more<br></section>" for i in range(20_000)),
+    "<div>a" * 20_000, "<span>" * 20_000 + "<p>x</p>y" * 20_000, "<p><table>" + "<span>" * 20_000 + "<div>x</div>" * 20_000,
+    "<ul>" + "<li><i>" * 20_000, "&#x" * 30_000, "<a b=" * 20_000 + ">", "<" * 60_000, "class=" * 30_000 + ">"])
+def test_broken_and_deep_pages_take_linear_time(page):
+    start = time.process_time()
+    extraction.main_blocks(page)
+    assert time.process_time() - start < 2
+
+
+@pytest.mark.parametrize("attrs", [
+    "class='post-navigation'", "class='article-share'", "class='entry-tags'", "class=main-menu", "id=contentFooter", "hidden",
+    "class='widget text-widget'", "aria-hidden=true", "style='display: none'", "role=navigation"])
+def test_parts_beside_the_text_go(attrs):
+    page = f"<body><div class=post-content><p>{LONG}</p><div {attrs}><p>{LONG * 2}</p></div><p>{LONG}</p></div></body>"
+    assert extraction.main_blocks(page) == [LONG.strip()] * 2
+
+
+def test_titles_stay_and_hidden_pages_go():
+    page = f"<body><article><div class=entry-header><h1>T</h1></div><p title=it's>{LONG}</p></article><main hidden>{LONG * 9}</main></body>"
+    assert extraction.main_blocks(page) == ["T", LONG.strip()]
+
+
 def test_extraction_odd_rows(spark):
     frame = spark.createDataFrame([(1, None, "own"), (2, "", None), (None, "<p>x</p>", "t")], "page_id long, html string, text string")
     got = {r.page_id: r.text for r in extraction.extract(frame, "html", ["page_id"]).collect()}
@@ -172,3 +326,28 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.pack(spark, kept, FOLDER)
     assert packed.filter("start = 0").count() == kept.count()
     assert packed.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls in any column, repeated rows, clashing names and empty tables, at every stage."""
+    plain = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(150)
+    odd = [(None, None, None, None, None), (-1, None, "en", "a", 0), (-2, "", None, None, None), (-3, "12 !!", "xx", "a", 5),
+           (-4, "the same words as before and after " * 3000, "en", None, None), (-4, "the same words as before and after " * 3000, "en", None, None)]
+    docs = plain.union(spark.createDataFrame(odd, plain.schema))
+    extra = ["score", "lang_pred", "weight", "epoch", "_simhash_key", "block", "tokens", "_text", "key"]
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in extra])
+    kept = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, kept, FOLDER)
+        rows = out.collect()
+        assert out.columns == docs.columns and 0 < len(rows) and stage(spark, kept.limit(0), FOLDER).count() == 0
+        assert all(r.score is None if r.doc_id is None else r.score == f"score{r.doc_id}" for r in rows)
+        kept = spark.createDataFrame(rows, docs.schema)
+        if name == "language_id":
+            assert not {-1, -2, -3, None} & {r.doc_id for r in rows} and sum(r.doc_id == -4 for r in rows) == 2
+            kept = kept.union(spark.createDataFrame(odd[:4], plain.schema).select("*", *[F.lit(None).cast("string").alias(c) for c in extra]))
+            kept = kept.withColumn("score", F.when(F.col("doc_id").isNotNull(), F.concat(F.lit("score"), F.col("doc_id").cast("string"))))
+        if name == "simhash_near_dedup":
+            assert sum(r.doc_id == -4 for r in rows) == 1 and sum(r.doc_id == -2 for r in rows) == 1 and not any(r.doc_id == -1 for r in rows)
+    packed = corpus_pipeline.pack(spark, kept, FOLDER)
+    assert packed.filter("start = 0").count() == kept.count() and corpus_pipeline.pack(spark, kept.limit(0), FOLDER).count() == 0

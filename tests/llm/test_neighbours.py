@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestone.llm import common, maxscore, overlap, queries, rotation_codes, simhash
+from lodestone.llm import common, maxscore, queries, rotation_codes, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -103,10 +103,11 @@ def test_vector_links_match_brute_force(spark, monkeypatch, rows):
     near = base[:80] + rng.standard_normal((80, 24)) * rng.uniform(0, 0.4, (80, 1))
     data = [(int(k), v.astype(np.float32).tolist()) for k, v in enumerate(np.r_[base, near, base[:20], base[:9] * 3])]
     data += [(900, None), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, [None] * 24),
-             (904, [float("inf")] + [1.0] * 23), (905, [1e30] * 24), (906, [1e-30] * 24), (907, [1.0, 2.0])]
-    frame = spark.createDataFrame(data, "id long, v array<float>")
+             (904, [float("inf")] + [1.0] * 23), (905, [1e30] * 24), (906, [1e-30] * 24)]
+    short = [(910, [1.0, 2.0, 0.5]), (911, [1.0, 2.0, 0.5]), (912, [-1.0, 0.0, 3.0]), (913, [2.0, 4.0, 1.1]), (914, [7.0])]
+    frame = spark.createDataFrame(data + short, "id long, v array<float>")
     got = {r.key: (r.n_links, r.component) for r in rotation_codes.linked(frame, "id", "v").collect()}
-    assert got == brute_links([d for d in data if d[0] != 907]) | {907: (0, 907)}
+    assert got == brute_links(data) | brute_links(short[:4]) | {914: (0, 914)} and got[910] == (2, 910)
 
 
 def test_vector_links_on_the_table(spark):
@@ -116,6 +117,9 @@ def test_vector_links_on_the_table(spark):
     empty = spark.createDataFrame([(1, None)], "id long, v array<float>")
     assert [tuple(r) for r in rotation_codes.linked(empty, "id", "v").collect()] == [(1, 0, 1)]
     assert rotation_codes.linked(empty.filter("false"), "id", "v").count() == 0
+    odd = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (4, [1.0, 0.01])], "id long, v array<float>")
+    assert sorted((r.key or -1, r.n_links, r.component) for r in rotation_codes.linked(odd, "id", "v").collect()) == [
+        (-1, 3, 3), (3, 3, 3), (3, 3, 3), (4, 0, 4), (4, 3, 3)]
 
 
 def test_estimates_are_unbiased_and_bounded():
@@ -153,10 +157,10 @@ def test_top_k_matches_brute_force(spark, spread, shard):
 
 
 def test_top_k_odd_rows(spark):
-    rows = [(0, [1, 1]), (1, None), (2, [0, 0]), (3, [None, 1]), (4, [-1, -1]), (4, [-1, -1]), (None, [1, 1]), (6, [1])]
+    rows = [(0, [1, 1]), (1, None), (2, [0, 0]), (3, [None, 1]), (4, [-1, -1]), (4, [-1, -1]), (None, [1, 1]), (6, [1]), (7, []), (8, [2])]
     frame = spark.createDataFrame(rows, "vec_id long, t array<long>")
-    got = maxscore.top_k(frame, frame.filter("vec_id in (0, 1, 2)"), "vec_id", "t")
-    assert sorted(map(tuple, got.collect())) == [(0, 1, 2, 0), (0, 2, 4, -2), (2, 1, 0, 0), (2, 2, 4, 0)]
+    got = maxscore.top_k(frame, frame.filter("vec_id in (0, 1, 2, 6, 7)"), "vec_id", "t")
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 2, 0), (0, 2, 4, -2), (2, 1, 0, 0), (2, 2, 4, 0), (6, 1, 8, 2)]
     assert maxscore.top_k(frame.filter("false"), frame, "vec_id", "t").count() == 0
 
 
@@ -166,78 +170,80 @@ def test_top_k_repeated_rows(spark):
     rows[50] = [30] * 8
     want = brute_top(rows, range(0, 200, 10), 5)
     many = [*rows.items(), *[(50, rows[50])] * 5, *[(i, rows[i]) for i in range(0, 200, 3)]]
-    shard = maxscore.Shard(np.array([i for i, _ in many]), np.array([v for _, v in many]))
-    for own in range(0, 200, 10):
-        ids, scores = shard.top(np.array(rows[own]), own, 5)
-        assert [(own, n, i, s) for n, (i, s) in enumerate(zip(ids.tolist(), scores.tolist()), 1)] == [w for w in want if w[0] == own]
+    shard = maxscore.Shard(np.array([i for i, _ in many]), np.array([v for _, v in many]), np.zeros(len(many)), 32)
+    own = np.arange(0, 200, 10)
+    found = shard.top(np.array([rows[i] for i in own]), own, np.full(len(own), maxscore.NONE), 5)
+    assert [(q, n, i, x) for q, (ids, scores) in zip(own.tolist(), found)
+            for n, (i, x) in enumerate(zip(ids.tolist(), scores.tolist()), 1)] == want
     frame = spark.createDataFrame(many, "vec_id long, t array<long>")
     got = maxscore.top_k(frame, frame.filter("vec_id % 10 = 0"), "vec_id", "t", 5)
     assert sorted(map(tuple, got.collect())) == want
 
 
-def jaccard(a, b):
-    a, b = (set(zip(*[t.split()[i:] for i in range(5)])) for t in (a, b))
-    return len(a & b) / max(1, len(a | b))
+def test_most_records_are_never_scored():
+    """Under a third of records are scored in full, on clusters and without; blocks are skipped."""
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((40, 32))
+    for clustered in (True, False):
+        base = centres[rng.integers(0, 40, 4096)] + 0.2 * rng.standard_normal((4096, 32)) if clustered else rng.standard_normal((4096, 32))
+        rows = np.floor(256 * base / np.linalg.norm(base, axis=1, keepdims=True)).astype(np.int64)
+        near = ((rows[:, None, :] - np.round(centres * 45)) ** 2).sum(axis=2).argmin(axis=1)
+        shard = maxscore.Shard(np.arange(4096), rows, near, 128)
+        own, scores = np.arange(0, 4096, 50), rows @ rows.T
+        sample = np.arange(0, 4096, 4)
+        bars = np.array([np.sort(scores[q, sample[sample != q]])[-5] for q in own])
+        found = shard.top(rows[own], own, bars, 5)
+        for q, (ids, top) in zip(own, found):
+            others = sorted((-scores[q, i], i) for i in range(4096) if i != q)[:5]
+            assert list(zip((-top).tolist(), ids.tolist())) == others
+        assert shard.scored < len(own) * 4096 / 20
+        assert shard.skipped > len(own) * 4096 / 2 or not clustered
+
+
+@pytest.mark.parametrize("limit", [40, 1 << 14])
+def test_hot_anchors_are_cut(spark, limit):
+    """Thousands of fingerprints at one anchor: cut in blocks, and no link is lost."""
+    rng = np.random.default_rng(limit)
+    base = int(rng.integers(0, 2 ** 62))
+    fps = {base ^ sum(1 << int(b) for b in rng.choice(np.arange(21, 63), rng.integers(0, 12), replace=False)) for _ in range(700)}
+    fps = sorted(fps | {f ^ 1 for f in list(fps)[:200]})
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    want = {fps[i]: fps[r] for i, r in enumerate(roots(len(fps), links)) if i != r}
+    frame = spark.createDataFrame([(x,) for x in fps], "fp long")
+    found = simhash.fingerprint_links(frame, 4, limit=limit)
+    assert {r.node: r.root for r in common.components(found).collect()} == want
 
 
 def test_one_of_each_group_stays(spark):
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)]
-    texts = [" ".join(rng.choice(vocabulary, 200)) for _ in range(60)]
-    rows, near = [(i, t, "x") for i, t in enumerate(texts)], []
-    for i in range(30):
+    texts = [" ".join(rng.choice(vocabulary, 300)) for _ in range(60)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    for i in range(40):
         words = texts[i].split()
-        for at in rng.choice(200, 2, replace=False):
-            words[at] = "changed"
+        words[int(rng.integers(0, 300))] = "changed"
         rows.append((100 + i, " ".join(words), "y"))
-        assert jaccard(texts[i], rows[-1][1]) >= 0.8
-    rows += [(200, texts[3], "z"), (5, texts[5], "again"), (None, texts[7], "n"), (None, None, "n")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, _key string")
-    left = [r.doc_id for r in simhash.one_of_each(frame.withColumnRenamed("_key", "fp"), "doc_id", "text").collect()]
-    assert sorted(x for x in left if x is not None and x < 100) == list(range(60))
-    assert left.count(None) == 2 and 200 not in left
-    assert sum(x is not None and x >= 100 for x in left) <= 2
-
-
-def test_covers_find_all_close_pairs():
+    rows += [(200, texts[3], "z"), (5, texts[5], "again"), (None, texts[7], "n"), (None, None, "n"), (201, "", "e"), (202, None, "e")]
+    keyed = [(k, t) for k, t, _ in rows if k is not None]
+    prints = [brute_print(t, 4) for _, t in keyed]
+    order = sorted(range(len(keyed)), key=lambda i: keyed[i][0])
+    links = [(a, b) for a in range(len(order)) for b in range(a)
+             if (prints[order[a]] ^ prints[order[b]]).bit_count() <= 4]
+    tops = roots(len(order), links)
+    want = sorted({keyed[order[t]][0] for t in tops})
+    frame = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    left = [r.doc_id for r in simhash.one_of_each(frame, "doc_id", "text", 4, 4).collect()]
+    assert sorted(x for x in left if x is not None) == want and left.count(None) == 2
+    assert 200 not in left and 202 not in left and 60 <= len(want) < len(keyed) - 5
+    assert simhash.one_of_each(frame.filter("false"), "doc_id", "text", 4, 4).count() == 0
+
+
+def test_the_cover_finds_all_close_pairs():
     rng = np.random.default_rng(9)
-    for cover in (simhash.NARROW, simhash.WIDE):
-        fps = rng.integers(-2 ** 63, 2 ** 63 - 1, 200)
-        flips = [np.bitwise_xor.reduce(np.int64(1) << rng.choice(64, cover.most, replace=False).astype(np.int64)) for _ in fps]
-        other = fps ^ np.array(flips)
-        (i, a, home), (j, b, _) = simhash.at_anchors(fps, cover), simhash.at_anchors(other, cover)
-        homes, near = set(zip(i[home].tolist(), a[home].tolist())), set(zip(j.tolist(), b.tolist()))
-        assert {x for x, _ in homes & near} == set(range(200))
-
-
-def test_near_dedup_matches_exact_jaccard(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "SAMPLE", 4)
-    rng = np.random.default_rng(1)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    line = " ".join(rng.choice(vocabulary, 12))  # a very common line
-    texts = []
-    for group, changed in enumerate([8] * 30 + [6] * 30 + [5] * 30):  # similarity about 0.65 to 0.85
-        words = rng.choice(vocabulary, 200).tolist()
-        texts.append(" ".join(words))
-        for _ in range(1 + group % 3):
-            other = list(words)
-            for at in rng.choice(195 // 5, changed - rng.integers(0, 3), replace=False) * 5:
-                other[at] = f"new{len(texts)}"
-            texts.append(" ".join(other))
-    base = rng.choice(vocabulary, 150).tolist()
-    for i in range(60):  # a large group, and texts that meet it below 0.8
-        other = list(base)
-        for at in rng.choice(150, 1 if i < 40 else 9, replace=False):
-            other[at] = f"far{i}"
-        texts.append(" ".join(other))
-    texts += [line + " " + " ".join(rng.choice(vocabulary, rng.integers(1, 60))) for _ in range(80)]
-    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
-    shared = [(i, j, len(sets[i] & sets[j])) for i in range(len(texts)) for j in range(i)]
-    sims = [(i, j, n / (len(sets[i]) + len(sets[j]) - n)) for i, j, n in shared if n]
-    assert all(sum(low <= s < low + 0.05 for *_, s in sims) >= 5 for low in (0.7, 0.75, 0.8, 0.85))
-    want = roots(len(texts), [(i, j) for i, j, s in sims if s >= 0.8])
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.key: r.component for r in overlap.similar_groups(frame, "doc_id", "text", 5, 0.8).collect()}
-    assert got == dict(enumerate(want))
-    left = simhash.one_of_each(frame, "doc_id", "text").select("doc_id").collect()
-    assert sorted(r.doc_id for r in left) == sorted(set(want))
+    cover = simhash.NARROW
+    fps = rng.integers(-2 ** 63, 2 ** 63 - 1, 200)
+    flips = [np.bitwise_xor.reduce(np.int64(1) << rng.choice(64, cover.most, replace=False).astype(np.int64)) for _ in fps]
+    other = fps ^ np.array(flips)
+    (i, a, home), (j, b, _) = simhash.at_anchors(fps, cover), simhash.at_anchors(other, cover)
+    homes, near = set(zip(i[home].tolist(), a[home].tolist())), set(zip(j.tolist(), b.tolist()))
+    assert {x for x, _ in homes & near} == set(range(200))
