@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.numeric import bound
 from ..session import cut_lineage
 from .joins import skewed_join
+from .prefilter import may_match
 
 GRAM = 4
+SIDE = 3  # characters of a phrase on either side of its first space
 
 
 def grams(text: Column, n: Column | int) -> Column:
@@ -61,29 +63,77 @@ def windows(text: Column, words: int) -> Column:
     with one space less is in the text exactly if it is in one of them."""
     def runs(parts):
         count = F.size(parts) - words + 1
-        every = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(parts, i, F.lit(words)), " "))
+        # pieces by their place: slice() would copy the whole list for every run
+        every = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat_ws(
+            " ", *[F.get(parts, i + F.lit(n - 1)) for n in range(words)]))
         return F.when(count > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
     parts = F.split(text, " ")
     return F.array_distinct(parts) if words == 1 else bound(parts, runs)
 
 
+def seam(text: Column, before: Column | int, after: Column | int) -> Column:
+    """The piece around a text's first space, with so many characters on either side; null where
+    the text has fewer."""
+    before, after = (F.lit(n) if isinstance(n, int) else n for n in (before, after))
+    at = F.instr(text, " ")
+    return F.when((at > before) & (F.length(text) - at >= after), F.substr(text, at - before, before + 1 + after))
+
+
+def short_words(df: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
+    """``_key, _phrase``: phrases of one word, shorter than ``GRAM``, are pieces of words themselves:
+    each key's different pieces are made where its text is read, and meet the phrases as they are."""
+    sizes = sorted(r.n for r in asked.select(F.length("_phrase").alias("n")).distinct().collect())  # three at most
+    pieces = F.array_distinct(F.flatten(F.transform(
+        windows(F.lower(text), 1), lambda w: F.concat(*[grams(w, n) for n in sizes or [1]]))))
+    held = df.select(F.col(key).alias("_key"), F.explode(pieces).alias("_phrase"))
+    met = cut_lineage(may_match(held, asked.select("_phrase"), "_phrase").filter("_may").drop("_may"))
+    return skewed_join(met, asked.select("_phrase").distinct(), "_phrase", F.col("_key")).select("_key", "_phrase")
+
+
+def word_runs(df: DataFrame, key: str, text: str, asked: DataFrame, words: int) -> DataFrame:
+    """``_key, _phrase``: a phrase of several words lies in a run of as many with its first space on
+    the run's first. Only runs that have a phrase's piece around that space leave the scan."""
+    at = F.instr("_phrase", F.lit(" "))
+    shape = F.struct(F.least(at - 1, F.lit(SIDE)).alias("before"),
+                     F.least(F.length("_phrase") - at, F.lit(SIDE)).alias("after"))
+    shaped = cut_lineage(asked.select("_phrase", shape.alias("_shape")).distinct().withColumn(
+        "_seam", seam(F.col("_phrase"), F.col("_shape.before"), F.col("_shape.after"))))
+    shapes = [r.s for r in shaped.select(F.col("_shape").alias("s")).distinct().collect()]  # (SIDE + 1)^2 at most
+    runs = df.select(F.col(key).alias("_key"), F.explode(windows(F.lower(text), words)).alias("_run"))
+    seams = F.array_compact(F.array(*[seam(F.col("_run"), s.before, s.after) for s in shapes]))
+    pieces = runs.select("_key", "_run", F.explode(seams).alias("_seam"))
+    met = cut_lineage(may_match(pieces, shaped.select("_seam"), "_seam").filter("_may").drop("_may"))
+    pairs = skewed_join(met, shaped.select("_seam", "_phrase"), "_seam", F.xxhash64("_key", "_run"))
+    return pairs.filter(F.contains("_run", "_phrase")).select("_key", "_phrase")
+
+
+def long_words(df: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
+    """``_key, _phrase``: of phrases of one word, ``GRAM`` characters or more, the different words of
+    all texts are searched once."""
+    runs = cut_lineage(df.select(F.col(key).alias("_key"), F.explode(windows(F.lower(text), 1)).alias("_run")))
+    found = contained(runs, asked, [], "_run", "_phrase")
+    return skewed_join(runs, cut_lineage(found), "_run", F.col("_key")).select("_key", "_phrase")
+
+
 def contains_any(df: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
     """``key, phrase``: each key beside each phrase that its text contains, case aside, for any
     number of phrases.
 
-    Texts are cut in different runs of as many words as phrases have, in the stage that reads
-    them, and only those cross exchanges; the different runs of all texts are searched once. One
-    pass is made for each number of words that phrases have.
+    Texts are cut, in the stage that reads them, in different runs of as many words as phrases
+    have; only runs and pieces of words cross exchanges, and of those, where phrases say enough of
+    them, only such as a phrase can be in. One pass is made for each number of words that phrases
+    have, two for phrases of one word.
     """
     asked = phrases.select(F.lower(phrase).alias("_phrase"), F.col(phrase).alias("_as")).filter(F.length("_phrase") > 0).distinct()
     words = F.length("_phrase") - F.length(F.replace("_phrase", F.lit(" "), F.lit(""))) + 1
-    asked = cut_lineage(asked.withColumn("_words", words))
+    short = (words == 1) & (F.length("_phrase") < GRAM)
+    asked = cut_lineage(asked.withColumn("_words", F.when(short, 0).otherwise(words)))
     out = None
     for n in sorted(r.n for r in asked.select(F.col("_words").alias("n")).distinct().collect()):
-        runs = cut_lineage(df.select(F.col(key).alias("_key"), F.explode(windows(F.lower(text), n)).alias("_run")))
-        found = contained(runs, asked.filter(F.col("_words") == n), [], "_run", "_phrase")
-        each = skewed_join(runs, cut_lineage(found), "_run", F.col("_key")).select("_key", "_phrase")
+        own = asked.filter(F.col("_words") == n)
+        each = (short_words(df, key, text, own) if n == 0 else long_words(df, key, text, own) if n == 1
+                else word_runs(df, key, text, own, n))
         out = each if out is None else out.union(each)
     if out is None:
         return df.select(F.col(key), F.lit(None).cast("string").alias(phrase)).limit(0)
