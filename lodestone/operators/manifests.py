@@ -84,11 +84,27 @@ def gomod_names(text: Column) -> Column:
     return both(F.array_union(blocks, every(text, GO_SINGLE)))
 
 
+def read_json(text: Column, quick, slow) -> Column:
+    """``quick(variant)`` of a text that is strict JSON with an object at its root, where it is
+    not null; of any other text ``slow(text)``, by ``from_json``, which reads more and costs a
+    multiple."""
+    strict = F.when(text.rlike(r"\A\s*+\{"), F.try_parse_json(text))
+    return bound(strict, lambda v: F.coalesce(F.when(v.isNotNull(), quick(v)), slow(text)))
+
+
 def godeps_names(text: Column) -> Column:
     """Import paths and their first three segments; shorter paths have no other form."""
-    parsed = F.from_json(text, "Deps array<struct<ImportPath: string>>")
-    found = F.filter(F.coalesce(parsed["Deps"]["ImportPath"], empty()),
-                     lambda p: p.isNotNull() & (p != ""))
+    def quick(v):
+        # only where every path is a string: of other values the spelling would change
+        listed = F.try_variant_get(v, "$.Deps", "variant")
+        plain = F.schema_of_variant(listed).rlike(r"\AARRAY<OBJECT<[^<`]*\bImportPath: STRING[,>]")
+        return F.when(plain, F.try_variant_get(listed, "$", "array<struct<ImportPath: string>>")["ImportPath"])
+
+    def slow(text):
+        parsed = F.from_json(text, "Deps array<struct<ImportPath: string>>")
+        return F.coalesce(parsed["Deps"]["ImportPath"], empty())
+
+    found = F.filter(read_json(text, quick, slow), lambda p: p.isNotNull() & (p != ""))
     return both(with_variant(found, lambda p: F.substring_index(p, "/", 3)))
 
 
@@ -97,12 +113,17 @@ NPM_SCHEMA = ", ".join(f"{f} map<string, string>" for f in NPM_FIELDS)
 
 
 def npm_names(text: Column) -> Column:
-    def keys(parsed, *fields):
-        listed = F.array(*[F.map_keys(parsed[f]) for f in fields])
-        return F.array_distinct(F.flatten(F.array_compact(listed)))
+    def listed(maps):
+        def keys(*fields):
+            each = F.array(*[F.map_keys(maps(f)) for f in fields])
+            return F.array_distinct(F.flatten(F.array_compact(each)))
+
+        return both(keys(*NPM_FIELDS[:3]), keys(NPM_FIELDS[3]))
+
+    def quick(v):
+        return listed(lambda f: F.try_variant_get(v, f"$.{f}", "map<string, variant>"))
 
-    return bound(F.from_json(text, NPM_SCHEMA),
-                 lambda p: both(keys(p, *NPM_FIELDS[:3]), keys(p, NPM_FIELDS[3])))
+    return read_json(text, quick, lambda t: bound(F.from_json(t, NPM_SCHEMA), lambda p: listed(lambda f: p[f])))
 
 
 def requirements_names(text: Column) -> Column:
