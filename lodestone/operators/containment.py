@@ -30,21 +30,34 @@ def grams(text: Column, n: Column | int) -> Column:
         F.transform(at, lambda i: F.substr(text, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
-def contained(texts: DataFrame, phrases: DataFrame, on: Sequence[str], text: str, phrase: str) -> DataFrame:
+def spelled(texts: DataFrame, text: str, sizes: Sequence[int]) -> DataFrame:
+    """``texts`` beside ``_gram``, each different piece of a text of one of the ``sizes``: the one at
+    its first place. Pieces are made as rows, which Spark compiles; a list of them it would not."""
+    least, at = min(sizes), F.col("_at")
+    places = texts.filter(F.length(text) >= least).withColumn(
+        "_at", F.explode(F.sequence(F.lit(1), F.length(text) - least + 1)))
+    cut = [F.when(F.length(text) - at + 1 >= n, F.substr(F.col(text), at, F.lit(n))) for n in sizes]
+    pieces = places.withColumn("_gram", cut[0] if len(cut) == 1 else F.explode(F.array(*cut)))
+    return pieces.filter(F.instr(text, F.col("_gram")) == at).drop("_at")
+
+
+def contained(texts: DataFrame, phrases: DataFrame, on: Sequence[str], text: str, phrase: str,
+              different: bool = False) -> DataFrame:
     """``on, text, phrase``: each different text beside each different phrase that occurs in it
     and agrees with it in the columns ``on``.
 
     Meant for short texts (names, words, lines): rows grow with their length. ``phrases`` are read
     several times, so pass a table. Empty phrases and nulls meet nothing. A phrase shorter than
-    four characters is its own gram. Grams of very many texts are spread.
+    four characters is its own gram. Grams of very many texts are spread. ``different`` says that
+    no two rows of ``texts`` agree in ``on`` and ``text``.
     """
-    held = texts.select(*on, F.col(text).alias("_text")).distinct()
+    held = texts.select(*on, F.col(text).alias("_text"))
+    held = held if different else held.distinct()
     asked = phrases.select(*on, F.col(phrase).alias("_phrase")).filter(F.length("_phrase") > 0).distinct()
     size = F.least(F.length("_phrase"), F.lit(GRAM))
     sizes = sorted(r.n for r in asked.select(size.alias("n")).distinct().collect())  # four values at most
-    spelled = F.concat(*[grams(F.col("_text"), n) for n in sizes or [GRAM]])
     place = F.struct(*on, "_gram").alias("_place")
-    pieces = held.select(*on, "_text", F.explode(spelled).alias("_gram")).select(*on, "_text", place)
+    pieces = spelled(held, "_text", sizes or [GRAM]).select(*on, "_text", place)
     wanted = asked.select(*on, "_phrase", F.explode(grams(F.col("_phrase"), size)).alias("_gram")).select("_phrase", place, *on)
     # texts are spelled out once, and what is kept of that has a gram of some phrase
     kept = cut_lineage(pieces.join(wanted.select("_place").distinct(), "_place", "left_semi"))

@@ -247,10 +247,13 @@ def term_hits(files: DataFrame, deps: DataFrame) -> DataFrame:
     does not.
     """
     names = cut_lineage(names_in(files))
-    terms = term_rows(deps).select("repo", "dep", F.lower("term").alias("term"))
-    met = contained(names, terms, ["repo"], "name", "term").join(terms, ["repo", "term"]).select(
+    # the different names are counted once: for the search, and for the join with the files
+    counts = cut_lineage(names.groupBy("repo", "name").agg(F.count(F.lit(1)).alias("_n")))
+    terms = cut_lineage(term_rows(deps).select("repo", "dep", F.lower("term").alias("term")))
+    met = contained(counts, terms, ["repo"], "name", "term", different=True).join(terms, ["repo", "term"]).select(
         F.struct("repo", "name").alias("_at"), "dep").distinct()
-    return skewed_join(names.select(F.struct("repo", "name").alias("_at"), "path"), cut_lineage(met), "_at", F.col("path")).select(
+    return skewed_join(names.select(F.struct("repo", "name").alias("_at"), "path"), cut_lineage(met), "_at", F.col("path"),
+                       rows_of=counts.select(F.struct("repo", "name").alias("_at"), "_n")).select(
         "_at.repo", "path", "dep").distinct()
 
 
