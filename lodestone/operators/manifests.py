@@ -19,8 +19,8 @@ from .containment import contained
 from .joins import normalised
 
 # Formats of manifest lines and blocks. ``(?d)`` makes only "\n" end a line.
-TOML_PROD_BLOCK = r"(?dms)^\[(?:build-)?dependencies(?:\.[^\]]+)?\](.*?)(?=^\[|\z)"
-TOML_DEV_BLOCK = r"(?dms)^\[dev-dependencies(?:\.[^\]]+)?\](.*?)(?=^\[|\z)"
+TOML_PROD_BLOCK = r"(?dm)^\[(?:build-)?dependencies(?:\.[^\]]+)?\]((?:[^\n]++|\n(?!\[))*+)"
+TOML_DEV_BLOCK = r"(?dm)^\[dev-dependencies(?:\.[^\]]+)?\]((?:[^\n]++|\n(?!\[))*+)"
 TOML_ENTRY = r"(?dm)^[^\S\n]*([a-zA-Z0-9_\-]+)[^\S\n]*[=.]"
 GO_BLOCK = r"require\s*\(([^)]+)\)"
 GO_BLOCK_ENTRY = r"(?dm)^[^\S\n]*(?!//)(\S+)"
@@ -144,18 +144,17 @@ def dotnet_names(text: Column) -> Column:
 
 def manifest_kind(path: Column) -> Column:
     """Which extractor reads a file; null where none does."""
-    name = F.substring_index(path, "/", -1)
-
     def outside(kind):
         return ~F.arrays_overlap(parts(path), words(MANIFEST_SKIP[kind]))
 
-    return (F.when((name == "Cargo.toml") & outside("cargo"), "toml")
-            .when((name == "go.mod") & outside("go"), "gomod")
-            .when(name == "Godeps.json", "godeps")
-            .when((name == "package.json") & outside("npm"), "npm")
-            .when(name.rlike(r"^requirements.*\.txt$"), "requirements")
-            .when(name == "pyproject.toml", "pyproject")
-            .when(name.rlike(r"\.(csproj|fsproj)$"), "dotnet"))
+    return bound(F.substring_index(path, "/", -1), lambda name: (
+        F.when((name == "Cargo.toml") & outside("cargo"), "toml")
+        .when((name == "go.mod") & outside("go"), "gomod")
+        .when(name == "Godeps.json", "godeps")
+        .when((name == "package.json") & outside("npm"), "npm")
+        .when(name.rlike(r"^requirements.*\.txt$"), "requirements")
+        .when(name == "pyproject.toml", "pyproject")
+        .when(name.rlike(r"\.(csproj|fsproj)$"), "dotnet")))
 
 
 EXTRACTORS = {
@@ -169,14 +168,34 @@ EXTRACTORS = {
 }
 
 
+def coded(dep: Column) -> tuple[Column, Column]:
+    """A name as a spelling without dashes, where it has no underscore, and which of the two
+    it is: 1 the spelling itself, 2 the one with dashes. Different names differ in one of them."""
+    dashed = F.contains(dep, F.lit("-")) & ~F.contains(dep, F.lit("_"))
+    return F.when(dashed, snake(dep)).otherwise(dep), F.when(dashed, 2).otherwise(1)
+
+
+def decoded(dep: Column, forms: Column) -> Column:
+    """The names of a spelling, of the sum of their forms."""
+    dashes = F.replace(dep, F.lit("_"), F.lit("-"))
+    return (F.when(forms == 3, F.array(dep, dashes)).when(forms == 2, F.array(dashes))
+            .otherwise(F.array(dep)))
+
+
 def exploded(df: DataFrame, names: Column, key: str = "repo") -> DataFrame:
     """Distinct ``(key, dep, is_dev)``. Names shuffle by project and name together, so one
-    project with very many manifests still spreads."""
-    def tagged(names, is_dev):
-        return F.transform(names, lambda n: F.struct(n.alias("dep"), F.lit(is_dev).alias("is_dev")))
+    project with very many manifests still spreads; a name with dashes and the same with
+    underscores are one row until they are distinct."""
+    def lists(n):
+        return F.array(*[F.struct(n[name].alias("deps"), F.lit(name == "dev").alias("is_dev"))
+                         for name in ("prod", "dev")])
 
-    listed = bound(names, lambda n: F.concat(tagged(n["prod"], False), tagged(n["dev"], True)))
-    return df.select(key, F.inline(listed)).distinct()
+    dep, form = coded(F.col("dep"))
+    found = (df.select(key, F.inline(bound(names, lists)))
+             .select(key, F.explode("deps").alias("dep"), "is_dev")
+             .select(key, dep.alias("dep"), "is_dev", form.alias("form"))
+             .groupBy(key, "dep", "is_dev").agg(F.bit_or("form").alias("forms")))
+    return found.select(key, F.explode(decoded(F.col("dep"), F.col("forms"))).alias("dep"), "is_dev")
 
 
 def extract(files: DataFrame, kind: str, key: str = "repo", content: str = "content") -> DataFrame:
@@ -186,10 +205,11 @@ def extract(files: DataFrame, kind: str, key: str = "repo", content: str = "cont
 
 def extract_all(files: DataFrame, key: str = "repo") -> DataFrame:
     """Union of all extractors over one scan of ``key, path, content``."""
-    kinds = files.select(key, "content", manifest_kind(F.col("path")).alias("kind")) \
-        .filter("kind IS NOT NULL")
-    names = F.coalesce(*[F.when(F.col("kind") == k, f(F.col("content"))) for k, f in EXTRACTORS.items()])
-    return exploded(kinds, names, key)
+    def names(kind):
+        return F.coalesce(*[F.when(kind == k, f(F.col("content"))) for k, f in EXTRACTORS.items()])
+
+    # No filter on the kind: it would be pushed below the path and name it at each mention.
+    return exploded(files, bound(manifest_kind(F.col("path")), names), key)
 
 
 def lock_packages(content: Column) -> dict[str, Column]:
