@@ -60,10 +60,11 @@ def typed_payloads(landed: DataFrame) -> DataFrame:
     for kind, name, path, type_ in FIELDS:
         own = F.col("kind") == kind
         value, raw = F.try_variant_get("v", path, type_), F.try_variant_get("v", path, "variant")
-        wrong = own & there(raw) & value.isNull()
+        # The value first: where it fits, which is nearly everywhere, the raw one is never read.
+        wrong = own & value.isNull() & there(raw)
         misfits.append(F.when(wrong, F.struct(F.lit(path).alias("path"), F.to_json(raw).alias("found"))))
         kept = F.size(value).cast("bigint") if name in COUNTED else F.array_sort(F.map_entries(value)) if name == "languages" else value
-        fields.append(F.when(own & value.isNotNull(), kept).alias(name))
+        fields.append(F.when(own & value.isNotNull() if name in COUNTED else own, kept).alias(name))
     for name in COMMUNITY_FILES:
         given = there(F.try_variant_get("v", f"$.files.{name}", "variant"))
         fields.append(F.when(F.col("kind") == "community", given).alias(f"has_{name}"))
