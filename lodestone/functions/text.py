@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,6 +65,11 @@ def mentions(found: Column, wanted: Sequence[str], phrases: Sequence[str]) -> Co
     return F.arrays_overlap(found, F.array(*[F.lit(p) for p in longer]))
 
 
+def contains_one(text: Column, phrases: Sequence[str]) -> Column:
+    """Is any of the phrases in the text? Looked for one by one, up to the first that is."""
+    return reduce(or_, [F.contains(text, F.lit(p)) for p in phrases if p], F.lit(False))
+
+
 def counted(found: Column, wanted: Sequence[str], phrases: Sequence[str]) -> Column:
     return total([mentions(found, [p], phrases).cast("int") for p in wanted] or [F.lit(0)])
 
@@ -108,7 +115,8 @@ def classify(name: Column, description: Column, topics: Column, language: Column
 
     A known name decides alone and carries no bonus. Otherwise the first rule wins that
     has a phrase in the text and admits the language; a rule that fails its language gate
-    leaves the later ones in play. Null text counts as empty.
+    leaves the later ones in play. Null text counts as empty. Few phrases are looked for rule
+    by rule, so those of later rules only where no earlier one holds.
     """
     by_name = fixed.CATEGORY_BY_NAME if by_name is None else by_name
     known = {n: category for category, names in by_name.items() for n in names}
@@ -119,16 +127,20 @@ def classify(name: Column, description: Column, topics: Column, language: Column
 
     every = sorted({p for _, _, phrases, _ in rules for p in phrases})
 
-    def first_rule(found):
+    def first_rule(among):
         ruled = F.when(F.lit(False), outcome(fixed.DEFAULT_CATEGORY, 0.0))
         for category, bonus, phrases, languages in rules:
-            hit = mentions(found, phrases, every)
+            hit = among(phrases)
             if languages:
                 hit = F.coalesce(language.isin(list(languages)), F.lit(False)) & hit
             ruled = ruled.when(hit, outcome(category, bonus))
         return ruled.otherwise(outcome(fixed.DEFAULT_CATEGORY, 0.0))
 
-    ruled = bound(phrases_in(F.lower(text), every), first_rule)
+    if len([p for p in every if p]) <= FEW_PHRASES:
+        ruled = bound(F.lower(text), lambda t: first_rule(lambda wanted: contains_one(t, wanted)))
+    else:
+        ruled = bound(phrases_in(F.lower(text), every), lambda found: first_rule(
+            lambda wanted: mentions(found, wanted, every)))
     if not known:
         return ruled
     named = lookup(name, known, None)

@@ -46,7 +46,7 @@ def producer_raw(edges: DataFrame, nodes: DataFrame, passes: int = 2) -> DataFra
     if passes < 1:
         raise ValueError("passes must be at least 1")
     links = cut_lineage(known_edges(edges, nodes))
-    arriving = links.groupBy("dst").agg(F.sum("n").cast("double").alias("w"))
+    arriving = cut_lineage(links.groupBy("dst").agg(F.sum("n").cast("double").alias("w")))
     for _ in range(1, passes):
         best = arriving.agg(F.max("w").alias("top")).scalar()
         scores = arriving.select(F.col("dst").alias("src"),
