@@ -17,6 +17,9 @@ from ..session import cut_lineage
 MOST_LABELS = 64
 MOST_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of texts that a Python worker is sent at once, and the setting that says so.
+BATCH_BYTES = 1 << 21
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,7 +31,21 @@ def md5_bits(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
 
 
-def chunks_of(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session from now on sends rows to Python in batches that end at ``BATCH_BYTES``
+    (the row that reaches it is the last), unless it has a size of its own set.
+
+    Spark's own limits, 64 MiB and 10,000 rows, put a whole scan task's texts in one batch: in the
+    executor's buffers, which it keeps, in the worker, and again on the way back. How rows are cut
+    in batches changes no result.
+    """
+    conf = docs.sparkSession.conf
+    if BATCH_SETTING not in conf.getAll:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return docs
+
+
+def chunks_of(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
     """(position of the first, texts) in pieces of about ``limit`` characters; null is ''.
 
     A longer text comes alone and whole, so memory follows the longest text at most.
@@ -83,7 +100,9 @@ def fitted(sample: DataFrame, train: Callable[[list[tuple]], object]) -> object:
 
 
 def text_beside(docs: DataFrame, text: str, keep: Sequence[str]) -> tuple[DataFrame, int]:
-    """(the kept columns and the text, the text's place); a kept text is not sent twice."""
+    """(the kept columns and the text, the text's place); a kept text is not sent twice, and rows
+    come in ``small_batches``."""
+    docs = small_batches(docs)
     if text in keep:
         return docs.select(*keep), list(keep).index(text)
     return docs.select(*keep, F.col(text).alias("_text")), len(keep)

@@ -19,13 +19,19 @@ class Weights:
     start: np.ndarray
 
 
+RUNS = 1 << 12
+
+
 def ragged_sum(values: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sum of ``values[flat]`` over runs of the given lengths; an empty run sums to 0."""
+    """Sum of ``values[flat]`` over runs of the given lengths; an empty run sums to 0. So many
+    runs at a time, as ``values[flat]`` is many times the result."""
     out = np.zeros((len(counts), values.shape[1]), values.dtype)
     some = np.flatnonzero(counts)
-    if len(some):
-        starts = (np.cumsum(counts) - counts)[some]
-        out[some] = np.add.reduceat(values[flat], starts, axis=0)
+    starts, ends = (np.cumsum(counts) - counts)[some], np.cumsum(counts)[some]
+    for at in range(0, len(some), RUNS):
+        part = slice(at, at + RUNS)
+        first = starts[at]
+        out[some[part]] = np.add.reduceat(values[flat[first:ends[part][-1]]], starts[part] - first, axis=0)
     return out
 
 
@@ -43,7 +49,8 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, w: Weights, pairs: bool
     order = np.argsort(-lengths, kind="stable")
     starts, lens = (np.cumsum(lengths) - lengths)[order], lengths[order]
     going = np.searchsorted(-lens, -np.arange(lens[0]), "left")
-    e = np.exp(emission - emission.max(axis=1, keepdims=True))
+    e = emission - emission.max(axis=1, keepdims=True)
+    np.exp(e, out=e)
     step = np.exp(w.transition - w.transition.max()).astype(e.dtype)
     alpha = np.empty_like(e)
     a = e[starts] * (np.exp(w.start - w.start.max()) if enter is None else enter[order]).astype(e.dtype)
@@ -53,7 +60,7 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, w: Weights, pairs: bool
             a = (a[:going[t]] @ step) * e[at]
         a = a / a.sum(axis=1, keepdims=True)
         alpha[at] = a
-    out = np.empty_like(e)
+    out = alpha  # a step back reads what lies before it only
     b = np.ones((len(lens), labels), e.dtype) if leave is None else leave[order].astype(e.dtype)
     expected = np.zeros((labels, labels))
     for t in range(lens[0] - 1, -1, -1):
@@ -123,8 +130,6 @@ def fit(flat: np.ndarray, counts: np.ndarray, item: np.ndarray, lengths: np.ndar
     item ``item[p]`` and has label ``label[p]``. ``weight`` weighs positions.
     """
     w = [np.zeros((features, labels)), np.zeros((labels, labels)), np.zeros(labels)]
-    truth = np.zeros((len(label), labels))
-    truth[np.arange(len(label)), label] = 1
     weight = np.ones(len(label)) if weight is None else weight
     inside = np.ones(len(label), bool)
     first = np.cumsum(lengths) - lengths
@@ -135,9 +140,9 @@ def fit(flat: np.ndarray, counts: np.ndarray, item: np.ndarray, lengths: np.ndar
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in w]
     n, owner = weight.sum(), np.repeat(np.arange(len(counts)), counts)
     for turn in range(1, rounds + 1):
-        scores = ragged_sum(w[0], flat, counts)[item]
-        gamma, expected = marginals(scores, lengths, Weights(*w), pairs=True)
-        slope = (gamma - truth) * weight[:, None]
+        slope, expected = marginals(ragged_sum(w[0], flat, counts)[item], lengths, Weights(*w), pairs=True)
+        slope[np.arange(len(label)), label] -= 1
+        slope *= weight[:, None]
         by_item = np.stack([np.bincount(item, slope[:, k], len(counts)) for k in range(labels)], 1)
         grads = [np.stack([np.bincount(flat, by_item[owner, k], features) for k in range(labels)], 1) / n
                  + ridge * w[0], (expected - seen) / n + ridge * w[1], slope[first].sum(axis=0) / n]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .common import small_batches
 
 GROUP_ROWS = 4096
 SPECIAL = "<|endoftext|>"
@@ -166,4 +167,4 @@ def tokenise(docs: DataFrame, text: str, path: str, keep: Sequence[str], end: in
             if picks:
                 yield made(batch, picks, starts, lengths, totals, blobs)
 
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(run, schema)
+    return small_batches(docs).select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import skewed_join
 from ..session import cut_lineage
-from .common import components, unite
+from .common import components, small_batches, unite
 
 SEED = 42
 CODE = 15
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    return small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
 
 
 def steps_to_anchors(width: int, radius: int) -> list[np.ndarray]:
