@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import skewed_join
 from ..session import cut_lineage
-from .common import components, unite
+from .common import components, small_batches, unite
 
 SAMPLE = 16_384
 CELL_ROWS = 4096
+LEAST_ROWS = 256  # of a tile, where vectors are long
+TILE_BYTES = 1 << 22
+HELD = 1 << 20  # links and edges a task holds before it sums them up
 CELLS = 1024
 ROUNDS = 5
 SEED = 7
@@ -92,15 +95,16 @@ def matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def compare_block(home: np.ndarray, home_id: np.ndarray, other: np.ndarray, other_id: np.ndarray,
-                  copies: np.ndarray, codes: np.ndarray, factor: np.ndarray, threshold: float,
-                  width: float | None, turn: np.ndarray, rows: int = 512):
-    """Links of home vectors to others: (links of each home vector, its copies counted; child
-    and parent ids of a forest over the linked). Codes decide, exact cosines confirm."""
+def compare_block(home: np.ndarray, home_id: np.ndarray, home_copies: np.ndarray, other: np.ndarray,
+                  other_id: np.ndarray, copies: np.ndarray, codes: np.ndarray, factor: np.ndarray,
+                  threshold: float, width: float | None, turn: np.ndarray, rows: int = 512):
+    """Links of home vectors to others: (links of each home vector, copies of the others counted;
+    links of each other vector, home copies counted; child and parent ids of a forest over the
+    linked). Codes decide, exact cosines confirm."""
     d = home.shape[1]
     ids, index = np.unique(np.r_[home_id, other_id], return_inverse=True)
     at_home, at_other = index[:len(home_id)], index[len(home_id):]
-    parent, links = np.arange(len(ids)), np.zeros(len(home_id), np.int64)
+    parent, links, back = np.arange(len(ids)), np.zeros(len(home_id), np.int64), np.zeros(len(other_id), np.int64)
     signs = corners(codes, d).T.copy()
     floor = least_estimate(factor, threshold, d, width).astype(np.float32)
     turned = (home @ turn).astype(np.float32)
@@ -114,9 +118,81 @@ def compare_block(home: np.ndarray, home_id: np.ndarray, other: np.ndarray, othe
             near = np.einsum("nd,nd->n", home[a], other[b]) >= threshold
             a, b = a[near], b[near]
             links += np.bincount(a, weights=copies[b], minlength=len(links)).astype(np.int64)
+            back += np.bincount(b, weights=home_copies[a], minlength=len(back)).astype(np.int64)
             parent = unite(parent, at_home[a], at_other[b])
     child = np.flatnonzero(parent != np.arange(len(ids)))
-    return links, ids[child], ids[parent[child]]
+    return links, back, ids[child], ids[parent[child]]
+
+
+class Found:
+    """What a task has found in its pairs of tiles, an id once: its links are summed, and of the
+    pairs of linked ids a forest is kept. Memory follows the ids that the task has met."""
+
+    def __init__(self):
+        self.links, self.edges, self.room = [], [], HELD
+
+    def add(self, ids: np.ndarray, links: np.ndarray, child: np.ndarray, root: np.ndarray) -> None:
+        some = np.flatnonzero(links)
+        self.links.append((ids[some], links[some]))
+        self.edges.append((child, root))
+        if self.size() > self.room:
+            self.fold()
+            self.room = max(HELD, 2 * self.size())
+
+    def size(self) -> int:
+        return sum(len(a) for a, _ in self.links) + sum(len(a) for a, _ in self.edges)
+
+    def fold(self) -> None:
+        ids, n = (np.concatenate(x) for x in zip(*self.links))
+        ids, at = np.unique(ids, return_inverse=True)
+        self.links = [(ids, np.bincount(at, weights=n, minlength=len(ids)).astype(np.int64))]
+        child, root = (np.concatenate(x) for x in zip(*self.edges))
+        ids, at = np.unique(np.r_[child, root], return_inverse=True)
+        parent = unite(np.arange(len(ids)), at[:len(child)], at[len(child):])
+        child = np.flatnonzero(parent != np.arange(len(ids)))
+        self.edges = [(ids[child], ids[parent[child]])]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """``u, v, n``: links ``n`` of an id where ``u`` and ``v`` are the same, else an edge."""
+        if not self.links:
+            return
+        self.fold()
+        (ids, n), (child, root) = self.links[0], self.edges[0]
+        u, v, n = np.r_[ids, child], np.r_[ids, root], np.r_[n, np.zeros(len(child), np.int64)]
+        for at in range(0, len(u), 1 << 16):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[at:at + (1 << 16)].astype(np.int64)) for x in (u, v, n)], names=["u", "v", "n"])
+
+
+class Tile:
+    """A row of the table of tiles, its columns read back as arrays."""
+
+    def __init__(self, row: dict, d: int, suffix: str = ""):
+        self.tile, self.cell = row["tile" + suffix], row["cell" + suffix]
+        self.ids, self.copies = (np.frombuffer(row[c + suffix], np.int64) for c in ("ids", "copies"))
+        self.factor = np.frombuffer(row["factors" + suffix], np.float64)
+        n, vecs = len(self.ids), row["vecs" + suffix]
+        self.units = unit(np.frombuffer(vecs, f"f{len(vecs) // (n * d)}").reshape(n, d))
+        self.codes, self.reach = (np.frombuffer(row[c + suffix], np.uint8).reshape(n, -1) for c in ("codes", "reach"))
+
+    def entering(self, cell: int) -> np.ndarray:
+        """Places of the vectors that enter a cell."""
+        return np.flatnonzero(self.reach[:, cell >> 3] >> (7 - (cell & 7)) & 1)
+
+
+def tile_links(a: Tile, b: Tile, found: Found, threshold: float, width: float | None, turn: np.ndarray) -> None:
+    """Compares those vectors of two tiles that enter each other's cell. The bound that always
+    holds loses no pair from either side, so one side's codes do; a confidence bound may, so there
+    each side is asked."""
+    i, j = a.entering(b.cell), b.entering(a.cell)
+    sides = [(a, i, b, j)] if width is None or a.tile == b.tile else [(a, i, b, j), (b, j, a, i)]
+    for x, i, y, j in sides:
+        links, back, child, root = compare_block(
+            x.units[i], x.ids[i], x.copies[i], y.units[j], y.ids[j], y.copies[j], y.codes[j], y.factor[j],
+            threshold, width, turn)
+        found.add(x.ids[i], links, child, root)
+        if width is None and a.tile != b.tile:
+            found.add(y.ids[j], back, child[:0], root[:0])
 
 
 def linked(vectors: DataFrame, key: str, vector: str, threshold: float = 0.95,
@@ -129,11 +205,13 @@ def linked(vectors: DataFrame, key: str, vector: str, threshold: float = 0.95,
     component unless all are null. Equal vectors are one node with a number of copies.
 
     Centres fitted on at most 16,384 vectors give each a home cell. A vector also enters every
-    cell whose border is no farther than linked vectors can be apart, so a home vector meets all
-    its links in its own cell. Cells are cut in blocks of about 4,096 by 4,096 vectors, whatever
-    their size. Codes and factors are made once. Copies of one vector, and rows of a large
-    component, are spread in the joins that name them. Where data has no clusters every cell is a
-    neighbour and the blocks cover all pairs; nothing is left out to avoid that.
+    cell whose border is no farther than linked vectors can be apart, so linked vectors enter each
+    other's home cells. Cells are cut in tiles of about 4,096 vectors, whatever their size, and a
+    vector is written once, in its own tile. Codes and factors are made once. Pairs of tiles are
+    formed where the table of tiles is read, so nothing on disk grows with the pairs, and a task
+    sums up what it finds. Copies of one vector, and rows of a large component, are spread in the
+    joins that name them. Where data has no clusters every cell is a neighbour and the pairs of
+    tiles cover all pairs; nothing is left out to avoid that.
     """
     base = vectors.select(F.col(key).alias("key"), F.when(usable(F.col(vector)), F.col(vector)).alias("vec"))
     named = base.select("key", F.when(F.col("vec").isNotNull(), vector_hash()).alias("hash"))
@@ -160,56 +238,72 @@ def _linked(nodes: DataFrame, d: int, threshold: float, width: float | None) ->
     turn, gap = rotation(d), np.sqrt(2 - 2 * threshold)
     apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    value = 4 if nodes.schema["vec"].dataType.elementType.typeName() == "float" else 8
+    most = min(CELL_ROWS, max(LEAST_ROWS, TILE_BYTES // (value * d)))
+
+    def parts(batches: Iterator[pa.RecordBatch]):
+        """(rows, their home cells, which cells each enters), 2,048 rows at a time."""
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                units = unit(matrix(part.column(0), d))
-                codes, factor = encode(units, turn)
-                near = units @ centres.T
+                near = unit(matrix(part.column(0), d)) @ centres.T
                 home = near.argmax(axis=1)
-                short = near.max(axis=1, keepdims=True) - near
-                row, cell = np.nonzero(short <= gap * apart[home] + 1e-9)
-                pick = pa.array(row, pa.int32())
-                blobs = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(home[row] == cell),
-                     part.column(1).take(pick), part.column(2).take(pick),
-                     pa.array(units.astype(np.float64)[row].tolist(), pa.list_(pa.float64())),
-                     blobs.take(pick), pa.array(factor[row])],
-                    names=["cell", "home", "id", "copies", "vec", "code", "factor"])
-
-    entered = cut_lineage(nodes.select("vec", "id", "copies").mapInArrow(
-        enter, "cell int, home boolean, id long, copies long, vec array<double>, code binary, factor double"))
-    sizes = entered.groupBy("cell").agg(
-        F.ceil(F.sum(F.col("home").cast("int")) / CELL_ROWS).alias("hs"),
-        F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("os"))  # a row a cell: 1,024 at most
-    met = entered.join(F.broadcast(sizes), "cell")
-
-    def spread(n):
-        return F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1)))
-
-    def every(n):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1))
-
-    kept = ["cell", "id", "copies", "vec", "code", "factor"]
-    blocks = met.filter("home").select(
-        *kept, spread(F.col("hs")).alias("h"), every(F.col("os")).alias("o"), F.lit(True).alias("home")
-    ).union(met.filter("hs > 0").select(
-        *kept, every(F.col("hs")).alias("h"), spread(F.col("os")).alias("o"), F.lit(False).alias("home")))
-
-    def compare(rows: pa.Table) -> pa.Table:
-        flag = rows.column("home").to_numpy()
-        ids, units = rows.column("id").to_numpy(), matrix(rows.column("vec"), d)
-        codes = np.array([np.frombuffer(x, np.uint8) for x in rows.column("code").to_pylist()])
-        links, child, root = compare_block(
-            units[flag], ids[flag], units[~flag], ids[~flag], rows.column("copies").to_numpy()[~flag],
-            codes[~flag], rows.column("factor").to_numpy()[~flag], threshold, width, turn)
-        some = np.flatnonzero(links)
-        return pa.table({"u": np.r_[ids[flag][some], child], "v": np.r_[ids[flag][some], root],
-                         "n": np.r_[links[some], np.zeros(len(child), np.int64)]})
+                yield part, home, near.max(axis=1, keepdims=True) - near <= gap * apart[home] + 1e-9
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, home, _ in parts(batches):
+            cell, n = np.unique(home, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+    tiles_of = np.ones(len(centres), np.int64)  # a row a cell: 1,024 at most
+    for r in nodes.select("vec").mapInArrow(homes, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        tiles_of[r.cell] = -(-r.n // most)
+    first = np.cumsum(tiles_of) - tiles_of
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, home, reach in parts(batches):
+            spread = part.column(1).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            tile = first[home] + (spread % tiles_of[home].astype(np.uint64)).astype(np.int64)
+            entered = pa.array([r.tobytes() for r in np.packbits(reach, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tile), pa.array(home.astype(np.int32)), *part.columns, entered],
+                names=["tile", "cell", "vec", "id", "copies", "reach"])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        vecs = matrix(rows.column("vec"), d)
+        vecs = vecs if vecs.dtype == np.float32 else vecs.astype(np.float64)
+        codes, factor = encode(unit(vecs), turn)
+        reach = np.frombuffer(b"".join(rows.column("reach").to_pylist()), np.uint8).reshape(len(vecs), -1)
+        enters = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(reach, axis=0), count=len(centres)))
+        blobs = {"ids": rows.column("id").to_numpy(), "copies": rows.column("copies").to_numpy(), "vecs": vecs,
+                 "codes": codes, "factors": factor, "reach": reach}
+        return pa.table({"tile": rows.column("tile")[:1], "cell": rows.column("cell")[:1],
+                         "enters": pa.array([enters.astype(np.int32)], pa.list_(pa.int32())),
+                         **{c: pa.array([x.tobytes()], pa.binary()) for c, x in blobs.items()}})
+
+    # as many files as tiles, so that the scan can deal them out
+    tiles = cut_lineage(
+        nodes.select("vec", "id", "copies").mapInArrow(
+            enter, f"tile long, cell int, vec {nodes.schema['vec'].dataType.simpleString()}, id long, copies long, reach binary")
+        .repartition(int(tiles_of.sum()), "tile").groupBy("tile").applyInArrow(
+            pack, "tile long, cell int, enters array<int>, ids binary, copies binary, vecs binary, codes binary, "
+                  "factors binary, reach binary"))
+    others = tiles.toDF(*[f"{c}_2" for c in tiles.columns])
+    # each two tiles once, and every tile first in about half of its pairs
+    even = F.pmod(F.col("tile") + F.col("tile_2"), F.lit(2)) == 0
+    once = (F.col("tile") == F.col("tile_2")) | ((F.col("tile") < F.col("tile_2")) == even) & (F.col("tile") != F.col("tile_2"))
+    pairs = tiles.join(others.hint("shuffle_replicate_nl"), once & F.array_contains("enters", F.col("cell_2"))
+                       & F.array_contains("enters_2", F.col("cell"))).drop("enters", "enters_2")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, a = Found(), None
+        for batch in batches:
+            for row in batch.to_pylist():
+                a = a if a is not None and a.tile == row["tile"] else Tile(row, d)
+                tile_links(a, a if a.tile == row["tile_2"] else Tile(row, d, "_2"), found, threshold, width, turn)
+        yield from found.batches()
 
-    found = cut_lineage(blocks.groupBy("cell", "h", "o").applyInArrow(compare, "u long, v long, n long"))
+    found = cut_lineage(small_batches(pairs).mapInArrow(compare, "u long, v long, n long"))
     counts = found.filter("u = v").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("u <> v").select("u", "v"))
     rooted = cut_lineage(
