@@ -13,13 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bound
 from ..session import cut_lineage
 from .joins import skewed_join
 from .prefilter import may_match
 
 GRAM = 4
 SIDE = 3  # characters of a phrase on either side of its first space
+HOT_WORDS = 1 << 17  # words that each hold more than this part of all words of texts are broadcast
+HOT_LENGTH = 64  # characters of such a word at most
+MASKS = [f"_m{i}" for i in range(4)]  # numbers of 64 bits, those of a bucket of phrases
+MASK_BITS = 64 * len(MASKS)
+COPIES = 16  # of a table of phrases, in joins that meet common ones
 
 
 def grams(text: Column, n: Column | int) -> Column:
@@ -71,83 +75,124 @@ def contained(texts: DataFrame, phrases: DataFrame, on: Sequence[str], text: str
         *on, F.col("_text").alias(text), F.col("_phrase").alias(phrase))
 
 
-def windows(text: Column, words: int) -> Column:
-    """Different runs of ``words`` pieces of a text between single spaces, spaces kept: a phrase
-    with one space less is in the text exactly if it is in one of them."""
-    def runs(parts):
-        count = F.size(parts) - words + 1
-        # pieces by their place: slice() would copy the whole list for every run
-        every = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat_ws(
-            " ", *[F.get(parts, i + F.lit(n - 1)) for n in range(words)]))
-        return F.when(count > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+def numbered(phrases: DataFrame, phrase: str) -> DataFrame:
+    """``_phrase, _as, _words, _bucket, _bit``: each phrase in lower case, its spellings, of how many
+    words it is, and its place in the masks: phrases of one length are beside each other. Numbers
+    have gaps where the ordered table is cut, and no single task counts."""
+    asked = phrases.select(F.lower(phrase).alias("_phrase"), F.col(phrase).alias("_as")).filter(F.length("_phrase") > 0)
+    words = F.length("_phrase") - F.length(F.replace("_phrase", F.lit(" "), F.lit(""))) + 1
+    held = asked.groupBy("_phrase").agg(F.collect_set("_as").alias("_as")).withColumn("_words", words)
+    ordered = held.orderBy(F.length("_phrase"), "_phrase").withColumn("_number", F.monotonically_increasing_id())
+    return cut_lineage(ordered.select("_phrase", "_as", "_words", F.floor(F.col("_number") / MASK_BITS).alias("_bucket"),
+                                      (F.col("_number") % MASK_BITS).cast("int").alias("_bit")))
+
+
+def masks() -> list[Column]:
+    """The phrase's bucket, and its bit in the masks of the bucket."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit") % 64)
+    return [F.col("_bucket"), *[F.when(F.shiftright("_bit", 6) == i, bit).otherwise(0).alias(m) for i, m in enumerate(MASKS)]]
 
-    parts = F.split(text, " ")
-    return F.array_distinct(parts) if words == 1 else bound(parts, runs)
 
+def together(found: DataFrame, *by: str) -> DataFrame:
+    """Masks of the same rows and bucket as one."""
+    return found.groupBy(*by, "_bucket").agg(*[F.bit_or(m).alias(m) for m in MASKS])
 
-def seam(text: Column, before: Column | int, after: Column | int) -> Column:
-    """The piece around a text's first space, with so many characters on either side; null where
-    the text has fewer."""
-    before, after = (F.lit(n) if isinstance(n, int) else n for n in (before, after))
-    at = F.instr(text, " ")
-    return F.when((at > before) & (F.length(text) - at >= after), F.substr(text, at - before, before + 1 + after))
 
+def phrase_join(many: DataFrame, few: DataFrame, on: str, spread: Column) -> DataFrame:
+    """Join with a table that has some rows for each phrase. It is copied ``COPIES`` times, so rows of a
+    very common phrase go to as many tasks, without being counted first."""
+    return many.withColumn("_copy", F.pmod(F.xxhash64(spread), F.lit(COPIES))).join(
+        few.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(COPIES - 1).cast("bigint")))), [on, "_copy"]).drop("_copy")
 
-def short_words(df: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
-    """``_key, _phrase``: phrases of one word, shorter than ``GRAM``, are pieces of words themselves:
-    each key's different pieces are made where its text is read, and meet the phrases as they are."""
+
+def short_hits(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """``_run, _bucket`` and masks: phrases shorter than ``GRAM`` are pieces of words themselves, and meet
+    the pieces of each different word as they are."""
     sizes = sorted(r.n for r in asked.select(F.length("_phrase").alias("n")).distinct().collect())  # three at most
-    pieces = F.array_distinct(F.flatten(F.transform(
-        windows(F.lower(text), 1), lambda w: F.concat(*[grams(w, n) for n in sizes or [1]]))))
-    held = df.select(F.col(key).alias("_key"), F.explode(pieces).alias("_phrase"))
-    met = cut_lineage(may_match(held, asked.select("_phrase"), "_phrase").filter("_may").drop("_may"))
-    return skewed_join(met, asked.select("_phrase").distinct(), "_phrase", F.col("_key")).select("_key", "_phrase")
-
-
-def word_runs(df: DataFrame, key: str, text: str, asked: DataFrame, words: int) -> DataFrame:
-    """``_key, _phrase``: a phrase of several words lies in a run of as many with its first space on
-    the run's first. Only runs that have a phrase's piece around that space leave the scan."""
-    at = F.instr("_phrase", F.lit(" "))
-    shape = F.struct(F.least(at - 1, F.lit(SIDE)).alias("before"),
-                     F.least(F.length("_phrase") - at, F.lit(SIDE)).alias("after"))
-    shaped = cut_lineage(asked.select("_phrase", shape.alias("_shape")).distinct().withColumn(
-        "_seam", seam(F.col("_phrase"), F.col("_shape.before"), F.col("_shape.after"))))
-    shapes = [r.s for r in shaped.select(F.col("_shape").alias("s")).distinct().collect()]  # (SIDE + 1)^2 at most
-    runs = df.select(F.col(key).alias("_key"), F.explode(windows(F.lower(text), words)).alias("_run"))
-    seams = F.array_compact(F.array(*[seam(F.col("_run"), s.before, s.after) for s in shapes]))
-    pieces = runs.select("_key", "_run", F.explode(seams).alias("_seam"))
-    met = cut_lineage(may_match(pieces, shaped.select("_seam"), "_seam").filter("_may").drop("_may"))
-    pairs = skewed_join(met, shaped.select("_seam", "_phrase"), "_seam", F.xxhash64("_key", "_run"))
-    return pairs.filter(F.contains("_run", "_phrase")).select("_key", "_phrase")
-
-
-def long_words(df: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
-    """``_key, _phrase``: of phrases of one word, ``GRAM`` characters or more, the different words of
-    all texts are searched once."""
-    runs = cut_lineage(df.select(F.col(key).alias("_key"), F.explode(windows(F.lower(text), 1)).alias("_run")))
-    found = contained(runs, asked, [], "_run", "_phrase")
-    return skewed_join(runs, cut_lineage(found), "_run", F.col("_key")).select("_key", "_phrase")
+    pieces = spelled(words.select("_run"), "_run", sizes or [1]).withColumnRenamed("_gram", "_phrase")
+    met = may_match(pieces, asked.select("_phrase"), "_phrase").filter("_may").drop("_may")
+    return phrase_join(met, asked.select("_phrase", "_bucket", "_bit"), "_phrase", F.col("_run")).select("_run", *masks())
+
+
+def long_hits(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """``_run, _bucket`` and masks: phrases of ``GRAM`` characters or more, searched in each different word."""
+    found = contained(words.select("_run"), asked, [], "_run", "_phrase", different=True)
+    return phrase_join(found, asked.select("_phrase", "_bucket", "_bit"), "_phrase", F.col("_run")).select("_run", *masks())
+
+
+def in_words(df: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
+    """``_key, _bucket`` and masks, yet to be put together: phrases of one word.
+
+    Different words of all texts are searched once, and what a word has is kept as masks. Frequent
+    words, fewer than ``HOT_WORDS`` and short, are broadcast with theirs, so most words of a text
+    are told where they are read; only the others meet their masks in an exchange.
+    """
+    runs = cut_lineage(df.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("_run")))
+    words = cut_lineage(runs.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")))
+    short = F.length("_phrase") < GRAM
+    hits = short_hits(words, asked.filter(short)).union(long_hits(words, asked.filter(~short)))
+    known = cut_lineage(together(hits, "_run"))
+    everything = words.agg(F.sum("_n").alias("n")).scalar()
+    told = cut_lineage(words.withColumn("_hot", F.coalesce(
+        (F.col("_n") * HOT_WORDS > everything) & (F.length("_run") <= HOT_LENGTH), F.lit(False))))
+    hot = F.broadcast(told.filter("_hot").select("_run"))
+    here = runs.join(F.broadcast(known.join(hot, "_run", "left_semi")), "_run")
+    there = skewed_join(runs.join(hot, "_run", "left_anti"), known, "_run", F.col("_key"), rows_of=told.filter("not _hot").select("_run", "_n"))
+    return here.union(there).select("_key", "_bucket", *MASKS)
+
+
+def in_runs(df: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
+    """``_key, _bucket`` and masks: a phrase of several words lies in a run of as many, its first space on
+    the run's first. Only runs that have a phrase's piece around that space, up to ``SIDE`` characters
+    of the word on either side, leave the scan: one for all numbers of words."""
+    def place(words, before: Column, after: Column) -> Column:
+        return F.xxhash64(words, before, after)
+
+    shaped = asked.select("_phrase", "_bucket", "_bit", "_words", *[F.get(F.split("_phrase", " "), F.lit(i)).alias(c) for i, c in enumerate(("_first", "_second"))])
+    shaped = cut_lineage(shaped.select(
+        "_phrase", "_bucket", "_bit", "_words", *[F.least(F.length(c), F.lit(SIDE)).alias(n) for c, n in (("_first", "_before"), ("_second", "_after"))],
+        place(F.col("_words"), F.right("_first", F.lit(SIDE)), F.left("_second", F.lit(SIDE))).alias("_place")))
+    # (SIDE + 1)^2 at most for each number of words
+    shapes = shaped.select(F.col("_words").alias("n"), F.col("_before").alias("b"), F.col("_after").alias("a")).distinct().collect()
+    word, then = F.col("_word"), F.col("_then")
+    places = [F.when((F.length(word) >= s.b) & (F.length(then) >= s.a), place(
+        F.lit(s.n), F.substring(word, -s.b, s.b) if s.b else F.lit(""), F.substring(then, 1, s.a))) for s in shapes]
+    parts = df.select(F.col(key).alias("_key"), F.split(F.lower(text), " ").alias("_parts"))
+    pairs = (parts.select("_key", "_parts", F.posexplode("_parts").alias("_at", "_word"))
+             .withColumn("_then", F.get("_parts", F.col("_at") + 1)).filter("_then is not null"))
+    pieces = pairs.select("_key", "_parts", "_at", F.posexplode(F.array(*places)).alias("_shape", "_place")).filter("_place is not null")
+    words = F.get(F.array(*[F.lit(s.n) for s in shapes]), F.col("_shape"))
+    run = F.array_join(F.slice("_parts", F.col("_at") + 1, words), " ").alias("_run")
+    met = cut_lineage(may_match(pieces, shaped.select("_place"), "_place").filter("_may").select("_key", "_place", run))
+    found = skewed_join(met, shaped.select("_place", "_phrase", "_bucket", "_bit"), "_place", F.xxhash64("_key", "_run"))
+    return found.filter(F.contains("_run", "_phrase")).select("_key", *masks())
 
 
 def contains_any(df: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
     """``key, phrase``: each key beside each phrase that its text contains, case aside, for any
     number of phrases.
 
-    Texts are cut, in the stage that reads them, in different runs of as many words as phrases
-    have; only runs and pieces of words cross exchanges, and of those, where phrases say enough of
-    them, only such as a phrase can be in. One pass is made for each number of words that phrases
-    have, two for phrases of one word.
+    Texts are cut, in the stage that reads them, in different words and in runs of words; only those
+    cross exchanges, and of runs, where phrases say enough of them, only such as a phrase can be in.
+    What a key has found is masks of ``MASK_BITS`` phrases a row until all is put together, so the
+    many words that hold one common phrase do not make a row each.
     """
-    asked = phrases.select(F.lower(phrase).alias("_phrase"), F.col(phrase).alias("_as")).filter(F.length("_phrase") > 0).distinct()
-    words = F.length("_phrase") - F.length(F.replace("_phrase", F.lit(" "), F.lit(""))) + 1
-    short = (words == 1) & (F.length("_phrase") < GRAM)
-    asked = cut_lineage(asked.withColumn("_words", F.when(short, 0).otherwise(words)))
-    out = None
-    for n in sorted(r.n for r in asked.select(F.col("_words").alias("n")).distinct().collect()):
-        own = asked.filter(F.col("_words") == n)
-        each = (short_words(df, key, text, own) if n == 0 else long_words(df, key, text, own) if n == 1
-                else word_runs(df, key, text, own, n))
-        out = each if out is None else out.union(each)
-    if out is None:
+    asked = numbered(phrases, phrase)
+    sizes = [r.one for r in asked.select((F.col("_words") == 1).alias("one")).distinct().collect()]
+    if not sizes:
         return df.select(F.col(key), F.lit(None).cast("string").alias(phrase)).limit(0)
-    return out.distinct().join(asked, "_phrase").select(F.col("_key").alias(key), F.col("_as").alias(phrase))
+    held = None
+    for one in sizes:
+        own = asked.filter((F.col("_words") == 1) == one)
+        each = (in_words if one else in_runs)(df, key, text, own)
+        held = each if held is None else held.union(each)
+    # by key, so that what is made of a key's phrases needs no exchange of them
+    found = together(held, "_key").repartition("_key")
+    each = F.array(*[F.struct((F.col("_bucket") * len(MASKS) + i).alias("_part"), F.col(m).alias("_mask")) for i, m in enumerate(MASKS)])
+    found = found.select("_key", F.inline(each)).filter("_mask <> 0")
+    part = (F.col("_bucket") * len(MASKS) + F.shiftright("_bit", 6)).alias("_part")
+    lists = cut_lineage(asked.select(part, (F.col("_bit") % 64).alias("_bit"), F.explode("_as").alias("_as")).groupBy("_part").agg(
+        F.collect_list(F.struct("_bit", "_as")).alias("_list")))
+    met = phrase_join(found, lists, "_part", F.col("_key"))
+    return (met.select("_key", "_mask", F.inline("_list")).filter(F.getbit("_mask", F.col("_bit")) == 1)
+            .select(F.col("_key").alias(key), F.col("_as").alias(phrase)))

@@ -29,16 +29,21 @@ def slot(bits: int, *key: str) -> Column:
 
 def bitmap(keys: DataFrame, bits: int, *key: str) -> DataFrame:
     """``_page, _bits``: the slots of all rows, in at most ``bits / PAGE`` rows. Built in parts
-    ahead of the shuffle."""
-    return keys.groupBy(F.floor(slot(bits, *key) / PAGE).alias("_page")).agg(
+    ahead of the shuffle, and kept as numbers of 64 bits, of which a row reads one."""
+    pages = keys.groupBy(F.floor(slot(bits, *key) / PAGE).alias("_page")).agg(
         F.bitmap_construct_agg(slot(bits, *key) % PAGE).alias("_bits"))
+    starts = F.sequence(F.lit(1), F.lit(PAGE // 8), F.lit(8))
+    # base -10 gives signed numbers
+    return pages.select("_page", F.transform(starts, lambda i: F.conv(
+        F.hex(F.substring(F.col("_bits"), i, F.lit(8))), 16, -10).cast("bigint")).alias("_bits"))
 
 
 def is_set(bits: int, *key: str) -> Column:
-    """Is this row's slot set in its page ``_bits``? A missing page is empty."""
+    """Is this row's slot set in its page ``_bits``? A missing page is empty. A page's first byte is
+    its first number's highest, and a byte's first bit its lowest."""
     place = (slot(bits, *key) % PAGE).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))
+    number = F.get("_bits", F.shiftright(place, 6))
+    return F.coalesce(F.getbit(number, (place % 64).bitwiseXOR(F.lit(56))) == 1, F.lit(False))
 
 
 def with_pages(df: DataFrame, pages: DataFrame, bits: int, *key: str) -> DataFrame:
