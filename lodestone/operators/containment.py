@@ -19,7 +19,7 @@ from .prefilter import may_match
 
 GRAM = 4
 SIDE = 3  # characters of a phrase on either side of its first space
-HOT_WORDS = 1 << 17  # words that each hold more than this part of all words of texts are broadcast
+HOT_WORDS = 1 << 18  # words that each hold more than this part of all words of texts are broadcast
 HOT_LENGTH = 64  # characters of such a word at most
 MASKS = [f"_m{i}" for i in range(4)]  # numbers of 64 bits, those of a bucket of phrases
 MASK_BITS = 64 * len(MASKS)
@@ -68,9 +68,11 @@ def contained(texts: DataFrame, phrases: DataFrame, on: Sequence[str], text: str
     often = kept.groupBy("_place").agg(F.count(F.lit(1)).alias("_n"))
     rarest = F.min(F.struct("_n", "_place")).alias("_rarest")
     # a gram that no text has rules its phrase out: null comes first
-    keys = (wanted.join(often, "_place", "left").groupBy(*on, "_phrase").agg(rarest)
-            .filter("_rarest._n is not null").select("_phrase", "_rarest._place"))
-    met = skewed_join(kept, keys, "_place", F.col("_text"), rows_of=often)
+    keys = cut_lineage(wanted.join(often, "_place", "left").groupBy(*on, "_phrase").agg(rarest)
+                       .filter("_rarest._n is not null").select("_phrase", "_rarest._place"))
+    # most grams are no phrase's rarest: those stay out of the exchange
+    asking = may_match(kept, keys.select("_place"), "_place").filter("_may").drop("_may")
+    met = skewed_join(asking, keys, "_place", F.col("_text"), rows_of=often)
     return met.filter(F.contains("_text", "_phrase")).select(
         *on, F.col("_text").alias(text), F.col("_phrase").alias(phrase))
 
@@ -133,11 +135,10 @@ def in_words(df: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
     hits = short_hits(words, asked.filter(short)).union(long_hits(words, asked.filter(~short)))
     known = cut_lineage(together(hits, "_run"))
     everything = words.agg(F.sum("_n").alias("n")).scalar()
-    told = cut_lineage(words.withColumn("_hot", F.coalesce(
-        (F.col("_n") * HOT_WORDS > everything) & (F.length("_run") <= HOT_LENGTH), F.lit(False))))
-    hot = F.broadcast(told.filter("_hot").select("_run"))
+    often = (F.col("_n") * HOT_WORDS > everything) & (F.length("_run") <= HOT_LENGTH)
+    hot = F.broadcast(words.filter(often).select("_run"))
     here = runs.join(F.broadcast(known.join(hot, "_run", "left_semi")), "_run")
-    there = skewed_join(runs.join(hot, "_run", "left_anti"), known, "_run", F.col("_key"), rows_of=told.filter("not _hot").select("_run", "_n"))
+    there = skewed_join(runs.join(hot, "_run", "left_anti"), known, "_run", F.col("_key"), rows_of=words.filter(~often))
     return here.union(there).select("_key", "_bucket", *MASKS)
 
 
